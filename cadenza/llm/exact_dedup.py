@@ -44,7 +44,9 @@ def copy_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.max("__id").alias("best"), F.max("n").alias("n"), F.count(F.lit(1)).alias("texts")
     )
     one_text = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("bigint")).otherwise(F.col("n"))
-    copies = groups.where("n > 1").select(F.col("digest").alias("of"), "best", one_text.alias("n"))
+    # The key is taken anew by substring() so that this side gets an exchange of its own: only then can Spark split a hot
+    # digest's rows on the other side among tasks.
+    copies = groups.where("n > 1").select(F.substring("digest", 1, 32).alias("of"), "best", one_text.alias("n"))
     rows = base.select("__id", "digest")
     joined = rows.join(copies, rows["digest"] == copies["of"], "left")
     keep = F.when(F.col("n").isNull(), F.col("__id")).otherwise(F.col("best"))
