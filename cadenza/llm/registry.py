@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dup, packing, quality, sharding, substring_dedup, token_files, warc
+from . import decontaminate, exact_dedup, licenses, near_dup, packing, quality, sharding, substring_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def document_path() -> Column:
+    """A path for a document: source and language are its directories; short texts, which can hold little but a notice,
+    are named as licence files are."""
+    stem = F.when(F.length(F.coalesce("text", F.lit(""))) <= 100, F.lit("LICENSE")).otherwise(F.lit("doc"))
+    return F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(stem, F.lit("."), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), document_path())
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["stop"] - s["start"])
@@ -72,7 +83,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_decontaminate, op6_substring_dedup, op7_quality, op8_packing, op9_sharding, op10_near_dup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_decontaminate, op5_licenses, op6_substring_dedup, op7_quality, op8_packing, op9_sharding, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
