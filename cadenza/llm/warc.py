@@ -70,13 +70,17 @@ def write_archives(
     An empty table writes no records. Other columns are not read.
     """
     payload = body(text_col)
+    total = pages.agg(F.sum(F.octet_length(payload) + F.lit(600)).alias("b")).first()["b"] or 1
+    files = max(1, math.ceil(total / archive_bytes))
+    # Payloads are dealt to archives by the hash on which headers join them, so they are shuffled once.
+    key = lambda page, content: F.xxhash64(page, content)
     heads = record_types(pages, id_col, text_col, min_bytes).select(
-        F.col("page_id").alias("__page"), F.col("content").alias("__content"), "payload_digest", "refers_to"
+        key("page_id", "content").alias("__key"), F.col("page_id").alias("__page"), F.col("content").alias("__content"), "payload_digest", "refers_to"
     ).distinct()
     rows = pages.select(F.col(id_col).alias("page_id"), body(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("content", F.unhex(F.sha2(F.col("payload").cast("binary"), 256)))
-    total = rows.agg(F.sum(F.octet_length("payload") + F.lit(600)).alias("b")).first()["b"] or 1
-    joined = rows.join(heads, rows["page_id"].eqNullSafe(heads["__page"]) & (rows["content"] == heads["__content"]))
+    rows = rows.withColumn("content", F.unhex(F.sha2(F.col("payload").cast("binary"), 256))).withColumn("key", key("page_id", "content"))
+    joined = rows.repartition(files, "key").join(heads, F.col("key") == F.col("__key"))
+    joined = joined.where(F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("content") == F.col("__content")))
     crlf = "\r\n"
     is_revisit = F.col("refers_to").isNotNull()
     size = F.octet_length("payload")
@@ -96,8 +100,7 @@ def write_archives(
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(F.concat_ws(crlf, *fields), F.lit(crlf + crlf), block, F.lit(crlf + "\r"))
-    files = max(1, math.ceil(total / archive_bytes))
-    joined.select(record.alias("value")).repartition(files).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    joined.select(record.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
