@@ -6,16 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "event_volume"
+from .plans import signal
 
-
-def _event_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count().withColumnRenamed("count", "n")
+FLAGSHIP = "gated_loudness"
+_MODULES = (signal,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"event_volume": _event_volume}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"event_volume": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
