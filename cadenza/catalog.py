@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import signal
+from .plans import signal, spectral, tables
 
 FLAGSHIP = "gated_loudness"
-_MODULES = (signal,)
+_MODULES = (signal, spectral, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
