@@ -42,6 +42,15 @@ def body(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def apart(column: str) -> Column:
+    """A bigint key in another guise (its bits turned), to be taken on both sides of a join.
+
+    A table grouped by the key itself then gets an exchange of its own for the join. Without that Spark joins it where it
+    was grouped, and can't split the rows of a hot key on the other side among tasks.
+    """
+    return F.bitwise_not(F.col(column))
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str, broadcast_rows: int = 200_000) -> DataFrame:
     """Rows of ``docs`` whose id is not in ``dropped`` (rows with a null id stay).
 

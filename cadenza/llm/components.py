@@ -9,24 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import apart, materialize
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
-    # "+ 0" gives the minima an exchange of their own, without which Spark can't split a hot node's pairs.
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select((F.col("u") + 0).alias("w"), F.least("u", "m").alias("m"))
+    return pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), apart("u").alias("key"), F.least("u", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _lowest(both)
-    return both.join(low, both["u"] == low["w"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(low, apart("u") == F.col("key")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _lowest(down)
-    to_low = down.join(low, down["u"] == low["w"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    to_low = down.join(low, apart("u") == F.col("key")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return to_low.union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 

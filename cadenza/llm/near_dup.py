@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, materialize, without_ids
+from .common import apart, body, materialize, without_ids
 from .components import components
 from .shingles import mix, minhash, shingle_hashes, shingle_ids, word_hashes, words_of
 from .tokens import slices
@@ -173,22 +173,23 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.binary()), size, lists], schema=schema)
 
     sketches = materialize(rows.mapInArrow(sketch, "id bigint, digest binary, size bigint, bands array<bigint>"), "sketches")
-    nodes = sketches.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = sketches.groupBy("digest").agg(F.coalesce(F.min(F.when(F.col("id") != NULL_ID, F.col("id"))), F.lit(NULL_ID)).alias("node"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")
     worded = nodes.where((F.col("size") > 0) & (F.col("node") != NULL_ID))
     keyed = worded.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select((F.col("key") + 0).alias("at"), "head")
-    ties = keyed.join(shared, keyed["key"] == shared["at"]).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select(apart("key").alias("at"), "head")
+    ties = keyed.join(shared, apart("key") == F.col("at")).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
     member = components(ties)
 
     sized = nodes.groupBy("node").agg(F.max("size").alias("size"))
     member = materialize(member.join(sized, "node"), "members")
     groups = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    groups = groups.select((F.col("component") + 0).alias("of"), F.ceil(F.greatest(F.col("n") / tile_docs, F.col("bytes") / tile_bytes)).cast("int").alias("chunks"))
+    groups = groups.select(apart("component").alias("of"), F.ceil(F.greatest(F.col("n") / tile_docs, F.col("bytes") / tile_bytes)).cast("int").alias("chunks"))
     bins = max(1, math.ceil(member.count() / tile_docs))
-    dealt = member.join(groups, member["component"] == groups["of"]).select("node", "chunks", "component", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    dealt = member.join(groups, apart("component") == F.col("of")).select("node", "chunks", "component", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     pieces = rows.select("id", "text")
-    tiles = dealt.join(pieces, dealt["node"] == pieces["id"])
+    # Merged at every size: the members are few on small inputs only, and texts are too many to gather on any side.
+    tiles = dealt.hint("merge").join(pieces, dealt["node"] == pieces["id"])
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     tiles = tiles.select("node", "text", "component", "chunks", "chunk", other).select(
         "node", "text", "chunk", "chunks", (F.col("chunk") != F.col("other")).alias("cross"),

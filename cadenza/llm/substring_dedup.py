@@ -164,7 +164,7 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
     shards = max(1, math.ceil(total / shard_bytes))
     texts = rows.select("data").mapInArrow(collect, "gram bigint, f1 bigint, f2 bigint, context binary")
     texts = texts.groupBy("gram", "f1", "f2").agg(F.first("context").alias("context"))
-    dealt = texts.join(several.select((F.col("gram") + 0).alias("of"), F.ceil(F.col("kinds") / shard_contexts).alias("shards")), F.col("gram") == F.col("of"))
+    dealt = texts.join(several.select(F.col("gram").alias("of"), F.ceil(F.col("kinds") / shard_contexts).alias("shards")), F.col("gram") == F.col("of"))
     part = F.when(F.col("shards") > 1, F.xxhash64("gram", F.pmod(F.col("f1"), F.col("shards")))).otherwise(F.pmod(F.col("gram"), F.lit(shards)))
     sorted_out = dealt.select("gram", "f1", "f2", "context", "shards", part.alias("shard")).groupBy("shard").applyInPandas(
         _shard, f"{_RUNS}, part long, d1 binary, d2 binary, m1 binary, m2 binary, at binary"
@@ -174,7 +174,7 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
     single = contexts.where("n = 1").select("gram", "f1", "f2")
     runs = sorted_out.where(F.col("part").isNull()).select("gram", "f1", "f2", "first", "last").unionByName(merged).join(single, ["gram", "f1", "f2"], "left_semi")
     copied = contexts.where("n > 1").select("gram", "f1", "f2", F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))
-    runs = runs.unionByName(copied).select((F.col("gram") + 0).alias("g"), (F.col("f1") + 0).alias("h1"), (F.col("f2") + 0).alias("h2"), "first", "last")
+    runs = runs.unionByName(copied).select(F.col("gram").alias("g"), F.col("f1").alias("h1"), F.col("f2").alias("h2"), "first", "last")
     laid = found.join(runs, (F.col("gram") == F.col("g")) & (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2")))
     return laid.select("uid", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
 
