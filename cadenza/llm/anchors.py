@@ -68,7 +68,7 @@ def find(data: np.ndarray, offsets: np.ndarray) -> Anchors:
     new = np.ones(len(owner), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(owner)) - 1
+    last = np.append(at, len(owner))[1:] - 1
     return Anchors(text[at], first[at], first[last] + WIDTH, h[owner[at]].view(np.int64), owner[at])
 
 

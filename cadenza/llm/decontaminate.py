@@ -107,7 +107,7 @@ def passages(docs: DataFrame, bitmap: np.ndarray, reach: int, id_col: str, text_
                 group = np.flatnonzero(new)
                 ids, uids = part.column(1).to_pylist(), part.column(0).to_pylist()
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for a, b in zip(group, np.append(group[1:], len(hits)), strict=True):
+                for a, b in zip(group, np.append(group, len(hits))[1:], strict=True):
                     d = doc[a]
                     for column, value in zip(rows, (uids[d], ids[d], left[a] - offsets[d], words[left[a] : right[b - 1]], np.unique(grams[hits[a:b]])), strict=True):
                         column.append(value)

@@ -120,4 +120,4 @@ def slices(texts: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(sizes) - sizes) // most
     starts = np.flatnonzero(np.diff(group, prepend=-1))
-    return [(int(a), int(b - a)) for a, b in zip(starts, np.append(starts[1:], len(sizes)), strict=True)]
+    return [(int(a), int(b - a)) for a, b in zip(starts, np.append(starts, len(sizes))[1:], strict=True)]
