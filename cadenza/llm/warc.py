@@ -157,13 +157,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page id, null for responses).
     """
+    # A response looks itself up, so that its row has a key of its own in the join; substring() gives the answers an
+    # exchange of their own, so that Spark can split the revisits of a hot payload.
     answers = records.where("record_type = 'response'").groupBy("record_id").agg(
         F.max("page_id").alias("__page"), F.max("payload_bytes").alias("__bytes"), F.max("payload_digest").alias("__digest")
-    ).withColumnRenamed("record_id", "__of")
-    joined = records.join(answers, records["refers_to_id"] == answers["__of"], "left")
+    ).withColumn("__of", F.substring("record_id", 1, 64))
+    joined = records.withColumn("__key", F.coalesce("refers_to_id", "record_id")).join(answers.drop("record_id"), F.col("__key") == F.col("__of"), "left")
     return joined.select(
-        "page_id", F.coalesce("payload_bytes", "__bytes").alias("payload_bytes"), F.coalesce("payload_digest", "__digest").alias("payload_digest"),
-        "record_type", F.col("__page").alias("refers_to"),
+        "page_id", F.col("__bytes").alias("payload_bytes"), F.col("__digest").alias("payload_digest"), "record_type",
+        F.when(F.col("refers_to_id").isNotNull(), F.col("__page")).alias("refers_to"),
     )
 
 
