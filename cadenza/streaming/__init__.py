@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Causal measurements over streams of samples that carry a time."""
