@@ -21,8 +21,9 @@ def hopping_loudness(stream: DataFrame, window: str = "400 milliseconds", hop: s
 
 def silent_sessions(stream: DataFrame, level: float, gap: str = "1 second", late: str = "2 seconds") -> DataFrame:
     """rec, start, end, samples: sessions of samples no larger than ``level`` that are less than ``gap`` apart."""
-    quiet = stream.withWatermark("ts", late).where(F.abs("x") <= level)  # sound moves the watermark too
-    sessions = quiet.groupBy("rec", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("samples"))
+    # A sample that is loud has no gap, so no session; as it is not filtered out, it still moves the watermark.
+    own = F.when(F.abs("x") <= level, gap).otherwise("0 seconds")
+    sessions = stream.withWatermark("ts", late).groupBy("rec", F.session_window("ts", own).alias("w")).agg(F.count(F.lit(1)).alias("samples"))
     return sessions.select("rec", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "samples")
 
 
