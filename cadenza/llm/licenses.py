@@ -68,9 +68,9 @@ def scan(
 ) -> DataFrame:
     """The licences of every file: its own, or else those of the nearest directory above it that has a licence file.
 
-    Columns: ``id_col``, license, score (cosine, of the licence file where inherited), origin (``notice``, ``file``,
-    ``inherited`` or ``none``), directory (where it was inherited from). One row for each file and licence; files without
-    any have one row with a null license.
+    Columns: ``id_col``, origin (``file`` if a licence of its own stands in a licence file, else ``notice``; ``inherited``;
+    or ``none``), directory (where it was inherited from) and licenses: an array, by name, of license and score (cosine, of
+    the licence file where inherited), at most one entry a template. One row for each file.
 
     ``path`` gives a file's place, with ``/``; its last part is its name. A licence file is one that is named so
     (``LICENSE_FILES``) and whose whole text, or a line, reaches the threshold. Null texts are empty; a null path is a
@@ -121,20 +121,14 @@ def scan(
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     owners = own.where("named").groupBy(folder.alias("directory"), "license").agg(F.max("score").alias("score"))
     owners = owners.groupBy("directory").agg(F.sort_array(F.collect_list(F.struct("license", "score"))).alias("licenses"))
+    trimmed = owners.select(F.regexp_replace("directory", r"^/+|/+$", "").alias("of"), "directory", "licenses")
+    held = own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("license", "score"))).alias("own"), F.bool_or("named").alias("in_file")).withColumnRenamed("id", "own_id")
+    all_files = rows.groupBy("id").agg(F.max("path").alias("path")).join(held, F.col("id").eqNullSafe(F.col("own_id")), "left").drop("own_id")
+
     parts = F.filter(F.split(folder, "/"), lambda p: p != "")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("above")))
-    all_files = rows.groupBy("id").agg(F.max("path").alias("path"))
-    has = own.select(F.col("id").alias("own_id")).distinct()
-    bare = all_files.join(has, F.col("id").eqNullSafe(F.col("own_id")), "left_anti")
-    up = bare.select("id", F.explode(above).alias("a")).select("id", F.col("a.depth").alias("depth"), F.col("a.above").alias("above"))
-    trimmed = owners.select(F.regexp_replace("directory", r"^/+|/+$", "").alias("of"), "directory", "licenses")
+    up = all_files.where(F.col("own").isNull()).select("id", F.explode(above).alias("a")).select("id", F.col("a.depth").alias("depth"), F.col("a.above").alias("above"))
     nearest = up.join(trimmed, up["above"] == trimmed["of"]).groupBy("id").agg(F.max(F.struct("depth", "directory", "licenses")).alias("best"))
-    inherited = nearest.select("id", F.col("best.directory").alias("directory"), F.explode("best.licenses").alias("l")).select(
-        "id", F.col("l.license").alias("license"), F.col("l.score").alias("score"), F.lit("inherited").alias("origin"), "directory"
-    )
-    mine = own.select("id", "license", "score", F.when(F.col("named"), F.lit("file")).otherwise(F.lit("notice")).alias("origin"), F.lit(None).cast("string").alias("directory"))
-    heirs = inherited.select(F.col("id").alias("heir")).distinct()
-    none = bare.join(heirs, F.col("id").eqNullSafe(F.col("heir")), "left_anti").select(
-        "id", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("score"), F.lit("none").alias("origin"), F.lit(None).cast("string").alias("directory")
-    )
-    return mine.unionByName(inherited).unionByName(none).withColumnRenamed("id", id_col)
+    joined = all_files.join(nearest.withColumnRenamed("id", "heir"), F.col("id").eqNullSafe(F.col("heir")), "left")
+    origin = F.when(F.col("in_file"), "file").when(F.col("own").isNotNull(), "notice").when(F.col("best").isNotNull(), "inherited").otherwise("none")
+    return joined.select(F.col("id").alias(id_col), origin.alias("origin"), F.col("best.directory").alias("directory"), F.coalesce("own", "best.licenses", F.array().cast("array<struct<license:string,score:double>>")).alias("licenses"))
