@@ -52,6 +52,41 @@ def interpolate_gap(x: np.ndarray, start: int, end: int, a: np.ndarray) -> bool:
     return True
 
 
+def burst_runs(x: np.ndarray, start: int, end: int, order: int, threshold: float) -> list[tuple[int, int, float, float]]:
+    """(start, end, residual peak in sigma, sample peak) of runs in x[start:end] that neither the samples before nor those
+    after predict, by a model of the stretch and its context; sigma is robust, and stretches without residual have none."""
+    a, b = max(order, start), min(len(x) - order, end)
+    if b - a < 2 * order:
+        return []
+    model = fit_ar(x[max(0, start - order) : end + order], order)
+    ahead = np.convolve(x[a - order : b], model)[order : order + b - a]
+    back = np.convolve(x[a : b + order][::-1], model)[order : order + b - a][::-1]
+    sigma = 1.4826 * np.median(np.abs(ahead))
+    if sigma < 1e-7:
+        return []
+    hit = np.flatnonzero((np.abs(ahead) > threshold * sigma) & (np.abs(back) > threshold * sigma))
+    runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if len(hit) else []
+    return [(a + int(r[0]), a + int(r[-1]) + 1, float(np.abs(ahead[r]).max() / sigma), float(np.abs(ahead[r]).max())) for r in runs]
+
+
+def detected(samples: DataFrame, order: int, block: int, threshold: float, blocks: int = 256) -> DataFrame:
+    """rec, b, start, end, sigma, peak: bursts of each block of ``block`` samples, found in chunks of ``blocks`` blocks."""
+    from ..sources.layout import with_halo
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("n", ignore_index=True)
+        x, first = part["x"].to_numpy(dtype=np.float64), int(part["n"].iloc[0])
+        own = part.loc[part["core"], "n"]
+        rows = []
+        for b in range(int(own.iloc[0]) // block, int(own.iloc[-1]) // block + 1) if len(own) else ():
+            begin, end = b * block - first, min(b * block + block, int(own.iloc[-1]) + 1) - first
+            rows += [(part["rec"].iloc[0], b, s + first, e + first, sigma, peak) for s, e, sigma, peak in burst_runs(x, begin, end, order, threshold)]
+        return pd.DataFrame(rows, columns=["rec", "b", "start", "end", "sigma", "peak"])
+
+    rows = with_halo(samples, 2 * order, 2 * order, block * blocks)
+    return rows.groupBy("rec", "chunk").applyInPandas(run, "rec string, b bigint, start bigint, end bigint, sigma double, peak double")
+
+
 def repaired(samples: DataFrame, bursts: DataFrame, order: int, context: int, chunk: int = 1 << 14) -> DataFrame:
     """Samples with bursts (rec, start, end) interpolated in order of place, each by a model of its surroundings.
 
