@@ -97,9 +97,12 @@ def scan(
     keys = F.array(*[F.lit(t) for t in sorted(_keys(vectors, threshold))])
 
     # The vocabulary is that of the templates, so both tables below are as small as they are.
-    weight = F.broadcast(spark.createDataFrame([(t, float(idf[t])) for t in vocabulary], "term string, idf double"))
+    def constants(names: tuple[str, ...], values: list[tuple]) -> DataFrame:
+        return F.broadcast(spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row, strict=True)]) for row in values]))))
+
+    weight = constants(("term", "idf"), [(t, idf[t]) for t in vocabulary])
     entries = [(t, k[0], k[1], w / lengths[k]) for k, v in vectors.items() for t, w in v.items()]
-    template = F.broadcast(spark.createDataFrame(entries, "term string, license string, variant int, share double"))
+    template = constants(("term", "license", "variant", "share"), entries)
 
     whole = rows.where(named).select("id", "path", F.lit(True).alias("named"), F.lit(-1).alias("line"), F.col("text").alias("unit"))
     units = lines.unionByName(whole).withColumn("terms", _terms(F.col("unit"))).where(F.arrays_overlap("terms", keys))
