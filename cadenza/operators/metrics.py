@@ -55,3 +55,16 @@ def decay(samples: DataFrame, frame: int, drop_db: float, span: int, reach: int)
     rose = F.min(F.when(F.col("ge") > F.col("e"), F.col("g")))
     times = met.groupBy("rec", "f").agg(fell.alias("fell"), rose.alias("rose")).where("fell IS NOT NULL AND (rose IS NULL OR fell < rose)")
     return times.groupBy("rec").agg(F.median(F.col("fell") - F.col("f")).alias("frames"))
+
+
+def segment_snr(samples: DataFrame, speech: DataFrame, silences: DataFrame, window: int, guard: int) -> DataFrame:
+    """rec, snr_db, segments: median over speech ranges (rec, start, end) that follow a silence, of their level over that of
+    the silence's last ``window`` samples but for the last ``guard``."""
+    from .loudness import range_loudness
+
+    ranges = speech.select("rec", F.col("start").alias("i"), "start", "end")
+    loud = range_loudness(samples, ranges).select("rec", "i", F.col("z").alias("zs"))
+    last = silences.select("rec", F.col("end").alias("i"), F.greatest("start", F.col("end") - guard - window).alias("start"), (F.col("end") - guard).alias("end")).where("end > start")
+    noise = range_loudness(samples, last).select("rec", "i", F.col("z").alias("zn"))
+    both = loud.join(noise, ["rec", "i"]).where("zs > 0 AND zn > 0").select("rec", (10.0 * F.log10(F.col("zs") / F.col("zn"))).alias("snr"))
+    return both.groupBy("rec").agg(F.median("snr").alias("snr_db"), F.count(F.lit(1)).alias("segments"))

@@ -97,3 +97,21 @@ def broad_target(curve: DataFrame, octaves: float) -> DataFrame:
     other = curve.select(F.col("freq").alias("f2"), F.pow(F.lit(10.0), F.col("db") / 10.0).alias("p2"))
     near = curve.join(other, F.abs(F.log2(F.col("f2") / F.col("freq"))) <= octaves / 2 + 1e-9)
     return near.groupBy("i").agg((10.0 * F.log10(F.avg("p2"))).alias("target"))
+
+
+def smooth_widths(spectra: DataFrame, key: str, low: list[int], high: list[int]) -> DataFrame:
+    """``key``, k, db: mean level in dB of bins low[k]..high[k] of each frame, whose widths differ from bin to bin."""
+    level = F.transform("power", lambda p: 10.0 * F.log10(p + 1e-30))
+    bounds = F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in zip(low, high, strict=True)])
+    rows = spectra.select(key, level.alias("level"), F.posexplode(bounds).alias("k", "b"))
+    part = F.slice("level", F.col("b.lo") + 1, F.col("b.hi") - F.col("b.lo") + 1)
+    return rows.select(key, "k", (F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / F.size(part)).alias("db"))
+
+
+def octave_bounds(bins: int, hz: float, octaves: float, least: float) -> tuple[list[int], list[int]]:
+    """First and last bin within ``octaves`` / 2 of each bin, and at least ``least`` Hz wide; never bin 0 alone as a start."""
+    f = np.arange(bins) * hz
+    half = np.maximum(f * (2 ** (octaves / 2) - 2 ** (-octaves / 2)), least) / 2
+    low = np.minimum(np.maximum(1, np.floor((f - half) / hz)), bins - 1).astype(int)
+    high = np.maximum(low, np.minimum(bins - 1, np.ceil((f + half) / hz))).astype(int)
+    return low.tolist(), high.tolist()

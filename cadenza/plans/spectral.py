@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clicks, metrics, spectra
+from ..operators import clicks, islands, metrics, neural, spectra
 from ..sources.events import event_signal
-from .oracle import SIG, select
-from .signal import _r
+from ..sources.layout import lengths
+from .oracle import SIG, SIL, select
+from .signal import _r, _silences
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,10 +72,8 @@ def pulse_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
 gp AS (SELECT *, sum(w) OVER (PARTITION BY rec ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM mk)
 SELECT rec, min(start) AS start, max("end") AS "end" FROM gp GROUP BY rec, g"""))
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.islands import merge_intervals
-
     pieces = _bursts(spark, sf_dir).select("rec", F.col("start").alias("first"), (F.col("end") - 1).alias("last"))
-    return merge_intervals(pieces, 9).select("rec", F.col("first").alias("start"), (F.col("last") + 1).alias("end"))
+    return islands.merge_intervals(pieces, 9).select("rec", F.col("first").alias("start"), (F.col("last") + 1).alias("end"))
 
 
 def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,3 +186,33 @@ tm AS (SELECT pk.rec, pk.f, min(lv.f) FILTER (WHERE lv.e <= pk.e - 20) AS fell,
 SELECT rec, median(CAST(fell - f AS DOUBLE)) AS frames FROM tm WHERE fell IS NOT NULL AND (rose IS NULL OR fell < rose) GROUP BY rec"""))
 def decay_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.decay(event_signal(spark, sf_dir), 5, 20.0, 25.0, 200)
+
+
+_LOW, _HIGH = spectra.octave_bounds(33, 750.0, 0.5, 1600.0)
+_BOUNDS = "bo AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(zip(_LOW, _HIGH, strict=True))) + ") t(k, lo, hi))"
+
+
+@query(select(_DFT, ", " + _BOUNDS + " SELECT vec_id, CAST(bo.k AS INT) AS k, round(avg(10 * log10(p + 1e-30)), 4) AS db FROM bo JOIN ps ON ps.k BETWEEN lo AND hi GROUP BY vec_id, bo.k"))
+def prefix_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra.smooth_widths(_spectra(spark, sf_dir), "vec_id", _LOW, _HIGH).select("vec_id", "k", _r("db").alias("db"))
+
+
+_BANDS = neural.Config(size=64, hop=32, bands=8, low_bins=8)
+
+
+@query(select(_DFT, ", bm AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {b})" for k, b in neural.band_map(_BANDS)) + """) t(k, band))
+SELECT vec_id, CAST(band AS INT) AS band, round(10 * log10(avg(p) + 1e-10), 4) AS db FROM ps JOIN bm ON bm.k = ps.k GROUP BY vec_id, band"""))
+def erb_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = spectra.cells(_spectra(spark, sf_dir), "vec_id")
+    return neural.band_levels(cells, ["vec_id"], _BANDS).select("vec_id", "band", _r("db").alias("db"))
+
+
+@query(select(SIL, """, sp AS (SELECT rec, "end" AS i, "end" AS start, coalesce(lead(start) OVER (PARTITION BY rec ORDER BY start), (SELECT length FROM len WHERE len.rec = sil.rec)) AS fin FROM sil),
+zs AS (SELECT sp.rec, i, avg(x * x) AS zs FROM sp JOIN s ON s.rec = sp.rec AND n >= sp.start AND n < fin GROUP BY sp.rec, i),
+zn AS (SELECT sil.rec, sil."end" AS i, avg(x * x) AS zn FROM sil JOIN s ON s.rec = sil.rec AND n >= greatest(start, sil."end" - 12) AND n < sil."end" - 3 GROUP BY sil.rec, sil."end")
+SELECT zs.rec AS rec, round(median(10 * log10(zs / zn)), 4) AS snr_db, count(*) AS segments FROM zs JOIN zn ON zn.rec = zs.rec AND zn.i = zs.i WHERE zs > 0 AND zn > 0 GROUP BY zs.rec"""))
+def segment_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = event_signal(spark, sf_dir)
+    quiet = _silences(samples)
+    speech = islands.complement(quiet, lengths(samples))
+    return metrics.segment_snr(samples, speech, quiet, 9, 3).select("rec", _r("snr_db").alias("snr_db"), "segments")
