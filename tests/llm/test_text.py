@@ -173,21 +173,19 @@ FILES = [
 def test_licenses(spark):
     from pyspark.sql import functions as F
 
-    docs = spark.createDataFrame(FILES, "doc_id bigint, path string, text string").selectExpr("*", "'x' AS license", "1 AS score")
-    got = [r.asDict() for r in licenses.scan(docs, F.col("path")).collect()]
-    own = {}
-    for g in got:
-        if g["origin"] in ("notice", "file"):
-            own.setdefault(g["doc_id"], {})[g["license"]] = g["score"]
+    docs = spark.createDataFrame(FILES, "doc_id bigint, path string, text string").selectExpr("*", "'x' AS license", "1 AS own")
+    got = {r.doc_id: r for r in licenses.scan(docs, F.col("path")).collect()}
+    own = {i: {x.license: x.score for x in r.licenses} for i, r in got.items() if r.origin in ("notice", "file")}
     want = cosine_scan(FILES)
-    assert {i: set(x) for i, x in own.items()} == {i: set(x) for i, x in want.items()}
+    assert len(got) == len(FILES) and {i: set(x) for i, x in own.items()} == {i: set(x) for i, x in want.items()}
     assert all(own[i][k] == pytest.approx(want[i][k]) for i in own for k in own[i])
-    inherited = {(g["doc_id"], g["license"], g["directory"]) for g in got if g["origin"] == "inherited"}
-    assert inherited == {(2, "MIT", "a/b"), (4, "MIT", "a/b")}
-    assert {g["doc_id"] for g in got if g["origin"] == "none"} == {6, 7, 9, 10} - set(want)
+    assert {i: r.origin for i, r in got.items() if r.origin == "file"} == {1: "file", 3: "file"}
+    inherited = {(i, r.directory, *(x.license for x in r.licenses)) for i, r in got.items() if r.origin == "inherited"}
+    assert inherited == {(2, "a/b", "MIT"), (4, "a/b", "MIT")}
+    assert {i for i, r in got.items() if r.origin == "none" and r.licenses == []} == {6, 7, 9, 10} - set(want)
     assert licenses.scan(docs.limit(0), F.col("path")).count() == 0
     odd = spark.createDataFrame([(None, None, "Released under the MIT License."), (1, None, None), (1, "x/y", "t" * 100_000)], "doc_id bigint, path string, text string")
-    assert {(r.doc_id, r.license, r.origin) for r in licenses.scan(odd, F.col("path")).collect()} == {(None, "MIT", "notice"), (1, None, "none")}
+    assert {(r.doc_id, r.origin, len(r.licenses)) for r in licenses.scan(odd, F.col("path")).collect()} == {(None, "notice", 1), (1, "none", 0)}
 
 
 def test_quality(spark, sf_dir):
