@@ -185,7 +185,8 @@ def near_duplicates(
     member = materialize(member.join(sized, "node"), "members")
     groups = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     groups = groups.select(apart("component").alias("of"), F.ceil(F.greatest(F.col("n") / tile_docs, F.col("bytes") / tile_bytes)).cast("int").alias("chunks"))
-    bins = max(1, math.ceil(member.count() / tile_docs))
+    whole = member.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
+    bins = max(1, math.ceil(max(whole["n"] / tile_docs, (whole["bytes"] or 0) / tile_bytes)))
     dealt = member.join(groups, apart("component") == F.col("of")).select("node", "chunks", "component", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     pieces = rows.select("id", "text")
     # Merged at every size: the members are few on small inputs only, and texts are too many to gather on any side.
