@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import zlib
 from collections import Counter
 
@@ -99,3 +100,12 @@ def test_warc_records(spark):
             assert r.header_digest == r.payload_digest
             assert bytes(r.payload).decode() in {t or "" for _, _, t in PAGES}
     assert len({r.record_id for r in records}) == len(PAGES) - 1
+
+
+def test_release(spark):
+    from cadenza.llm.common import materialize, release
+
+    kept = materialize(spark.range(5), "r")
+    assert kept.count() == 5
+    release(spark)
+    assert not [f for f in kept.inputFiles() if os.path.exists(f.removeprefix("file://"))]
