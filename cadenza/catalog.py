@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import kernels, signal, spectral, tables
+from .plans import edits, kernels, signal, spectral, tables
 
 FLAGSHIP = "gated_loudness"
-_MODULES = (signal, spectral, tables, kernels)
+_MODULES = (signal, spectral, tables, kernels, edits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
