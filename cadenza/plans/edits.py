@@ -9,7 +9,7 @@ from ..operators import edit, loudness, sessions
 from ..sources.events import event_signal, two_channels
 from ..sources.layout import hop_sums, lengths
 from .oracle import GAIN, SIG, SIL, select
-from .signal import _points, _r, _segments
+from .signal import _analyzer, _r
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,7 +53,7 @@ def cut_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(select(GAIN, " SELECT rec, round(p / 1000.0 / 1.25, 6) AS seconds, round(pow(10, (db - 12) / 20), 6) AS value FROM pts"))
 def envelope_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = edit.envelope_points(_points(event_signal(spark, sf_dir)), 1000.0, 1.25, 12.0)
+    points = edit.envelope_points(_analyzer(spark, sf_dir).breakpoints, 1000.0, 1.25, 12.0)
     return points.select("rec", _r("seconds", 6).alias("seconds"), _r("value", 6).alias("value"))
 
 
@@ -97,9 +97,9 @@ FROM s JOIN g ON g.rec = s.rec GROUP BY s.rec"""))
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.num import db, lufs
 
-    samples = event_signal(spark, sf_dir)
-    level = samples.groupBy("rec").agg(lufs(F.avg(F.col("x") * F.col("x"))).alias("lufs"), db(F.max(F.abs("x"))).alias("peak_db"))
-    counts = _segments(samples).groupBy("rec").agg(F.count(F.lit(1)).alias("segments"))
+    a = _analyzer(spark, sf_dir)
+    level = a.samples.groupBy("rec").agg(lufs(F.avg(F.col("x") * F.col("x"))).alias("lufs"), db(F.max(F.abs("x"))).alias("peak_db"))
+    counts = a.segments.groupBy("rec").agg(F.count(F.lit(1)).alias("segments"))
     return sessions.report_lines(level.join(counts, "rec"))
 
 

@@ -11,7 +11,7 @@ from ..operators import clicks, equalise, islands, linear, recurrences, roomtone
 from ..sources.events import event_signal
 from ..sources.layout import lengths
 from .oracle import SIG, SIL, select
-from .signal import _r, _silences
+from .signal import _analyzer, _r
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -133,8 +133,8 @@ SELECT rec, i, round(CASE WHEN max(peak) < 1e-4 THEN -140 ELSE 20 * log10(sqrt(s
 
 @query(select(SIL, _SCORES))
 def clip_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = event_signal(spark, sf_dir)
-    return roomtone.window_scores(samples, _silences(samples).select("rec", "i", "start", "end"), 4).select("rec", "i", _r("score", 3).alias("score"))
+    a = _analyzer(spark, sf_dir)
+    return roomtone.window_scores(a.samples, a.silences.select("rec", "i", "start", "end"), 4).select("rec", "i", _r("score", 3).alias("score"))
 
 
 _BEST = """, w AS (SELECT sil.rec, i, p AS start, least("end", p + 20) AS "end" FROM sil, unnest(CASE WHEN "end" - start <= 20 THEN [start] ELSE generate_series(start, "end" - 20, 4) END) AS u(p)),
@@ -146,15 +146,15 @@ SELECT rec, i, arg_min(start, row(score, start)) AS start, arg_min("end", row(sc
 
 @query(select(SIL, _BEST))
 def best_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = event_signal(spark, sf_dir)
-    return roomtone.best_windows(samples, _silences(samples).select("rec", "i", "start", "end"), 20, 4, 4).select("rec", "i", "start", "end", _r("score", 3).alias("score"))
+    a = _analyzer(spark, sf_dir)
+    return roomtone.best_windows(a.samples, a.silences.select("rec", "i", "start", "end"), 20, 4, 4).select("rec", "i", "start", "end", _r("score", 3).alias("score"))
 
 
 @query()
 def roomtone_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = event_signal(spark, sf_dir)
-    clips = roomtone.keep_clean(roomtone.best_windows(samples, _silences(samples).select("rec", "i", "start", "end"), 20, 4, 4), 6.0)
-    return roomtone.bed(samples, clips, 400, 6, 8, 200)
+    a = _analyzer(spark, sf_dir)
+    clips = roomtone.keep_clean(roomtone.best_windows(a.samples, a.silences.select("rec", "i", "start", "end"), 20, 4, 4), 6.0)
+    return roomtone.bed(a.samples, clips, 400, 6, 8, 200)
 
 
 @query()

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.num import compressor_gain, db, expander_gain, lufs, nearest_rank
 from ..operators import envelope, islands, loudness, peaks
-from ..sources.events import BLOCK, FRAME, HOP, MIN_RUN, event_signal
-from ..sources.layout import in_chunk, lengths, with_halo
+from ..sources.events import BLOCK, FRAME, HOP, event_signal
+from ..sources.layout import in_chunk, with_halo
+from .analyzer import Analyzer
 from .oracle import BLK, GAIN, SIG, SIL, select
 
 QUERIES: dict = {}
@@ -106,51 +107,35 @@ def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loudness.otsu(values).select("rec", _r("threshold").alias("threshold"))
 
 
-def _frames(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("rec", F.floor(F.col("n") / FRAME).alias("f")).agg(F.avg(F.col("x") * F.col("x")).alias("z"))
-
-
-def _silences(samples: DataFrame) -> DataFrame:
-    return islands.silences(_frames(samples), F.col("z") < 1e-6, FRAME, MIN_RUN, lengths(samples))
-
-
-def _segments(samples: DataFrame) -> DataFrame:
-    return loudness.range_loudness(samples, islands.segments(_silences(samples), lengths(samples)))
-
-
-def _gains(samples: DataFrame) -> DataFrame:
-    return envelope.segment_gains(_segments(samples), -40.0, -18.0, 30.0)
-
-
-def _points(samples: DataFrame) -> DataFrame:
-    return envelope.breakpoints(_gains(samples), _silences(samples), lengths(samples))
+def _analyzer(spark: SparkSession, sf_dir: str) -> Analyzer:
+    return Analyzer(event_signal(spark, sf_dir))
 
 
 @query(select(SIL, 'SELECT rec, i, start, "end", mid FROM sil'))
 def silence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _silences(event_signal(spark, sf_dir))
+    return _analyzer(spark, sf_dir).silences
 
 
 @query(select(SIL, """SELECT rec, start, "end" FROM (SELECT rec, coalesce(lag("end") OVER (PARTITION BY rec ORDER BY start), 0) AS start, start AS "end" FROM sil
 UNION ALL SELECT len.rec, coalesce(max("end"), 0), max(length) FROM len LEFT JOIN sil ON sil.rec = len.rec GROUP BY len.rec) WHERE "end" > start"""))
 def speech_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = event_signal(spark, sf_dir)
-    return islands.complement(_silences(samples), lengths(samples))
+    a = _analyzer(spark, sf_dir)
+    return islands.complement(a.silences, a.lengths)
 
 
 @query(select(SIL, 'SELECT rec, i, start, "end", round(CASE WHEN z > 0 THEN -0.691 + 10 * log10(z) END, 4) AS lufs FROM segz'))
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(event_signal(spark, sf_dir)).select("rec", "i", "start", "end", _r(lufs(F.col("z"))).alias("lufs"))
+    return _analyzer(spark, sf_dir).segments.select("rec", "i", "start", "end", _r(lufs(F.col("z"))).alias("lufs"))
 
 
 @query(select(GAIN, "SELECT rec, i, is_speech, round(filled, 4) AS gain_db FROM filled"))
 def nearest_speech_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gains(event_signal(spark, sf_dir)).select("rec", "i", "is_speech", _r("filled_db").alias("gain_db"))
+    return _analyzer(spark, sf_dir).gains.select("rec", "i", "is_speech", _r("filled_db").alias("gain_db"))
 
 
 @query(select(GAIN, 'SELECT rec, p AS "at", round(db, 4) AS db FROM pts'))
 def breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(event_signal(spark, sf_dir)).select("rec", "at", _r("db").alias("db"))
+    return _analyzer(spark, sf_dir).breakpoints.select("rec", "at", _r("db").alias("db"))
 
 
 _ENVELOPE = """, sp AS (SELECT rec, p, db, lead(p) OVER w AS np, lead(db) OVER w AS ndb FROM pts WINDOW w AS (PARTITION BY rec ORDER BY p, db)),
@@ -159,27 +144,27 @@ env AS (SELECT s.rec, n, x, db + (ndb - db) * (n - p) / (np - p) AS g FROM s JOI
 
 @query(select(GAIN, _ENVELOPE + " SELECT rec, n, round(g, 4) AS gain_db FROM env"))
 def gain_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = event_signal(spark, sf_dir)
-    return envelope.gain_envelope(samples, _points(samples)).select("rec", "n", _r("gain_db").alias("gain_db"))
+    a = _analyzer(spark, sf_dir)
+    return envelope.gain_envelope(a.samples, a.breakpoints).select("rec", "n", _r("gain_db").alias("gain_db"))
 
 
 @query(select(GAIN, _ENVELOPE + " SELECT rec, n, round(x * pow(10, g / 20), 6) + 0.0 AS x FROM env"))
 def levelled_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = event_signal(spark, sf_dir)
-    return envelope.apply_gain(samples, envelope.gain_envelope(samples, _points(samples))).select("rec", "n", (_r("x", 6) + 0.0).alias("x"))
+    a = _analyzer(spark, sf_dir)
+    return envelope.apply_gain(a.samples, envelope.gain_envelope(a.samples, a.breakpoints)).select("rec", "n", (_r("x", 6) + 0.0).alias("x"))
 
 
 @query(select(GAIN, """ SELECT rec, round(sum(filled * ("end" - start)) FILTER (WHERE is_speech) / sum("end" - start) FILTER (WHERE is_speech), 4) AS gain_db FROM filled GROUP BY rec"""))
 def weighted_mean_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when(F.col("is_speech"), F.col("end") - F.col("start"))
-    return _gains(event_signal(spark, sf_dir)).groupBy("rec").agg(_r(F.sum(F.col("filled_db") * size) / F.sum(size)).alias("gain_db"))
+    return _analyzer(spark, sf_dir).gains.groupBy("rec").agg(_r(F.sum(F.col("filled_db") * size) / F.sum(size)).alias("gain_db"))
 
 
 @query(select(SIL, """, pz AS (SELECT sil.rec, i, sil."end" - start AS n, avg(x * x) AS z FROM sil JOIN s ON s.rec = sil.rec AND s.n >= start AND s.n < "end" GROUP BY sil.rec, i, start, sil."end")
 SELECT rec, round(10 * log10(sum(n * pow(10, (-0.691 + 10 * log10(z)) / 10)) / sum(n)), 4) AS lufs FROM pz WHERE z > 0 GROUP BY rec"""))
 def pause_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = event_signal(spark, sf_dir)
-    pauses = loudness.range_loudness(samples, _silences(samples).select("rec", "i", "start", "end")).withColumn("l", lufs(F.col("z"))).where("l IS NOT NULL")
+    a = _analyzer(spark, sf_dir)
+    pauses = loudness.range_loudness(a.samples, a.silences.select("rec", "i", "start", "end")).withColumn("l", lufs(F.col("z"))).where("l IS NOT NULL")
     size = F.col("end") - F.col("start")
     return pauses.groupBy("rec").agg(_r(10.0 * F.log10(F.sum(size * F.pow(F.lit(10.0), F.col("l") / 10.0)) / F.sum(size))).alias("lufs"))
 

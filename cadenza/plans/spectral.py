@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import clicks, islands, metrics, neural, spectra
 from ..sources.events import event_signal
-from ..sources.layout import lengths
 from .oracle import SIG, SIL, select
-from .signal import _r, _silences
+from .signal import _analyzer, _r
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -212,7 +211,6 @@ zs AS (SELECT sp.rec, i, avg(x * x) AS zs FROM sp JOIN s ON s.rec = sp.rec AND n
 zn AS (SELECT sil.rec, sil."end" AS i, avg(x * x) AS zn FROM sil JOIN s ON s.rec = sil.rec AND n >= greatest(start, sil."end" - 12) AND n < sil."end" - 3 GROUP BY sil.rec, sil."end")
 SELECT zs.rec AS rec, round(median(10 * log10(zs / zn)), 4) AS snr_db, count(*) AS segments FROM zs JOIN zn ON zn.rec = zs.rec AND zn.i = zs.i WHERE zs > 0 AND zn > 0 GROUP BY zs.rec"""))
 def segment_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = event_signal(spark, sf_dir)
-    quiet = _silences(samples)
-    speech = islands.complement(quiet, lengths(samples))
-    return metrics.segment_snr(samples, speech, quiet, 9, 3).select("rec", _r("snr_db").alias("snr_db"), "segments")
+    a = _analyzer(spark, sf_dir)
+    speech = islands.complement(a.silences, a.lengths)
+    return metrics.segment_snr(a.samples, speech, a.silences, 9, 3).select("rec", _r("snr_db").alias("snr_db"), "segments")
