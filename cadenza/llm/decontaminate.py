@@ -1,121 +1,154 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: shared n-grams find candidate passages, Smith-Waterman alignment scores them.
 
-1. A bitmap of fixed size marks the benchmark's n-grams. Documents are scanned once against it, and the passages around
-   marked n-grams are kept, with the n-grams.
-2. The n-grams' frequencies over all documents rank them; each stretch of an item keeps its rarest as its seed.
-3. Seeds join passages to items, and each pair is aligned over words. The score is the best local alignment's share of
-   the item: 1 for a copy, less by edits.
+An alignment of an item of n words that scores t or more has m >= t n + e / 2 matched words at e edits, in at most e + 1
+runs; as m <= n, there are at most 2 (1 - t) n edits. So
 
-Nothing that grows with the documents is broadcast or collected; the bitmap is false for no marked n-gram, and what it
-lets through by chance is dropped by the join.
+1. it lies in n + 2 (1 - t) n words of the document;
+2. at least (2 t - 1) n - 1 of the item's 2-grams are intact in it. Where that is not over 0 (items of 5 words at t = 0.6),
+   single words take their place, of which there are at least t n;
+3. with M of the item's words and B of its 2-grams anywhere in a passage, no alignment there earns over (M + B + 1) / 2.
+
+Documents are scanned against the benchmark's grams; passages that meet 1 and 2 for an item are kept as they are, and those
+that meet 3 are aligned. No bound loses an alignment of the threshold or more, and grams are not ranked or sampled.
+
+The benchmark is broadcast in parts of at most about PART words, for each of which the documents are scanned once. Nothing
+that grows with the documents is broadcast or collected.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import body, materialize, without_ids
-from .shingles import shingle_hashes, word_hashes, words_of
+from .shingles import mix, word_hashes, words_of
 from .tokens import slices
 
-GRAM = 4
-STRETCH = 4
 #: Items are aligned in windows of at most so many words, each half over the next; shorter items than MIN_WORDS are no evidence.
 WINDOW, MIN_WORDS = 512, 5
-BITS = 23
+#: Words of a part of the benchmark, and of a piece of a document (pieces overlap by what an alignment can reach).
+PART, PIECE = 1 << 16, 1 << 14
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _bits(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in the bitmap for each n-gram."""
-    u = grams.view(np.uint64)
-    return (u & np.uint64((1 << BITS) - 1)).astype(np.int64), (u >> np.uint64(64 - BITS)).astype(np.int64)
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes as int64, their offsets)."""
+    codes, distinct, offsets = words_of(texts)
+    return word_hashes(codes, distinct).view(np.int64), offsets
 
 
-def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, their offsets, n-gram hashes, their offsets), hashes as int64."""
-    codes, distinct, offsets = words_of(texts)
-    words = word_hashes(codes, distinct)
-    grams, ends = shingle_hashes(words, offsets, GRAM)
-    return words.view(np.int64), offsets, grams.view(np.int64), ends
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """The hash of each word with the next."""
+    w = words.view(np.uint64)
+    return mix((w[:-1] * _FACTOR) ^ w[1:]).view(np.int64)
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, window, words (hashes) and grams (hashes, in order) of the benchmark's items of at least MIN_WORDS words."""
-    schema = pa.schema([("item", pa.int64()), ("window", pa.int32()), ("words", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+    """item, window and words (hashes) of the benchmark's items of at least MIN_WORDS words."""
+    schema = pa.schema([("item", pa.int64()), ("window", pa.int32()), ("words", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, offsets, grams, ends = _coded(batch.column(1))
-            rows: tuple[list, ...] = ([], [], [], [])
+            words, offsets = _coded(batch.column(1))
+            rows: tuple[list, ...] = ([], [], [])
             for i, item in enumerate(batch.column(0).to_pylist()):
                 n = offsets[i + 1] - offsets[i]
                 for k, at in enumerate(range(0, max(1, n - WINDOW // 2), WINDOW // 2) if n >= MIN_WORDS else ()):
                     w = words[offsets[i] + at : min(offsets[i] + at + WINDOW, offsets[i + 1])]
-                    g = grams[ends[i] + at : ends[i] + at + max(1, len(w) - GRAM + 1)]
-                    for column, value in zip(rows, (item, k, w, g), strict=True):
+                    for column, value in zip(rows, (item, k, w), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema, strict=True)], schema=schema)
 
     rows = benchmark.select(F.col(item_col).cast("bigint").alias("item"), body(text_col).alias("text"))
-    return rows.mapInArrow(cut, "item bigint, window int, words array<bigint>, grams array<bigint>")
-
-
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """The bitmap: 2^BITS bits, put together by Spark word by word, so at most 2^BITS / 64 rows come back."""
-    gram = windows.select(F.explode("grams").alias("g"))
-    low = F.col("g").bitwiseAND(F.lit((1 << BITS) - 1))
-    high = F.shiftrightunsigned("g", 64 - BITS)
-    places = gram.select(F.explode(F.array(low, high)).alias("p")).select((F.shiftright("p", 6)).alias("w"), F.pmod("p", F.lit(64)).cast("int").alias("b"))
-    rows = places.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).collect()
-    out = np.zeros(1 << (BITS - 6), dtype=np.int64)
-    for r in rows:
-        out[r["w"]] = r["bits"]
-    return out.view(np.uint8)
-
-
-def passages(docs: DataFrame, bitmap: np.ndarray, reach: int, id_col: str, text_col: str) -> DataFrame:
-    """uid, doc_id, start (first word), words and grams (those in the bitmap) of the passages around marked n-grams.
-
-    A passage reaches ``reach`` words to either side of a marked n-gram; passages that touch are one. ``uid`` tells rows
-    apart by id and text.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 1 MB, whatever the benchmark
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        marked = lambda p: (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1
-        for batch in batches:
-            for at, n in slices(batch.column(2), 4 << 20):
-                part = batch.slice(at, n)
-                words, offsets, grams, ends = _coded(part.column(2))
-                low, high = _bits(grams)
-                hits = np.flatnonzero(marked(low))
-                hits = hits[marked(high[hits]) == 1]
-                doc = np.searchsorted(ends, hits, side="right") - 1
-                first = offsets[doc] + (hits - ends[doc])
-                left, right = np.maximum(first - reach, offsets[doc]), np.minimum(first + GRAM + reach, offsets[doc + 1])
-                new = np.ones(len(hits), dtype=bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (left[1:] > right[:-1])
-                group = np.flatnonzero(new)
-                ids, uids = part.column(1).to_pylist(), part.column(0).to_pylist()
-                rows: tuple[list, ...] = ([], [], [], [], [])
-                for a, b in zip(group, np.append(group, len(hits))[1:], strict=True):
-                    d = doc[a]
-                    for column, value in zip(rows, (uids[d], ids[d], left[a] - offsets[d], words[left[a] : right[b - 1]], np.unique(grams[hits[a:b]])), strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema, strict=True)], schema=schema)
-
-    text = body(text_col)
-    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("uid"), F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
-    return rows.mapInArrow(scan, "uid bigint, doc_id bigint, start bigint, words array<bigint>, grams array<bigint>")
+    return rows.mapInArrow(cut, "item bigint, window int, words array<bigint>")
+
+
+@dataclass
+class Index:
+    """A part of the benchmark's windows: their items, words and bounds, and by gram length (1, 2) where its grams are."""
+
+    item: list[int | None]
+    words: list[np.ndarray]
+    gram: np.ndarray  # the length of the grams that find a window
+    need: np.ndarray  # so many of them are in an alignment that reaches the threshold
+    span: np.ndarray  # in so many words of the document
+    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # distinct grams, the places of their owners, owners
+
+
+def index_of(item: list[int | None], words: list[np.ndarray], threshold: float) -> Index:
+    n = np.array([len(w) for w in words], dtype=np.int64)
+    intact = (2 * threshold - 1) * n - 1
+    gram = np.where(intact > 1e-9, 2, 1)
+    need = np.maximum(1, np.ceil(np.where(gram == 2, intact, threshold * n) - 1e-9)).astype(np.int64)
+    span = n + np.floor(2 * max(0.0, 1 - threshold) * n + 1e-9).astype(np.int64)
+    grams = {}
+    for length in (1, 2):
+        of = np.flatnonzero(gram == length)
+        keys = [words[i] if length == 1 else _pairs(words[i]) for i in of]
+        flat = np.concatenate([np.zeros(0, dtype=np.int64), *keys])
+        order = np.argsort(flat, kind="stable")
+        distinct, first = np.unique(flat[order], return_index=True)
+        grams[length] = distinct, np.append(first, len(flat)), np.repeat(of, np.array([len(k) for k in keys], dtype=np.int64))[order]
+    return Index(item, words, gram, need, span, grams)
+
+
+def _pieces(offsets: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end word) of overlapping pieces of texts; each run of ``overlap`` words is in one whole."""
+    step = max(PIECE, 2 * overlap) - overlap
+    sizes = np.diff(offsets)
+    count = np.where(sizes > 0, np.maximum(1, -(-(sizes - overlap) // step)), 0)
+    text = np.repeat(np.arange(len(sizes)), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    first = offsets[:-1][text] + number * step
+    return text, first, np.minimum(first + step + overlap, offsets[1:][text])
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... (count[i] numbers) for each i, in order."""
+    return np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
+def candidates(words: np.ndarray, offsets: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, window, first word, end word) of the passages where an alignment may reach the threshold."""
+    text, first, end = _pieces(offsets, int(index.span.max(initial=0)))
+    for length, (distinct, owners_at, owners) in index.grams.items():
+        if not len(distinct) or len(words) < length:
+            continue
+        keys = words if length == 1 else _pairs(words)
+        where = np.minimum(np.searchsorted(distinct, keys), len(distinct) - 1)
+        at = np.flatnonzero(distinct[where] == keys)
+        low, high = np.searchsorted(at, first), np.searchsorted(at, end - length + 1)
+        count = np.maximum(high - low, 0)
+        pos, piece = at[_ranges(low, count)], np.repeat(np.arange(len(first)), count)
+        of = where[pos]
+        count = owners_at[of + 1] - owners_at[of]
+        owner = owners[_ranges(owners_at[of], count)]
+        pos, piece = np.repeat(pos, count), np.repeat(piece, count)
+        order = np.lexsort((pos, owner, piece))
+        pos, piece, owner = pos[order], piece[order], owner[order]
+        last = np.arange(len(pos)) + index.need[owner] - 1
+        held = last < len(pos)
+        last = np.minimum(last, len(pos) - 1)
+        held &= (piece[last] == piece) & (owner[last] == owner) & (pos[last] - pos < index.span[owner])
+        pos, piece, owner = pos[held], piece[held], owner[held]
+        left, right = np.maximum(pos - index.span[owner], first[piece]), np.minimum(pos + index.span[owner], end[piece])
+        new = np.ones(len(pos), dtype=bool)
+        new[1:] = (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1]) | (left[1:] > right[:-1])
+        group = np.flatnonzero(new)
+        for a, b in zip(group, np.append(group, len(pos))[1:] - 1, strict=True):
+            item, part = index.words[owner[a]], words[left[a] : right[b]]
+            m = int(np.isin(item, part).sum())
+            least = threshold * len(item) - 1e-9
+            if m >= least and (length == 1 or m + int(np.isin(_pairs(item), _pairs(part)).sum()) + 1 >= 2 * least):
+                yield int(text[piece[a]]), int(owner[a]), int(left[a]), int(right[b])
 
 
 def _best(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +189,31 @@ def align(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
     return score / (MATCH * nb), end - length, end
 
 
+def _alignments(docs: DataFrame, index: Index, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, item, score, first and end (words of the document) of the alignments that reach the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("score", pa.float64()), ("first", pa.int64()), ("end", pa.int64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            for at, n in slices(batch.column(1), 4 << 20):
+                part = batch.slice(at, n)
+                words, offsets = _coded(part.column(1))
+                ids = part.column(0).to_pylist()
+                found = sorted(candidates(words, offsets, index, threshold), key=lambda c: c[3] - c[2])
+                for k in range(0, len(found), 128):
+                    some = found[k : k + 128]
+                    share, first, end = align([words[a:b] for _, _, a, b in some], [index.words[w] for _, w, _, _ in some])
+                    start = np.array([a - offsets[d] for d, _, a, _ in some])
+                    keep = np.flatnonzero(share >= threshold)
+                    columns = [ids[some[i][0]] for i in keep], [index.item[some[i][1]] for i in keep], share[keep], (first + start)[keep], (end + start)[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), body(text_col).alias("text"))
+    return rows.mapInArrow(scan, "doc_id bigint, item bigint, score double, first bigint, end bigint")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.6) -> DataFrame:
     """The pairs of documents and benchmark items of which the document holds a copy, whole or edited.
 
@@ -168,29 +226,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     appear with a null id; empty tables give no rows. Other columns are not read.
     """
     windows = materialize(item_windows(benchmark, item_col, item_text_col), "items")
-    reach = windows.agg(F.max(F.size("words")).alias("n")).first()["n"] or 0
-    found = materialize(passages(docs, _bitmap(windows), reach, id_col, text_col), "passages")
-
-    held = found.select("uid", "start", F.explode("grams").alias("gram"))
-    seed = windows.select("item", "window", F.posexplode("grams").alias("at", "gram"))
-    frequency = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    ranked = seed.join(frequency, "gram").groupBy("item", "window", F.floor(F.col("at") / STRETCH).alias("stretch")).agg(F.min(F.struct("n", "gram")).alias("rarest"))
-    seeds = ranked.select("item", "window", F.col("rarest.gram").alias("of")).distinct()
-    pairs = held.join(seeds, held["gram"] == seeds["of"]).select("uid", "start", "item", "window").distinct()
-    texts = found.dropDuplicates(["uid", "start"]).select(F.col("uid").alias("u"), F.col("start").alias("s"), "doc_id", "words")
-    items = windows.select(F.col("item").alias("i"), F.col("window").alias("w"), F.col("words").alias("item_words")).dropDuplicates(["i", "w"])
-    joined = pairs.join(items, pairs["item"].eqNullSafe(items["i"]) & (pairs["window"] == items["w"])).join(texts, (F.col("uid") == F.col("u")) & (F.col("start") == F.col("s")))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame.iloc[np.argsort(frame["words"].map(len).to_numpy(), kind="stable")]
-            for at in range(0, len(frame), 128):
-                part = frame.iloc[at : at + 128]
-                share, first, end = align(part["words"].tolist(), part["item_words"].tolist())
-                out = pd.DataFrame({"uid": part["uid"], "doc_id": part["doc_id"].astype("Int64"), "item": part["item"].astype("Int64"), "score": share.astype(float), "first": first + part["start"], "end": end + part["start"]})
-                yield out[out["score"] >= threshold]
-
-    scored = joined.select("uid", "doc_id", "item", "start", "words", "item_words").mapInPandas(score, "uid bigint, doc_id bigint, item bigint, score double, first bigint, end bigint")
+    parts = max(1, -(-(windows.agg(F.sum(F.size("words"))).first()[0] or 0) // PART))
+    scored = []
+    for k in range(parts):
+        rows = windows.where(F.pmod(F.xxhash64("item", "window"), F.lit(parts)) == k).select("item", "words").toArrow()
+        index = index_of(rows["item"].to_pylist(), [w.values.to_numpy() for w in rows["words"]], threshold)
+        scored.append(_alignments(docs, index, threshold, id_col, text_col))
+    scored = reduce(DataFrame.unionByName, scored)
     best = scored.groupBy("doc_id", "item").agg(F.max(F.struct("score", -F.col("first"), "end")).alias("b"))
     return best.select(F.col("doc_id").alias(id_col), F.col("item").alias(item_col), F.col("b.score").alias("score"), (-F.col("b.col2")).alias("start_word"), F.col("b.end").alias("end_word"))
 
