@@ -42,11 +42,8 @@ def loads(data: np.ndarray) -> np.ndarray:
     return np.ndarray((max(0, len(data) - 7),), dtype=">u8", buffer=data, strides=(1,)).astype(np.uint64)
 
 
-def find(data: np.ndarray, offsets: np.ndarray) -> Anchors:
-    """Anchors of the texts data[offsets[i]:offsets[i + 1]]; at most 2^24 bytes. Texts under WIDTH bytes have none."""
-    empty = np.zeros(0, dtype=np.int64)
-    if len(data) < WIDTH:
-        return Anchors(empty, empty, empty, empty, empty)
+def _owners(data: np.ndarray) -> np.ndarray:
+    """The place of the gram that owns the window at each place; of WIDTH to 2^24 bytes."""
     eight = loads(data)
     n = len(data) - K + 1
     h = eight[:n] * _FACTORS[0]
@@ -59,7 +56,27 @@ def find(data: np.ndarray, offsets: np.ndarray) -> Anchors:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     low = np.minimum(low[: len(data) - WIDTH + 1], low[_SPAN - span : _SPAN - span + len(data) - WIDTH + 1])
-    owner = (low & _U((1 << _POSITION) - 1)).astype(np.int64)
+    return (low & _U((1 << _POSITION) - 1)).astype(np.int64)
+
+
+def _hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The hashes of the grams at ``places``."""
+    eight = data[places[:, None] + np.arange(K)].view(">u8").astype(np.uint64)
+    return mix((eight * _FACTORS).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def find(data: np.ndarray, offsets: np.ndarray) -> Anchors:
+    """Anchors of the texts data[offsets[i]:offsets[i + 1]]. Texts under WIDTH bytes have none.
+
+    Owners are found in pieces of 2^24 bytes, each WIDTH - 1 over the next, so that every window lies in one piece.
+    """
+    empty = np.zeros(0, dtype=np.int64)
+    if len(data) < WIDTH:
+        return Anchors(empty, empty, empty, empty, empty)
+    step = (1 << _POSITION) - WIDTH + 1
+    starts = range(0, len(data) - WIDTH + 1, step)
+    pieces = [_owners(data[at : at + step + WIDTH - 1]) for at in starts]
+    owner = pieces[0] if len(pieces) == 1 else np.concatenate([p + at for p, at in zip(pieces, starts, strict=True)])
     sizes = np.diff(offsets)
     windows = np.maximum(sizes - WIDTH + 1, 0)
     text = np.repeat(np.arange(len(sizes)), windows)
@@ -69,7 +86,7 @@ def find(data: np.ndarray, offsets: np.ndarray) -> Anchors:
     new[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
     last = np.append(at, len(owner))[1:] - 1
-    return Anchors(text[at], first[at], first[last] + WIDTH, h[owner[at]].view(np.int64), owner[at])
+    return Anchors(text[at], first[at], first[last] + WIDTH, _hashes(data, owner[at]), owner[at])
 
 
 def context_digests(data: np.ndarray, found: Anchors) -> tuple[np.ndarray, np.ndarray]:
