@@ -1,5 +1,6 @@
 """Near-duplicates, decontamination, substring removal, licences and quality against brute force, with odd rows."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -31,7 +32,11 @@ def near_rows():
     base = text_of(r, 300)
     texts += [edited(r, base, int(k)) for k in r.integers(1, 8, 60)] + [base, base.upper() + " !", texts[0], texts[0]]
     rows = list(enumerate(texts))
-    return [*rows, (500, None), (501, ""), (502, "?!"), (503, "one two"), (504, "One, two."), (3, texts[3]), (None, base), (600, text_of(r, 20_000))]
+    rows += [(500, None), (501, ""), (502, "?!"), (503, "one two"), (504, "One, two."), (3, texts[3]), (None, base), (600, text_of(r, 20_000))]
+    lone, other = text_of(r, 150), text_of(r, 150)
+    rows += [(3, lone), (601, edited(r, lone, 2)), (None, edited(r, lone, 3)), (None, other), (None, edited(r, other, 1)), (None, other)]
+    long = text_of(r, 2400).split()  # a chain: each text is near its neighbours only
+    return rows + [(1000 + k, " ".join(long[10 * k : 10 * k + 120])) for k in range(220)]
 
 
 def shingles(text):
@@ -39,34 +44,55 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-@pytest.mark.parametrize("tile_docs", [1024, 16])
+@pytest.mark.parametrize("tile_docs", [1024, 4])
 def test_near_duplicates(spark, near_rows, tile_docs):
-    docs = spark.createDataFrame(near_rows, "doc_id bigint, text string").selectExpr("*", "1 AS links", "2 AS node").repartition(3)
+    docs = spark.createDataFrame(near_rows, "doc_id bigint, text string").selectExpr("*", "1 AS links", "2 AS node", "3 AS id").repartition(3)
     got = [tuple(r) for r in near_dup.near_duplicates(docs, tile_docs=tile_docs).collect()]
-    node = {}
-    for i, t in near_rows:
-        if i is not None:
-            node[t or ""] = min(node.get(t or "", i), i)
-    sets, parent, links = {n: shingles(t) for t, n in node.items()}, {n: n for n in node.values()}, Counter()
+    texts = sorted({t or "" for _, t in near_rows})
+    sets, parent, links = [shingles(t) for t in texts], list(range(len(texts))), Counter()
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    nodes = sorted(sets)
-    for k, a in enumerate(nodes):
-        for b in nodes[k + 1 :]:
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
             if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                links[a] += 1
-                links[b] += 1
-                parent[max(root(a), root(b))] = min(root(a), root(b))
-    want = sorted((i, root(node[t or ""]), links[node[t or ""]]) for i, t in near_rows if i is not None)
-    assert sum(links.values()) > 200
-    assert sorted(g[:3] for g in got if g[0] is not None) == want
-    assert len(got) == len(near_rows) and [g for g in got if g[0] is None][0][1] is None
-    kept = {r.doc_id for r in near_dup.keep_one(docs.select("doc_id", "text")).collect()}
-    assert kept == {c for _, c, _ in want} | {None}
+                links[texts[a]] += 1
+                links[texts[b]] += 1
+                parent[root(a)] = root(b)
+    of_id, number = {}, {t: k for k, t in enumerate(texts)}
+    for i, t in near_rows:
+        if i is not None:
+            parent[root(number[t or ""])] = root(of_id.setdefault(i, number[t or ""]))
+    least = {}
+    for i, t in near_rows:
+        c = root(number[t or ""])
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    copies = Counter(t or "" for _, t in near_rows)
+    want = [(i, least[root(number[t or ""])], links[t or ""], copies[t or ""]) for i, t in near_rows]
+    assert sum(links.values()) > 400
+    assert Counter(got) == Counter(want)
+    kept = Counter(tuple(r) for r in near_dup.keep_one(docs.select("doc_id", "text"), tile_docs=tile_docs).collect())
+    named = Counter((i, t) for i, t in near_rows if i is not None and i == least[root(number[t or ""])])
+    unnamed = [(i, t) for i, t in near_rows if i is None and least[root(number[t or ""])] is None]
+    first = min((t for _, t in unnamed), key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert kept == named + Counter(x for x in unnamed if x[1] == first)
+
+
+def test_large_chains_are_compared_by_band(spark, near_rows):
+    """The chain's bands hold fewer texts than its chunks would; the dense class stays whole."""
+    rows = spark.createDataFrame(near_rows, "id bigint, text string").selectExpr("id", "coalesce(text, '') AS text", "unhex(sha2(coalesce(text, ''), 256)) AS digest")
+    nodes = near_dup._sketched(rows).groupBy("digest").agg({"size": "max", "bands": "first"}).toDF("digest", "size", "bands")
+    nodes = near_dup.materialize(nodes.selectExpr("*", "monotonically_increasing_id() AS node"), "nodes")
+    tiles = {(r.tile.band, r.tile.i >= 0) for r in near_dup._blocks(nodes, 4, 8 << 20).collect()}
+    assert (True, False) in tiles and (False, True) in tiles
+
+
+def test_near_duplicates_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert near_dup.near_duplicates(docs).count() == 0 and near_dup.keep_one(docs).count() == 0
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():
