@@ -31,10 +31,11 @@ from .common import body, materialize, without_ids
 from .shingles import mix, word_hashes, words_of
 from .tokens import slices
 
-#: Items are aligned in windows of at most so many words, each half over the next; shorter items than MIN_WORDS are no evidence.
-WINDOW, MIN_WORDS = 512, 5
-#: Words of a part of the benchmark, and of a piece of a document (pieces overlap by what an alignment can reach).
+#: Words of a part of the benchmark (more where one item is longer), and of a piece of a document (pieces overlap by what an
+#: alignment can reach).
 PART, PIECE = 1 << 16, 1 << 14
+#: Words of passages and items, padded, that are aligned at once.
+TOGETHER = 1 << 18
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,33 +52,27 @@ def _pairs(words: np.ndarray) -> np.ndarray:
     return mix((w[:-1] * _FACTOR) ^ w[1:]).view(np.int64)
 
 
-def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, window and words (hashes) of the benchmark's items of at least MIN_WORDS words."""
-    schema = pa.schema([("item", pa.int64()), ("window", pa.int32()), ("words", pa.list_(pa.int64()))])
+def coded_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item and words (hashes) of the benchmark's items that have words."""
+    schema = pa.schema([("item", pa.int64()), ("words", pa.list_(pa.int64()))])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, offsets = _coded(batch.column(1))
-            rows: tuple[list, ...] = ([], [], [])
-            for i, item in enumerate(batch.column(0).to_pylist()):
-                n = offsets[i + 1] - offsets[i]
-                for k, at in enumerate(range(0, max(1, n - WINDOW // 2), WINDOW // 2) if n >= MIN_WORDS else ()):
-                    w = words[offsets[i] + at : min(offsets[i] + at + WINDOW, offsets[i + 1])]
-                    for column, value in zip(rows, (item, k, w), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema, strict=True)], schema=schema)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema=schema).filter(pa.array(np.diff(offsets) > 0))
 
     rows = benchmark.select(F.col(item_col).cast("bigint").alias("item"), body(text_col).alias("text"))
-    return rows.mapInArrow(cut, "item bigint, window int, words array<bigint>")
+    return rows.mapInArrow(code, "item bigint, words array<bigint>").distinct()
 
 
 @dataclass
 class Index:
-    """A part of the benchmark's windows: their items, words and bounds, and by gram length (1, 2) where its grams are."""
+    """A part of the benchmark: its items, their words and bounds, and by gram length (1, 2) where its grams are."""
 
     item: list[int | None]
     words: list[np.ndarray]
-    gram: np.ndarray  # the length of the grams that find a window
+    gram: np.ndarray  # the length of the grams that find an item
     need: np.ndarray  # so many of them are in an alignment that reaches the threshold
     span: np.ndarray  # in so many words of the document
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # distinct grams, the places of their owners, owners
@@ -117,7 +112,7 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def candidates(words: np.ndarray, offsets: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[int, int, int, int]]:
-    """(text, window, first word, end word) of the passages where an alignment may reach the threshold."""
+    """(text, item, first word, end word) of the passages where an alignment may reach the threshold."""
     text, first, end = _pieces(offsets, int(index.span.max(initial=0)))
     for length, (distinct, owners_at, owners) in index.grams.items():
         if not len(distinct) or len(words) < length:
@@ -189,6 +184,21 @@ def align(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
     return score / (MATCH * nb), end - length, end
 
 
+def _together(found: list[tuple[int, int, int, int]], index: Index) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Candidates in runs whose padded passages and items take about TOGETHER words, one at least."""
+    some: list[tuple[int, int, int, int]] = []
+    most = 0
+    for c in found:
+        size = max(most, c[3] - c[2] + len(index.words[c[1]]))
+        if some and size * (len(some) + 1) > TOGETHER:
+            yield some
+            some, size = [], c[3] - c[2] + len(index.words[c[1]])
+        some.append(c)
+        most = size
+    if some:
+        yield some
+
+
 def _alignments(docs: DataFrame, index: Index, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """doc_id, item, score, first and end (words of the document) of the alignments that reach the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -201,9 +211,8 @@ def _alignments(docs: DataFrame, index: Index, threshold: float, id_col: str, te
                 part = batch.slice(at, n)
                 words, offsets = _coded(part.column(1))
                 ids = part.column(0).to_pylist()
-                found = sorted(candidates(words, offsets, index, threshold), key=lambda c: c[3] - c[2])
-                for k in range(0, len(found), 128):
-                    some = found[k : k + 128]
+                found = sorted(candidates(words, offsets, index, threshold), key=lambda c: c[3] - c[2] + len(index.words[c[1]]))
+                for some in _together(found, index):
                     share, first, end = align([words[a:b] for _, _, a, b in some], [index.words[w] for _, w, _, _ in some])
                     start = np.array([a - offsets[d] for d, _, a, _ in some])
                     keep = np.flatnonzero(share >= threshold)
@@ -218,18 +227,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """The pairs of documents and benchmark items of which the document holds a copy, whole or edited.
 
     Columns: ``id_col``, ``item_col``, score (at least ``threshold``), start_word, end_word (the place of the best
-    alignment, in words of the document). One row for each pair, the best of its alignments.
+    alignment, in words of the document). One row for each pair: of its alignments the one with the highest score, of
+    equals the first that ends (in one passage) and starts (among passages).
 
     A word is a lower-cased run of letters and digits. A match earns 1; a replaced, added or missing word costs 0.5; the
-    score is the sum over the item's words. Items of over 512 words count by their best window of 512. Null texts are
-    empty; items under 5 words and items with no text match nothing; repeated rows give one row; rows with a null id
-    appear with a null id; empty tables give no rows. Other columns are not read.
+    score is the sum over the item's words, whatever its length. Items without words match nothing, as do null texts,
+    which are empty; texts of any length are scanned whole, in overlapping pieces. Repeated rows give one row; rows of one
+    id count together; rows with a null id appear with a null id; empty tables give no rows. Other columns are not read.
     """
-    windows = materialize(item_windows(benchmark, item_col, item_text_col), "items")
-    parts = max(1, -(-(windows.agg(F.sum(F.size("words"))).first()[0] or 0) // PART))
+    items = materialize(coded_items(benchmark, item_col, item_text_col), "items")
+    parts = max(1, -(-(items.agg(F.sum(F.size("words"))).first()[0] or 0) // PART))
     scored = []
     for k in range(parts):
-        rows = windows.where(F.pmod(F.xxhash64("item", "window"), F.lit(parts)) == k).select("item", "words").toArrow()
+        rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k).select("item", "words").toArrow()
         index = index_of(rows["item"].to_pylist(), [w.values.to_numpy() for w in rows["words"]], threshold)
         scored.append(_alignments(docs, index, threshold, id_col, text_col))
     scored = reduce(DataFrame.unionByName, scored)
