@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 from .shingles import mix
 
@@ -19,8 +20,6 @@ _U = np.uint64
 _POSITION = 24
 _rng = np.random.default_rng(23)
 _FACTORS = _rng.integers(0, 2**63, 4, dtype=np.uint64) * _U(2) + _U(1)
-_BYTES = _rng.integers(0, 2**63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
-_BASES = [_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)]
 
 
 @dataclass
@@ -90,16 +89,8 @@ def find(data: np.ndarray, offsets: np.ndarray) -> Anchors:
 
 
 def context_digests(data: np.ndarray, found: Anchors) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit digests of each anchor's context and of the gram's place in it."""
-    out = []
-    for table, base in zip(_BYTES, _BASES, strict=True):
-        powers = np.full(len(data) + 1, base, dtype=np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=np.uint64)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(table[data] * powers[:-1], dtype=np.uint64, out=sums[1:])
-        # Both sides of an equality are moved to one power, that of the data's end.
-        value = (sums[found.stop] - sums[found.start]) * powers[len(data) - found.start]
-        value = value * _U(pow(int(base), -len(data) % (1 << 62), 1 << 64))
-        out.append(mix(value ^ mix((found.stop - found.start).astype(np.uint64) * _U(1024) + (found.place - found.start).astype(np.uint64))).view(np.int64))
-    return out[0], out[1]
+    """The two halves of a 128-bit digest of each anchor's context and of the gram's place in it."""
+    raw, digest = data.tobytes(), xxhash.xxh3_128_digest
+    spots = zip(found.start.tolist(), found.stop.tolist(), (found.place - found.start).tolist(), strict=True)
+    halves = np.frombuffer(b"".join([digest(raw[a:b], seed) for a, b, seed in spots]), dtype="<i8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()

@@ -1,14 +1,16 @@
 """Removal of byte strings of 200 bytes that occur more than once in the corpus, by suffix arrays.
 
 1. Content anchors (see ``anchors``) give each 200-byte window one owner, so that equal windows meet at equal anchors.
-   Anchors whose gram occurs once own nothing repeated. A bitmap of the others spares the rest of the work for them.
-2. Contexts (the bytes of an anchor's windows) that occur twice repeat as a whole; this settles the inside of copies.
+   The anchors of all texts are written to a table, with a 128-bit digest of each one's context (its windows' bytes).
+2. A context that occurs twice repeats as a whole; this settles the inside of copies.
 3. Different contexts of one gram go to a shard, which sorts their suffixes and marks windows whose common prefix with
-   another window is 200 bytes. A gram with many contexts is dealt over several shards; each gives the sorted digests of
-   its windows, in ranges, and a task per range merges the shards by binary search.
+   another window is 200 bytes. A gram with many contexts is dealt over several shards; each gives its windows' 200 bytes
+   in suffix order, in parts, and a task per part merges the shards by binary search over those bytes.
 4. The windows found are laid on every occurrence of their context, and texts are cut once.
 
-Documents are read three times, and shuffled once, in the last step.
+Documents are read three times, and shuffled once, in the last step. The second reading takes the contexts of grams that
+have several; a bitmap of these grams, sized by their number up to 2^MOST_BITS bits, spares the others. Where they are too
+many for it, it lets more through, and the join that follows selects alike.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ from pyspark.sql import functions as F
 from . import bitmap
 from .anchors import WIDTH, Anchors, context_digests, find
 from .common import body, materialize
+from .shingles import mix
 from .suffix_array import Strings, repeated
 from .tokens import slices
 
-BITS = 25
+MOST_BITS = 27
+#: Of a text: two 64-bit hashes of its id and bytes.
+UID = ["uid1", "uid2"]
 
 
 def _flat(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,39 +77,39 @@ def _shard(part: pd.DataFrame) -> pd.DataFrame:
     several = np.flatnonzero(shards[of] > 1)
     if len(several):
         _, lead = np.unique(classes[several], return_index=True)
-        lead = several[lead]  # one window of each class speaks for it
+        lead = several[lead]  # one window of each class speaks for it; classes are numbered in suffix order
         anchors = Anchors(of[lead], places[lead], places[lead] + WIDTH, gram[of[lead]], places[lead])
-        d1, d2 = context_digests(s.data, anchors)
-        alone = ~twice[lead]
-        offset = np.where(alone, at[lead], -1)
-        parts = shards[of[lead]]
-        bucket = (d1.view(np.uint64) % parts.astype(np.uint64)).astype(np.int64)
-        order = np.lexsort((d2, d1, bucket, gram[of[lead]]))
+        bucket = (context_digests(s.data, anchors)[0].view(np.uint64) % shards[of[lead]].astype(np.uint64)).astype(np.int64)
+        offset = np.where(~twice[lead], at[lead], -1)
+        order = np.lexsort((np.arange(len(lead)), bucket, gram[of[lead]]))
         cut = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(gram[of[lead]][order]) != 0)) + 1
-        rows = [
-            (int(gram[of[lead[g[0]]]]), int(bucket[g[0]]), *(x[g].astype("<i8").tobytes() for x in (d1, d2, f1[of[lead]], f2[of[lead]], offset)))
-            for g in np.split(order, cut)
-        ]
-        out.append(pd.DataFrame(rows, columns=["gram", "part", "d1", "d2", "m1", "m2", "at"]))
+        rows = []
+        for g in np.split(order, cut):
+            bytes_of = s.data[places[lead[g]][:, None] + np.arange(WIDTH)].tobytes()
+            numbers = (x[g].astype("<i8").tobytes() for x in (f1[of[lead]], f2[of[lead]], offset))
+            rows.append((int(gram[of[lead[g[0]]]]), int(bucket[g[0]]), bytes_of, *numbers))
+        out.append(pd.DataFrame(rows, columns=["gram", "part", "windows", "m1", "m2", "at"]))
     # Whole numbers are made nullable before they meet missing columns, which would turn them into floats.
     whole = ["gram", "f1", "f2", "first", "last", "part"]
-    columns = [*whole, "d1", "d2", "m1", "m2", "at"]
+    columns = [*whole, "windows", "m1", "m2", "at"]
     return pd.concat([o.astype({c: "Int64" for c in whole if c in o}).reindex(columns=columns) for o in out], ignore_index=True).astype({c: "Int64" for c in whole})
 
 
+def _sortable(windows: bytes) -> np.ndarray:
+    """Strings of WIDTH bytes as numpy strings; a last byte keeps zeros at an end from being dropped."""
+    padded = np.ones((len(windows) // WIDTH, WIDTH + 1), dtype=np.uint8)
+    padded[:, :WIDTH] = np.frombuffer(windows, dtype=np.uint8).reshape(-1, WIDTH)
+    return padded.reshape(-1).view(f"S{WIDTH + 1}")
+
+
 def _merge(part: pd.DataFrame) -> pd.DataFrame:
-    """Windows that stand alone in their shard and occur in another, from one range of digests of one gram."""
-    pair = np.dtype([("a", "<i8"), ("b", "<i8")])
-    shards = []
-    for row in part.sort_values(["d1", "d2"]).itertuples():
-        digests = np.empty(len(row.d1) // 8, dtype=pair)
-        digests["a"], digests["b"] = np.frombuffer(row.d1, "<i8"), np.frombuffer(row.d2, "<i8")
-        shards.append((digests, *(np.frombuffer(x, "<i8") for x in (row.m1, row.m2, row.at))))
-    every = np.sort(np.concatenate([d for d, *_ in shards]))
+    """Windows that stand alone in their shard and occur in another, from one part of one gram's windows."""
+    shards = [(_sortable(r.windows), *(np.frombuffer(x, "<i8") for x in (r.m1, r.m2, r.at))) for r in part.itertuples()]
+    every = np.sort(np.concatenate([w for w, *_ in shards]), kind="stable")
     found: list[list[np.ndarray]] = [[], [], []]
-    for digests, f1, f2, at in shards:
-        # Binary search in the merged order: a digest that fills more than one place is in another shard as well.
-        more = np.searchsorted(every, digests, side="right") - np.searchsorted(every, digests, side="left") > 1
+    for windows, f1, f2, at in shards:
+        # Binary search in the merged order: a window that fills more than one place is in another shard as well.
+        more = np.searchsorted(every, windows, side="right") - np.searchsorted(every, windows, side="left") > 1
         for column, values in zip(found, (f1, f2, at), strict=True):
             column.append(values[more & (at >= 0)])
     f1, f2, at = (np.concatenate(c) for c in found)
@@ -113,39 +118,29 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contexts: int = 1024) -> DataFrame:
-    """uid, first, last: runs of places in a text at which 200 bytes start that also start elsewhere.
+    """uid1, uid2, first, last: runs of places in a text at which 200 bytes start that also start elsewhere.
 
-    ``rows`` has uid (bigint) and data (binary, not null). Rows of one uid are texts of their own when counting.
+    ``rows`` has uid1, uid2 (bigint) and data (binary, not null). Rows of one uid are texts of their own when counting.
     """
-    grams_of = lambda data, offsets: find(data, offsets).gram
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in _flat(batch, 0):
-                yield pa.RecordBatch.from_arrays([pa.array(grams_of(data, offsets))], names=["gram"])
-
     spark = rows.sparkSession
-    counted = rows.select("data").mapInArrow(grams, "gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    seen = spark.sparkContext.broadcast(bitmap.build(counted, "gram", BITS))  # 4 MB, whatever the corpus
-
-    places = pa.schema([("uid", pa.int64()), ("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+    places = pa.schema([*((u, pa.int64()) for u in UID), ("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n, data, offsets in _flat(batch, 1):
+            for at, n, data, offsets in _flat(batch, 2):
                 found = find(data, offsets)
-                found = found.select(bitmap.test(seen.value, found.gram))
                 f1, f2 = context_digests(data, found)
-                uid = batch.column(0).slice(at, n).to_numpy()[found.text]
-                columns = (uid, found.gram, f1, f2, found.start - offsets[:-1][found.text], found.stop - found.start - WIDTH + 1)
+                uids = [batch.column(k).slice(at, n).to_numpy()[found.text] for k in (0, 1)]
+                columns = (*uids, found.gram, f1, f2, found.start - offsets[:-1][found.text], found.stop - found.start - WIDTH + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, places, strict=True)], schema=places)
 
-    found = materialize(rows.select("uid", "data").mapInArrow(locate, "uid bigint, gram bigint, f1 bigint, f2 bigint, start int, windows int"), "anchors")
+    found = materialize(rows.select(*UID, "data").mapInArrow(locate, "uid1 bigint, uid2 bigint, gram bigint, f1 bigint, f2 bigint, start int, windows int"), "anchors")
     contexts = materialize(found.groupBy("gram", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows")), "contexts")
     several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("windows") + WIDTH).alias("bytes")).where("kinds > 1")
     several = materialize(several, "several")
-    mixed = spark.sparkContext.broadcast(bitmap.build(several, "gram", BITS))
-    total = several.agg(F.sum("bytes").alias("b")).first()["b"] or 0
+    total, grams = several.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    bits = min(MOST_BITS, max(16, (8 * grams).bit_length()))
+    mixed = spark.sparkContext.broadcast(bitmap.build(several, "gram", bits))
 
     kinds = pa.schema([("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("context", pa.binary())])
 
@@ -155,7 +150,7 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
                 a = find(data, offsets)
                 a = a.select(bitmap.test(mixed.value, a.gram))
                 f1, f2 = context_digests(data, a)
-                _, once = np.unique(np.stack([a.gram, f1, f2], axis=1), axis=0, return_index=True)
+                _, once = np.unique(f1 ^ mix(f2.view(np.uint64) ^ mix(a.gram.view(np.uint64))).view(np.int64), return_index=True)
                 raw = data.tobytes()
                 context = [raw[x:y] for x, y in zip(a.start[once].tolist(), a.stop[once].tolist(), strict=True)]
                 columns = (a.gram[once], f1[once], f2[once], context)
@@ -167,16 +162,16 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
     dealt = texts.join(several.select(F.col("gram").alias("of"), F.ceil(F.col("kinds") / shard_contexts).alias("shards")), F.col("gram") == F.col("of"))
     part = F.when(F.col("shards") > 1, F.xxhash64("gram", F.pmod(F.col("f1"), F.col("shards")))).otherwise(F.pmod(F.col("gram"), F.lit(shards)))
     sorted_out = dealt.select("gram", "f1", "f2", "context", "shards", part.alias("shard")).groupBy("shard").applyInPandas(
-        _shard, f"{_RUNS}, part long, d1 binary, d2 binary, m1 binary, m2 binary, at binary"
+        _shard, f"{_RUNS}, part long, windows binary, m1 binary, m2 binary, at binary"
     )
     sorted_out = materialize(sorted_out, "shards")
-    merged = sorted_out.where(F.col("part").isNotNull()).select("gram", "part", "d1", "d2", "m1", "m2", "at").groupBy("gram", "part").applyInPandas(_merge, _RUNS)
+    merged = sorted_out.where(F.col("part").isNotNull()).select("gram", "part", "windows", "m1", "m2", "at").groupBy("gram", "part").applyInPandas(_merge, _RUNS)
     single = contexts.where("n = 1").select("gram", "f1", "f2")
     runs = sorted_out.where(F.col("part").isNull()).select("gram", "f1", "f2", "first", "last").unionByName(merged).join(single, ["gram", "f1", "f2"], "left_semi")
     copied = contexts.where("n > 1").select("gram", "f1", "f2", F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))
     runs = runs.unionByName(copied).select(F.col("gram").alias("g"), F.col("f1").alias("h1"), F.col("f2").alias("h2"), "first", "last")
     laid = found.join(runs, (F.col("gram") == F.col("g")) & (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2")))
-    return laid.select("uid", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+    return laid.select(*UID, (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
 
 
 def _spans(firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,12 +190,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Columns: ``id_col``, n_bytes, spans (array of start and stop, in UTF-8 bytes of the text, maximal and in order) and
     kept (binary: the other bytes). A byte is removed when a 200-byte string over it also starts anywhere else, in the
     same text or another; strings are judged on the texts as given and never cross texts. Null text is empty. Repeated
-    rows repeat each other; null ids pass through; an empty table gives no rows; other columns are not read.
+    rows repeat each other; null ids pass through; texts of any length are taken whole; an empty table gives no rows; other
+    columns are not read.
     """
     data = body(text_col).cast("binary")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), data).alias("uid"), data.alias("data"))
-    found = repeated_windows(rows.select("uid", "data"))
-    lists = found.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("found")).withColumnRenamed("uid", "of")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), data.alias("data")).select(
+        "id", F.xxhash64("id", "data").alias("uid1"), F.xxhash64(F.lit(1), "data", "id").alias("uid2"), "data"
+    )
+    found = repeated_windows(rows.select(*UID, "data"))
+    # Repeated rows have one uid and the same runs: a set holds each once.
+    lists = found.groupBy(*UID).agg(F.collect_set(F.struct("first", "last")).alias("found")).select(F.col("uid1").alias("of1"), F.col("uid2").alias("of2"), "found")
     schema = "id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
@@ -221,5 +220,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join(value[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if len(starts) else value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
-    joined = rows.join(lists, rows["uid"] == lists["of"], "left").select(F.col("id").cast("bigint"), "data", "found")
+    joined = rows.join(lists, (F.col("uid1") == F.col("of1")) & (F.col("uid2") == F.col("of2")), "left").select("id", "data", "found")
     return joined.mapInArrow(cut, schema).withColumnRenamed("id", id_col)

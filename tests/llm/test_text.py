@@ -151,7 +151,7 @@ def test_remove_repeats(spark, monkeypatch, contexts):
     rows += [(200, "ab" * 500), (201, None), (202, ""), (203, "x" * 199), (204, "x" * 200), (205, rows[0][1]), (205, rows[0][1]), (None, rows[1][1]), (206, "z" * 200), (207, "y" * 201)]
     run = substring_dedup.repeated_windows
     monkeypatch.setattr(substring_dedup, "repeated_windows", lambda x: run(x, 4096, contexts))
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS spans", "2 AS uid").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS spans", "2 AS uid1").repartition(3)
     data = [(i, (t or "").encode()) for i, t in rows]
     count = Counter(b[p : p + 200] for _, b in data for p in range(len(b) - 199))
     want = Counter()
