@@ -1,13 +1,16 @@
 """Whole texts to token ids, by the tokenizers library, with each word encoded once.
 
-A text's ids are the ids of its parts between spaces, one after another, because the tokenizer here drops white space
-and never joins across it. So a batch of texts is cut at spaces by Arrow, the distinct parts that have not been seen
-before are encoded by the library, and the ids are gathered by numpy. Texts that hold ``<|`` (they may name a special
-token) are encoded whole.
+With a tokenizer that drops white space and never joins across it, a text's ids are the ids of its parts between spaces,
+one after another. So a batch of texts is cut at spaces by Arrow, the distinct parts that have not been seen before are
+encoded by the library, and the ids are gathered by numpy. Texts that hold ``<|`` (they may name a special token) are
+encoded whole. Whether a tokenizer file is of this kind is read from its normaliser, pre-tokenizer, model and added
+tokens; with any other, every text is encoded whole.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +20,24 @@ LETTERS = "a-zß-öø-ÿ"
 MARKS = "*&%$#!|.,;:?"
 
 
+#: The normaliser and pre-tokenizer of the files whose words may be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
+def by_words(description: dict) -> bool:
+    """Whether a tokenizer file's words may be encoded one by one."""
+    model = description["model"]
+    return (
+        description.get("normalizer") == NORMALIZER and description.get("pre_tokenizer") == PRE_TOKENIZER and not description.get("post_processor")
+        and not description.get("truncation") and not description.get("padding") and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>"
+        and not model.get("dropout") and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in description["added_tokens"])
+    )
+
+
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs ``pool[starts[i] : starts[i] + lengths[i]]``, concatenated."""
     ends = np.cumsum(lengths, dtype=np.int64)
@@ -27,7 +48,7 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class WordEncoder:
-    """Encodes texts with a lower-casing word-end BPE tokenizer file; keeps what it has encoded.
+    """Encodes texts with a tokenizer file; with one whose words stand alone, keeps what it has encoded.
 
     ``max_bytes`` bounds the words kept; when they are more, all are forgotten.
     """
@@ -36,6 +57,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = by_words(json.load(f))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -72,6 +95,9 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets): text i has ids[offsets[i]:offsets[i + 1]]; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.by_words:
+            pieces = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, dtype=np.uint32), *pieces]), np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)])
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
         plain = pc.replace_substring(pc.ascii_lower(plain), "\n", " ")

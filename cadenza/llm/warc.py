@@ -1,14 +1,16 @@
 """WARC archives without repeated payloads: write, and read back.
 
-Only headers are shuffled to find repeats: page id, payload digest and length. Each archive is a gzip member of
-WARC/1.1 records, written by Spark's text writer (so through its commit protocol and to any store that it knows), in
-files of about ``archive_bytes`` of records. Reading goes by Content-Length, so a payload may hold any text.
+Only headers are shuffled to find repeats: page id, payload digest and length. An archive starts with a warcinfo record,
+and each record is a gzip member of its own. Spark's text writer writes them, so through its commit protocol and to any
+store that it knows, in files of about ``archive_bytes`` of records. Reading goes by Content-Length, so a payload may hold
+any text, and inflates and parses as it goes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,13 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import body, shared_path
+from .tokens import slices
 
 #: Fixed values of the base32 alphabet (RFC 4648), and of the digits that conv() uses for base 32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-RECORD_SCHEMA = "record_id string, page_id bigint, url string, record_type string, refers_to_id string, header_digest string, payload_bytes bigint, payload_digest string, payload binary"
+RECORD_SCHEMA = "record_id string, page_id bigint, url string, record_type string, refers_to_id string, header_digest string, payload_bytes bigint, payload_digest string, intact boolean, payload binary"
+#: Bytes of a gzip member at most. Its last byte, the highest of its length, is thus 0, which is the line end of the writer.
+MEMBER = 8 << 20
 
 
 def sha1_base32(data: Column) -> Column:
@@ -67,7 +72,7 @@ def write_archives(
     """Write ``pages`` as WARC archives under ``path``: a response record for each payload, revisit records for repeats.
 
     Null html is an empty payload, a null url an empty target. ``date`` is the capture date that every record states.
-    An empty table writes no records. Other columns are not read.
+    An empty table writes no records but warcinfo. Other columns are not read.
     """
     payload = body(text_col)
     total = pages.agg(F.sum(F.octet_length(payload) + F.lit(600)).alias("b")).first()["b"] or 1
@@ -99,25 +104,111 @@ def write_archives(
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
-    record = F.concat(F.concat_ws(crlf, *fields), F.lit(crlf + crlf), block, F.lit(crlf + "\r"))
-    joined.select(record.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    record = F.concat(F.concat_ws(crlf, *fields), F.lit(crlf + crlf), block, F.lit(crlf + crlf))
 
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([_member(_info(date))[:-1]], pa.binary())], names=["value"])
+        for batch in batches:
+            for at, n in slices(batch.column(0)):
+                packed = [_member(x)[:-1] for x in batch.column(0).slice(at, n).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
 
-def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of one archive, in order."""
+    # A string column takes the bytes as they are; each line's end completes its member.
+    packed = joined.select(record.alias("value")).mapInArrow(members, "value binary").select(F.col("value").cast("string"))
+    packed.write.option("lineSep", "\0").text(path)
+
+
+def _member(record: bytes) -> bytes:
+    """A record as a gzip member, or several where it is longer than MEMBER."""
+    out = []
+    for at in range(0, max(1, len(record)), MEMBER):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += [packer.compress(record[at : at + MEMBER]), packer.flush()]
+    return b"".join(out)
+
+
+def _info(date: str) -> bytes:
+    fields = b"software: cadenza\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <{uuid.uuid4().urn}>\r\nWARC-Date: {date}\r\n"
+    return f"{head}Content-Type: application/warc-fields\r\nContent-Length: {len(fields)}\r\n\r\n".encode() + fields + b"\r\n\r\n"
+
+
+def inflate(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The content of an archive of any number of gzip members, or of a plain one, piece by piece. Raises where it is cut off
+    or something else follows a member."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[at : at + (1 << 20)] for at in range(0, len(data), 1 << 20))
+        return
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in data[at:end].decode("utf-8").split("\r\n")[1:])
-        block = data[end + 4 : end + 4 + int(head["Content-Length"])]
-        at = end + 4 + len(block) + 4
-        payload = block[block.index(b"\r\n\r\n") + 4 :]
-        full = head["WARC-Type"] == "response"
+        unpacker = zlib.decompressobj(31)
+        while not unpacker.eof:
+            fed = unpacker.unconsumed_tail or data[at : at + step]
+            if not unpacker.unconsumed_tail:
+                at += len(fed)
+            if not fed:
+                raise ValueError("the archive is cut off")
+            yield unpacker.decompress(fed, 1 << 20)
+        at -= len(unpacker.unused_data)
+
+
+class _Source:
+    """Bytes asked for by number or up to a mark, from an iterator of pieces."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at = pieces, bytearray(), 0
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is not None:
+            if self.at > 1 << 20:
+                del self.held[: self.at]
+                self.at = 0
+            self.held += piece
+        return piece is not None
+
+    def ended(self) -> bool:
+        while self.at >= len(self.held):
+            if not self.more():
+                return True
+        return False
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) - self.at < n:
+            if not self.more():
+                raise ValueError("the archive is cut off")
+        self.at += n
+        return bytes(self.held[self.at - n : self.at])
+
+    def until(self, mark: bytes) -> bytes:
+        seen = 0
+        while (found := self.held.find(mark, self.at + max(0, seen - len(mark)))) < 0:
+            seen = len(self.held) - self.at
+            if not self.more():
+                raise ValueError("the archive is cut off")
+        return self.take(found - self.at + len(mark))
+
+
+def parse_records(data: bytes) -> Iterator[dict]:
+    """The records of one archive, in order, of every type. Payloads are those of responses, as they were transferred."""
+    source = _Source(inflate(data))
+    while not source.ended():
+        lines = source.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError(f"no WARC record: {lines[0][:40]!r}")
+        head = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:] if line)}
+        block = source.take(int(head["content-length"]))
+        if source.take(4) != b"\r\n\r\n":
+            raise ValueError("a record is longer than its Content-Length")
+        full, stated = head["warc-type"] == "response", head.get("warc-payload-digest", "")
+        payload = block[block.find(b"\r\n\r\n") + 4 :] if full and b"\r\n\r\n" in block else b""
+        own = _digest(payload) if full else None
+        page = head.get("x-page-id")
         yield {
-            "record_id": head["WARC-Record-ID"], "page_id": int(head["X-Page-ID"]) if head["X-Page-ID"] else None,
-            "url": head["WARC-Target-URI"], "record_type": head["WARC-Type"], "refers_to_id": head.get("WARC-Refers-To"),
-            "header_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": len(payload) if full else None,
-            "payload_digest": _digest(payload) if full else None, "payload": payload if full else None,
+            "record_id": head.get("warc-record-id"), "page_id": int(page) if page else None, "url": head.get("warc-target-uri"),
+            "record_type": head["warc-type"], "refers_to_id": head.get("warc-refers-to"), "header_digest": stated.removeprefix("sha1:") or None,
+            "payload_bytes": len(payload) if full else None, "payload_digest": own,
+            "intact": stated == f"sha1:{own}" if full and stated.startswith("sha1:") else None, "payload": payload if full else None,
         }
 
 
@@ -128,19 +219,21 @@ def _digest(payload: bytes) -> str:
 
 
 def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
-    """The records of the archives under ``path``; digests and lengths come from the payloads read.
+    """The records of the archives under ``path``, by any writer, of any number of gzip members or none.
 
-    Without ``payloads`` that column is null, which spares shipping it. Each archive is read whole by one task.
+    Digests and lengths come from the payloads read; ``intact`` tells whether a response has the SHA-1 that its header
+    states (null where it states none). Without ``payloads`` that column is null, which spares shipping it. Each archive is
+    held whole, as it is stored, by one task; a broken one stops the job.
     """
     names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in RECORD_SCHEMA.split(", ")])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows: dict[str, list] = {n: [] for n in names}
-                for record in parse_records(zlib.decompress(content.as_py(), 31)):
+                for record in parse_records(content.as_py()):
                     for n in names:
                         rows[n].append(None if n == "payload" and not payloads else record[n])
                     if len(rows["page_id"]) == 2000:
@@ -148,7 +241,7 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
                         rows = {n: [] for n in names}
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(parse, RECORD_SCHEMA)
 
 
@@ -156,7 +249,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """Every record with its full payload's length and digest: a revisit has those of the response it refers to.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page id, null for responses).
+    Records of other types are left out. A response that is not what its header states stops the job.
     """
+    whole = F.when(F.col("intact") == F.lit(False), F.raise_error(F.concat(F.lit("another payload than stated: "), F.col("record_id"))).cast("string")).otherwise(F.col("record_type"))
+    records = records.where("record_type IN ('response', 'revisit')").withColumn("record_type", whole)
     # A response looks itself up, so that its row has a key of its own in the join; substring() gives the answers an
     # exchange of their own, so that Spark can split the revisits of a hot payload.
     answers = records.where("record_type = 'response'").groupBy("record_id").agg(

@@ -1,6 +1,7 @@
 """Exact deduplication, sharding and WARC against brute force, with odd rows."""
 
 import base64
+import gzip
 import hashlib
 import os
 import zlib
@@ -60,6 +61,27 @@ def test_jump_hash_moves_only_into_the_new_shard():
         assert abs((b == n).mean() - 1 / (n + 1)) < 0.02
 
 
+def jumped(key, shards):
+    """Jump consistent hashing, one key at a time."""
+    at, jump = -1, 0
+    while jump < shards:
+        at = jump
+        key = (key * 2862933555777941757 + 1) % 2**64
+        jump = int((at + 1) * (2.0**31 / ((key >> 33) + 1)))
+    return at
+
+
+def test_shards_by_definition(spark):
+    rows = [(i, "t" * (i % 7)) for i in range(300)] + [(None, f"n{i % 5}") for i in range(200)] + [(9, "same")] * 150
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS shard", "2 AS slot", "3 AS size").repartition(4)
+    got = sharding.shard_rows(docs, rows_per_bucket=1).collect()
+    key = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
+    want = Counter((i, len(t) + 1, zlib.crc32(t.encode()), jumped(key(i), 16), jumped(key(i), 17)) for i, t in rows)
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.grown_shard) for r in got) == want
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_shard_rows(docs):
     rows = sharding.shard_rows(docs, shards=4, rows_per_bucket=1).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, *_ in ROWS)
@@ -94,12 +116,41 @@ def test_warc_records(spark):
     pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
     warc.write_archives(pages, path, min_bytes=1)
     records = warc.read_archives(spark, path).collect()
+    assert {r.record_type for r in records} == {"warcinfo", "response", "revisit"} and all(r.intact for r in records if r.record_type == "response")
     assert sum(r.record_type == "revisit" for r in records) == 1  # the two empty pages are both responses
     for r in records:
         if r.record_type == "response":
             assert r.header_digest == r.payload_digest
             assert bytes(r.payload).decode() in {t or "" for _, _, t in PAGES}
-    assert len({r.record_id for r in records}) == len(PAGES) - 1
+    assert len({r.record_id for r in records if r.page_id or r.record_type == "response"}) == len(PAGES) - 1
+
+
+def record(kind, payload, **fields):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+    return f"WARC/1.0\r\nwarc-type: {kind}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark):
+    payloads = [b"first", b"\0" * 3_000_000, b"third\r\n\r\nWARC/1.0", b""]
+    right = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    records = [record("response", p, WARC_Payload_Digest=right(p), WARC_Record_ID=f"<{k}>") for k, p in enumerate(payloads)]
+    plain = b"".join(records)
+    for data in (plain, gzip.compress(plain), b"".join(map(gzip.compress, records)), gzip.compress(plain[:50]) + gzip.compress(plain[50:])):
+        got = list(warc.parse_records(data))
+        assert [r["payload"] for r in got] == payloads and all(r["intact"] for r in got) and [r["record_id"] for r in got] == ["<0>", "<1>", "<2>", "<3>"]
+    packed = gzip.compress(records[0])
+    for broken in (packed[:-12], packed + b"rest", plain[:-30], gzip.compress(plain + b"more")):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.parse_records(broken))
+    assert [r["intact"] for r in warc.parse_records(record("response", b"x", WARC_Payload_Digest=right(b"y")) + record("request", b"x"))] == [False, None]
+    assert len(warc._member(b"a" * 20_000_000)) and b"".join(warc.inflate(warc._member(b"a" * 20_000_000))) == b"a" * 20_000_000
+    assert warc._member(b"a" * ((16 << 20) + 1))[-1] == 0
+
+
+def test_long_payloads(spark):
+    pages = spark.createDataFrame([(1, "u", "é" * 9_000_000), (2, "v", "x")], "page_id bigint, url string, html string")
+    assert {(r.page_id, r.payload_bytes) for r in warc.round_trip(pages).collect()} == {(1, 18_000_000), (2, 1)}
 
 
 def test_release(spark):
