@@ -2,7 +2,8 @@
 
 A document longer than a sequence is cut into full pieces and a rest; the rests of a group are packed by first-fit
 decreasing, the first open sequence with room being found in a tournament tree of free room. Groups are drawn by a hash
-of the id, so they are alike in make-up, bounded in size, and independent of each other.
+of the id, the text and the partition that a row is read in, so they are alike in make-up, bounded in size whatever rows
+repeat, and independent of each other.
 """
 
 from __future__ import annotations
@@ -53,39 +54,43 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, __group bigint"
+PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, __group bigint, __text bigint"
 
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-    group_docs: int = 2048, seed: int = 7,
+    group_docs: int = 2048, seed: int = 7, task_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most ``length`` ids.
 
     Columns: doc_id, start, length, doc_tokens, ids (binary, little-endian unsigned 32-bit), sequence_id, offset. Each
     document is the ids of its text and ``end_id``; each id lies in one piece. Null text is empty; equal ids are packed
-    as often as they occur; an empty table gives no rows. About ``group_docs`` documents share a group; a sequence's id
-    is its group's number times 2^32 and its number in the group.
+    as often as they occur; pieces of one size and rows of one id go in order of id, text checksum and start; texts of any
+    length are cut whole; an empty table gives no rows. About ``group_docs`` documents share a group; a sequence's id is its
+    group's number times 2^32 and its number in the group. Groups are dealt over as many tasks as keeps one at about
+    ``task_bytes`` of ids.
     """
-    groups = max(1, math.ceil(docs.count() / group_docs))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("__group", pa.int64())])
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(body(text_col))), F.lit(0)).alias("bytes")).first()
+    groups = max(1, math.ceil(size["rows"] / group_docs))
+    tasks = max(1, min(groups, math.ceil(2 * size["bytes"] / task_bytes)))
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("__group", pa.int64()), ("__text", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n in slices(batch.column(1)):
                 ids, offsets = encoder(tokenizer).encode(batch.column(1).slice(at, n))
-                names, group = (batch.column(k).slice(at, n).to_pylist() for k in (0, 2))
-                rows: tuple[list, ...] = ([], [], [], [], [], [])
+                names, group, text = (batch.column(k).slice(at, n).to_pylist() for k in (0, 2, 3))
+                rows: tuple[list, ...] = ([], [], [], [], [], [], [])
                 for i in range(n):
                     doc = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(doc), length):
                         piece = doc[start : start + length]
-                        for column, value in zip(rows, (names[i], start, len(piece), len(doc), piece.tobytes(), group[i]), strict=True):
+                        for column, value in zip(rows, (names[i], start, len(piece), len(doc), piece.tobytes(), group[i], text[i]), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema, strict=True)], schema=schema)
 
     def place(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
+        pieces = pieces.sort_values(["doc_id", "__text", "start"], kind="stable", ignore_index=True)
         sizes = pieces["length"].to_numpy()
         whole = sizes == length
         sequence, offset = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
@@ -94,10 +99,10 @@ def pack(
         sequence[~whole] = bins + whole.sum()
         pieces["sequence_id"] = pieces["__group"].to_numpy() * (1 << 32) + sequence
         pieces["offset"] = offset
-        return pieces.drop(columns="__group")
-
-    group = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(groups))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), body(text_col).alias("text"), group.alias("__group"))
-    pieces = rows.mapInArrow(cut, PIECE_SCHEMA)
-    return pieces.groupBy("__group").applyInPandas(place, PIECE_SCHEMA.replace(", __group bigint", "") + ", sequence_id bigint, offset bigint")
+        return pieces.drop(columns=["__group", "__text"])
 
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), body(text_col).alias("text")).withColumn("__text", F.xxhash64("text"))
+    group = F.pmod(F.xxhash64("doc_id", "__text", F.spark_partition_id(), F.lit(seed)), F.lit(groups))
+    pieces = rows.select("doc_id", "text", group.alias("__group"), "__text").mapInArrow(cut, PIECE_SCHEMA)
+    dealt = pieces.repartition(tasks, "__group").groupBy("__group")
+    return dealt.applyInPandas(place, PIECE_SCHEMA.replace(", __group bigint, __text bigint", "") + ", sequence_id bigint, offset bigint")

@@ -82,9 +82,41 @@ FROM documents
 """
 
 
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('{warc.BASE32}', CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM p
+"""
+
+
+def _crc32_table() -> list[int]:
+    table = list(range(256))
+    for _ in range(8):
+        table = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+#: Jump consistent hashing as a recursion over the jumps, for 16 and 17 shards; checksums byte by byte.
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+j AS (SELECT doc_id, n, CAST('0x' || substr(h, 1, 15) AS HUGEINT) AS k, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j FROM d, (VALUES (16), (17)) s(n)
+      UNION ALL SELECT doc_id, n, (k * 2862933555777941757 + 1) % 18446744073709551616, j,
+             CAST(floor((j + 1) * (CAST(2147483648 AS DOUBLE) / CAST(((k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1 AS DOUBLE))) AS BIGINT) FROM j WHERE j < n),
+sh AS (SELECT doc_id, max(b) FILTER (n = 16) AS shard, max(b) FILTER (n = 17) AS grown FROM j GROUP BY doc_id),
+c AS (SELECT doc_id, h, octet_length(t) + 1 AS size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(t), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+             lambda a, x: xor(a >> 8, {_crc32_table()}[CAST(xor(a, x) & 255 AS BIGINT) + 1]))) AS crc FROM d)
+SELECT c.doc_id AS doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY (CAST('0x' || substr(h, 16, 8) AS BIGINT) + crc) % (SELECT greatest(64, CAST(ceil(count(*) / 320000.0) AS BIGINT)) FROM documents), c.doc_id) - 1 AS slot,
+       CAST(grown AS INT) AS grown_shard
+FROM c JOIN sh ON sh.doc_id = c.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_decontaminate, op5_licenses, op6_substring_dedup, op7_quality, op8_packing, op9_sharding, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op9_sharding": OP9_SQL}

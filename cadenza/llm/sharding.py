@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .common import body
 
 
+#: Rows that are laid out at once.
+BLOCK = 1 << 14
+
+
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each 64-bit key, by jump consistent hashing (Lamping and Veach, 2014), for all keys at once.
 
@@ -37,11 +41,13 @@ def shard_rows(
     """Shard, slot and size of every row of ``docs``.
 
     Columns: ``id_col``, size (UTF-8 bytes plus 1), text_crc32, law (``key``), shard, slot, grown_shard (with one
-    shard more). The id and the shard count alone decide the shard. Null text has no bytes; null ids hash alike;
-    repeated ids share a shard and take neighbouring slots; an empty table gives no rows; other columns are not read.
+    shard more). The id and the shard count alone decide the shard: the key is made of the first 60 bits of the MD5 of the
+    id as text. Null text has no bytes; null ids hash alike; repeated ids share a shard; texts of any length are read
+    whole; an empty table gives no rows; other columns are not read.
 
-    Slots count from 0 without gaps in each shard. No task sees a whole shard: a shard's rows are dealt over buckets
-    by a second hash, rows are numbered inside a bucket, and the buckets' counts (a small table) give where each starts.
+    Slots count from 0 without gaps in each shard. No task sees a whole shard: a shard's rows are dealt over buckets by
+    other bits and the text's checksum, rows are numbered inside a bucket, and the buckets' counts (a small table) give
+    where each starts. Rows that are alike in all that is returned are counted, placed as one, and laid out again.
     """
 
     @F.pandas_udf("shard int, grown_shard int")
@@ -53,15 +59,21 @@ def shard_rows(
     rows = docs.count()
     buckets = max(64, math.ceil(rows / (shards * rows_per_bucket)))
     keyed = docs.select(F.col(id_col).alias("__id"), body(text_col).alias("__text")).select(
-        "__id", (F.octet_length("__text") + 1).cast("bigint").alias("size"), F.crc32(F.col("__text").cast("binary")).alias("text_crc32"),
-        F.xxhash64("__id").alias("__key"), F.pmod(F.xxhash64("__id", F.lit("bucket")), F.lit(buckets)).alias("__bucket"),
+        "__id", (F.octet_length("__text") + 1).cast("bigint").alias("size"), F.crc32(F.col("__text").cast("binary")).alias("text_crc32")
     )
-    placed = keyed.withColumn("__p", place("__key")).select("*", F.col("__p.shard").alias("shard"), F.col("__p.grown_shard").alias("grown_shard"))
-    counts = placed.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("n"))
+    alike = keyed.groupBy("__id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("__rows"))
+    digits = F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary"))
+    number = lambda at, n: F.conv(F.substring(digits, at, n), 16, 10).cast("bigint")
+    placed = alike.withColumn("__p", place(number(1, 15))).withColumn("__bucket", (number(16, 8) + F.col("text_crc32")) % buckets).select(
+        "*", F.col("__p.shard").alias("shard"), F.col("__p.grown_shard").alias("grown_shard")
+    )
+    counts = placed.groupBy("shard", "__bucket").agg(F.sum("__rows").alias("n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("shard").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("shard", "__bucket").orderBy("__id", "text_crc32", "size")
-    numbered = placed.withColumn("__n", F.row_number().over(inside) - 1)
-    return numbered.join(starts, (F.col("shard") == F.col("__s")) & (F.col("__bucket") == F.col("__b"))).select(
-        F.col("__id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__start") + F.col("__n")).cast("bigint").alias("slot"), "grown_shard"
-    )
+    inside = Window.partitionBy("shard", "__bucket").orderBy("__id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = placed.withColumn("__n", F.sum("__rows").over(inside) - F.col("__rows"))
+    first = numbered.join(starts, (F.col("shard") == F.col("__s")) & (F.col("__bucket") == F.col("__b"))).withColumn("__first", F.col("__start") + F.col("__n"))
+    # Laid out in two steps, so that no array grows with the number of rows.
+    blocks = first.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__rows") - 1, F.lit(BLOCK))))
+    slots = blocks.withColumn("slot", F.explode(F.sequence(F.col("__first") + F.col("__at"), F.col("__first") + F.least(F.col("__at") + BLOCK, F.col("__rows")) - 1)))
+    return slots.select(F.col("__id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), "grown_shard")

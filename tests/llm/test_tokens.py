@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from cadenza.llm import packing, simple8b, token_files
 from cadenza.llm.common import shared_path
@@ -105,6 +106,30 @@ def test_pack(docs, tokenizer):
         assert at <= 64
 
 
+def test_repeated_rows_spread_over_groups(spark):
+    rows = [(None, "one two three")] * 300 + [(7, f"text {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS start", "2 AS length").repartition(8)
+    pieces = packing.pack(docs, tokenizer_path(), 1, length=32, group_docs=40).collect()
+    groups = Counter(p.sequence_id >> 32 for p in pieces)
+    assert len(pieces) == 400 and len(groups) == 10 and max(groups.values()) < 120
+    room = Counter()
+    for p in pieces:
+        room[p.sequence_id] += p.length
+    assert sum(room.values()) > 0.9 * 32 * len(room)  # little padding
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    coder, plain = WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["two  spaces\n\tand tabs", None, "", "Wörter 123 <|endoftext|> it's"]
+    ids, offsets = coder.encode(pa.array(texts))
+    assert not coder.by_words
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert packing.pack(none, tokenizer_path(), 1).count() == 0
