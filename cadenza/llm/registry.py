@@ -38,10 +38,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_path() -> Column:
-    """A path for a document: source and language are its directories; short texts, which can hold little but a notice,
-    are named as licence files are."""
-    stem = F.when(F.length(F.coalesce("text", F.lit(""))) <= 100, F.lit("LICENSE")).otherwise(F.lit("doc"))
-    return F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(stem, F.lit("."), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    """A path for a document, as the table has none: source and language are its directories, and a text of whose letters
+    at least half stand in lines that mention a licence is named as licence files are."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("(?i)licen[cs]e"))
+    mentions = F.length(F.array_join(lines, "")) * 2 >= F.greatest(F.length(text), F.lit(1))
+    name = F.concat(F.when(mentions, "LICENSE").otherwise("doc"), F.lit("."), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), name)
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

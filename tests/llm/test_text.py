@@ -171,17 +171,17 @@ def cosine_scan(files, threshold=0.8):
     """The licence scan by definition, in plain Python: {id: {license: (score, named)}} of own licences."""
     terms = lambda t: Counter(re.findall(r"[^\W_]+", t.lower()))
     lines = [line for _, _, t in files for line in (t or "").split("\n")]
-    vocabulary = {w for ts in licenses.TEMPLATES.values() for t in ts for w in terms(t)}
-    df = Counter(w for line in lines for w in terms(line) if w in vocabulary)
-    idf = lambda w: np.log((1 + len(lines)) / (1 + (df[w] if w in vocabulary else 1))) + 1
-    vector = lambda t: {w: n * idf(w) for w, n in terms(t).items()}
+    df = Counter(w for line in lines for w in terms(line))
+    vector = lambda t: {w: n * (np.log((1 + len(lines)) / (1 + df[w])) + 1) for w, n in terms(t).items()}
     norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    templates = [(k, u, norm(u)) for k, ts in licenses.known_templates().items() for u in map(vector, ts)]
     out: dict = {}
     for i, path, t in files:
         named = path.rsplit("/", 1)[-1].split(".")[0].lower() in licenses.LICENSE_FILES
-        for unit in [*(t or "").split("\n"), *([t or ""] if named else [])]:
+        own = [x for x in (t or "").split("\n") if x.strip()]
+        for unit in [*own, *map(" ".join, zip(own, own[1:], strict=False)), *([t or ""] if named else [])]:
             v = vector(unit)
-            scores = [(sum(v.get(w, 0) * x for w, x in u.items()) / norm(v) / norm(u), k) for k, ts in licenses.TEMPLATES.items() for u in map(vector, ts) if v]
+            scores = [(sum(v.get(w, 0) * x for w, x in u.items()) / norm(v) / n, k) for k, u, n in templates if v]
             best = max((s for s, _ in scores), default=0)
             if best >= threshold - 1e-9:
                 name = min(k for s, k in scores if s > best - 1e-12)
@@ -214,6 +214,66 @@ def test_licenses(spark):
     assert {(r.doc_id, r.origin, len(r.licenses)) for r in licenses.scan(odd, F.col("path")).collect()} == {(None, "notice", 1), (1, "none", 0)}
 
 
+def test_full_texts_headers_and_tags(spark):
+    from importlib.resources import files
+
+    from pyspark.sql import functions as F
+
+    folder = files("cadenza.llm").joinpath("license_texts")
+    rows = [(i, f"p{i}/LICENSE", e.read_text("utf-8"), e.name.removesuffix(".txt")) for i, e in enumerate(sorted(folder.iterdir(), key=lambda e: e.name))]
+    rows += [(100 + i, f"p{i}/src/a.c", "int main;", licence) for i, _, _, licence in rows]
+    rows += [
+        (200, "s/a.py", "# Copyright someone\n#\n" + rows[[r[3] for r in rows].index("MIT")][2], "MIT"),
+        (201, "s/b.py", "\n".join(rows[[r[3] for r in rows].index("GPL-3.0")][2].split("\n")[:12]), "GPL-3.0"),
+        (202, "s/c.py", "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above", "ISC"),
+        (203, "s/d.py", "// SPDX-License-Identifier: MIT\ncode", "MIT"), (204, "s/e.py", "/* SPDX-License-Identifier: (GPL-2.0-only OR Apache-2.0+) */", "Apache-2.0 GPL-2.0"),
+        (205, "s/f.py", '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.', "Apache-2.0"),
+        (206, "s/g.py", "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.", "GPL-3.0"),
+        (207, "s/h.py", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "MPL-2.0"), (208, "s/i.py", "we license nothing of the kind to the public", ""),
+    ]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, at string, text string").selectExpr("*", "'x' AS path", "1 AS named")
+    got = {r.doc_id: (r.origin, {x.license for x in r.licenses}) for r in licenses.scan(docs, F.col("at")).collect()}
+    for i, _, _, licence in rows:
+        assert got[i][1] >= set(licence.split()) and (licence or not got[i][1]), (i, licence, got[i])
+    assert all(got[i][0] == ("file" if i < 100 else "inherited" if i < 200 else "notice" if i < 208 else "none") for i in got)
+
+
+def inherited_by_hand(files, own):
+    """{id: (directory, licences)} by walking up from every file without a licence of its own."""
+    folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    holders: dict = {}
+    for i, path, _ in files:
+        if i in own and path.rsplit("/", 1)[-1].split(".")[0].lower() in licenses.LICENSE_FILES:
+            holders.setdefault(folder(path), set()).update(own[i])
+    out = {}
+    for i, path, _ in files:
+        at = folder(path)
+        while i not in own:
+            if at in holders:
+                out[i] = (at, frozenset(holders[at]))
+            if at in holders or not at:
+                break
+            at = folder(at)
+    return out
+
+
+def test_inheritance_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(6)
+    notices = ["Released under the MIT License.", "Licensed under CC BY 4.0.", "Licensed under the Apache License, Version 2.0.", "plain words", None]
+    files = []
+    for i in range(120):
+        depth = int(r.integers(0, 5))
+        name = "LICENSE" if r.random() < 0.2 else f"f{i}.txt"
+        files.append((i, "/".join([*(str(x) for x in r.integers(0, 2, depth)), name]), notices[int(r.integers(5))] if name == "LICENSE" or r.random() < 0.1 else "words"))
+    got = licenses.scan(spark.createDataFrame(files, "doc_id bigint, path string, text string").repartition(3), F.col("path")).collect()
+    own = {x.doc_id: {y.license for y in x.licenses} for x in got if x.origin in ("file", "notice")}
+    assert own == {i: set(x) for i, x in cosine_scan(files).items()}
+    want = inherited_by_hand(files, own)
+    assert {x.doc_id: (x.directory, frozenset(y.license for y in x.licenses)) for x in got if x.origin == "inherited"} == want and len(want) > 20
+
+
 def test_quality(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
