@@ -229,10 +229,12 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, t
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     blocks = materialize(_blocks(nodes, tile_docs, tile_bytes), "blocks")
 
-    # One row speaks for each text: that with its least id. Rows that repeat it are folded before they are shuffled.
-    wanted = blocks.select("node").distinct().join(nodes.select("node", "doc", F.col("digest").alias("of")), "node")
-    texts = rows.groupBy("id", "digest").agg(F.first("text").alias("text"))
-    texts = wanted.hint("merge").join(texts, (F.col("of") == F.col("digest")) & F.col("doc").eqNullSafe(F.col("id"))).select(F.col("node").alias("speaks"), "text")
+    # One row speaks for each text: that with its least id. Rows that repeat it are folded before they are shuffled. A null
+    # counts as the least bigint here, so that the join finds texts where the aggregation has put them.
+    slot = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    wanted = blocks.select("node").distinct().join(nodes.select("node", slot("doc").alias("slot_of"), F.col("digest").alias("of")), "node")
+    texts = rows.groupBy("digest", slot("id").alias("slot")).agg(F.first("text").alias("text"))
+    texts = wanted.hint("merge").join(texts, (F.col("of") == F.col("digest")) & (F.col("slot_of") == F.col("slot"))).select(F.col("node").alias("speaks"), "text")
     tiles = blocks.hint("merge").join(texts, F.col("node") == F.col("speaks")).select("tile", "node", "chunk", "cross", "keys", "text")
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
