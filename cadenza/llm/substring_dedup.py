@@ -1,16 +1,17 @@
 """Removal of byte strings of 200 bytes that occur more than once in the corpus, by suffix arrays.
 
 1. Content anchors (see ``anchors``) give each 200-byte window one owner, so that equal windows meet at equal anchors.
-   The anchors of all texts are written to a table, with a 128-bit digest of each one's context (its windows' bytes).
+   Anchors whose gram occurs once own nothing repeated. The others are written to a table, with a 128-bit digest of each
+   one's context (its windows' bytes).
 2. A context that occurs twice repeats as a whole; this settles the inside of copies.
 3. Different contexts of one gram go to a shard, which sorts their suffixes and marks windows whose common prefix with
    another window is 200 bytes. A gram with many contexts is dealt over several shards; each gives its windows' 200 bytes
    in suffix order, in parts, and a task per part merges the shards by binary search over those bytes.
 4. The windows found are laid on every occurrence of their context, and texts are cut once.
 
-Documents are read three times, and shuffled once, in the last step. The second reading takes the contexts of grams that
-have several; a bitmap of these grams, sized by their number up to 2^MOST_BITS bits, spares the others. Where they are too
-many for it, it lets more through, and the join that follows selects alike.
+Documents are read four times, and shuffled once, in the last step: for the counts of grams, for the anchors, and for the
+contexts of grams that have several. Bitmaps, sized by the number of grams up to 2^MOST_BITS bits, spare the work for other
+grams. Where grams are too many for them, they let more through, and what follows selects alike.
 """
 
 from __future__ import annotations
@@ -117,30 +118,44 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"gram": np.full(len(runs[0]), part["gram"].iloc[0]), "f1": runs[0], "f2": runs[1], "first": runs[2], "last": runs[3]})
 
 
+def _bitmap_of(grams: DataFrame, count: int) -> np.ndarray:
+    return bitmap.build(grams, "gram", min(MOST_BITS, max(16, (8 * count).bit_length())))
+
+
 def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contexts: int = 1024) -> DataFrame:
     """uid1, uid2, first, last: runs of places in a text at which 200 bytes start that also start elsewhere.
 
     ``rows`` has uid1, uid2 (bigint) and data (binary, not null). Rows of one uid are texts of their own when counting.
     """
     spark = rows.sparkSession
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in _flat(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array(find(data, offsets).gram)], names=["gram"])
+
+    counted = rows.select("data").mapInArrow(grams, "gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    twice = materialize(counted.where("n > 1").select("gram"), "grams")
+    shared = spark.sparkContext.broadcast(_bitmap_of(twice, twice.count()))
     places = pa.schema([*((u, pa.int64()) for u in UID), ("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n, data, offsets in _flat(batch, 2):
                 found = find(data, offsets)
+                found = found.select(bitmap.test(shared.value, found.gram))
                 f1, f2 = context_digests(data, found)
                 uids = [batch.column(k).slice(at, n).to_numpy()[found.text] for k in (0, 1)]
                 columns = (*uids, found.gram, f1, f2, found.start - offsets[:-1][found.text], found.stop - found.start - WIDTH + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, places, strict=True)], schema=places)
 
+    # Anchors whose gram occurs once own nothing repeated.
     found = materialize(rows.select(*UID, "data").mapInArrow(locate, "uid1 bigint, uid2 bigint, gram bigint, f1 bigint, f2 bigint, start int, windows int"), "anchors")
     contexts = materialize(found.groupBy("gram", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows")), "contexts")
     several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("windows") + WIDTH).alias("bytes")).where("kinds > 1")
     several = materialize(several, "several")
     total, grams = several.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    bits = min(MOST_BITS, max(16, (8 * grams).bit_length()))
-    mixed = spark.sparkContext.broadcast(bitmap.build(several, "gram", bits))
+    mixed = spark.sparkContext.broadcast(_bitmap_of(several, grams))
 
     kinds = pa.schema([("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("context", pa.binary())])
 
