@@ -1,7 +1,7 @@
 """Licence scan: TF-IDF cosine of notices and licence files to templates, then inheritance from directories.
 
-Units are the lines of a text, each two lines in a row that are not blank (titles and headers break lines), and the whole
-text of a licence file. A unit's terms are its lower-cased runs of letters and digits, weighted by count times inverse
+Units are the lines of a text, each two lines in a row (blank ones left out) of which neither reaches the threshold, as
+titles and headers break lines, and the whole text of a licence file. A unit's terms are its lower-cased runs of letters and digits, weighted by count times inverse
 document frequency, counted over all lines of all files for every term. Only DataFrame functions are used.
 
 A unit reaches the threshold only if the template's terms in it carry threshold^2 of the template's squared length
@@ -151,27 +151,45 @@ def scan(
     template = F.broadcast(template.select("license", "variant", F.split_part("e", F.lit(" "), F.lit(1)).alias("term"), F.split_part("e", F.lit(" "), F.lit(2)).cast("double").alias("share")))
 
     full = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    lines = F.transform(F.col("lines"), _terms)
-    pairs = F.transform("tokens", lambda t, i: F.struct(i.alias("line"), F.array(t, F.concat(t, F.coalesce(F.get("tokens", i + 1), F.array()))).alias("terms")))
-    whole = F.when(named, F.array(F.struct(F.lit(-1).alias("line"), F.array(_terms(F.col("text"))).alias("terms")))).otherwise(F.array())
-    some = rows.where(F.arrays_overlap(_terms(F.col("text")), keys))
-    some = some.withColumn("lines", full).withColumn("tokens", lines)
-    units = some.select("id", "path", named.alias("named"), F.explode(F.concat(pairs, whole)).alias("u")).select("id", "path", "named", "u.line", F.posexplode("u.terms").alias("span", "terms"))
-    units = materialize(units.where(F.arrays_overlap("terms", keys)), "units")
-    unit = ["id", "path", "named", "line", "span"]
-    counted = units.select(*unit, F.explode("terms").alias("term")).groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("n"))
-    weighed = counted.join(frequency, "term").withColumn("w", F.col("n") * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0))
-    norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.collect_list(F.struct("term", "w")).alias("bag"))
-    dots = norms.select(*unit, "length", F.explode("bag").alias("b")).select(*unit, "length", F.col("b.term").alias("term"), F.col("b.w").alias("w"))
-    scored = dots.join(template, "term").groupBy(*unit, "license", "variant").agg((F.sum(F.col("w") * F.col("share")) / F.max("length")).alias("score"))
-    nearest_of = scored.groupBy(*unit).agg(F.min(F.struct((-F.round("score", 12)).alias("minus"), "license", "score")).alias("b")).select(
-        *unit, F.col("b.license").alias("license"), F.col("b.score").alias("score")
-    )
+    said = lambda terms: F.sha2(F.concat_ws(" ", terms), 256)
+    held = lambda terms: F.arrays_overlap(terms, keys)
+    some = rows.where(held(_terms(F.col("text")))).withColumn("lines", F.transform(full, _terms))
+    places = some.select("id", "path", named.alias("named"), "lines", F.posexplode("lines").alias("i", "own")).withColumn("next", F.get("lines", F.col("i") + 1))
+    both = F.concat("own", "next")
+    nothing = F.lit(None).cast("string")
+    single = F.struct(F.col("own").alias("terms"), nothing.alias("a"), nothing.alias("b"))
+    double = F.struct(both.alias("terms"), said("own").alias("a"), said("next").alias("b"))
+    near_key = places.where(held("own") | F.coalesce(held("next"), F.lit(False)))
+    units = near_key.select("id", "path", "named", F.inline(F.array(single, double))).where(F.col("terms").isNotNull()).where(held("terms"))
+    whole = rows.where(named).select("id", "path", F.lit(True).alias("named"), _terms(F.col("text")).alias("terms"), nothing.alias("a"), nothing.alias("b")).where(held("terms"))
+    units = materialize(units.unionByName(whole).withColumn("said", said("terms")), "units")
+
+    def scores(some: DataFrame) -> DataFrame:
+        """of, license and score of the units that reach the threshold. Units of the same terms are scored once."""
+        bags = some.groupBy("said").agg(F.first("terms").alias("terms"))
+        counted = bags.select("said", F.explode("terms").alias("term")).groupBy("said", "term").agg(F.count(F.lit(1)).alias("n"))
+        weighed = counted.join(frequency, "term").withColumn("w", F.col("n") * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0))
+        square = F.col("w") * F.col("w")
+        known = F.sum(F.when(F.col("term").isin(*vocabulary), square).otherwise(0.0))
+        norms = weighed.groupBy("said").agg(F.sum(square).alias("all"), known.alias("known"), F.collect_list(F.struct("term", "w")).alias("bag"))
+        # What the templates' terms carry bounds the cosine.
+        near = norms.where(F.col("known") >= threshold * threshold * F.col("all") * (1 - 1e-9))
+        dots = near.select("said", F.sqrt("all").alias("length"), F.explode("bag").alias("b")).select("said", "length", F.col("b.term").alias("term"), F.col("b.w").alias("w"))
+        scored = dots.join(template, "term").groupBy("said", "license", "variant").agg((F.sum(F.col("w") * F.col("share")) / F.max("length")).alias("score"))
+        best = scored.groupBy("said").agg(F.min(F.struct((-F.round("score", 12)).alias("minus"), "license", "score")).alias("b")).where(F.col("b.score") >= threshold - 1e-9)
+        return materialize(best.select(F.substring("said", 1, 64).alias("of"), F.col("b.license").alias("license"), F.col("b.score").alias("score")), "scores")
+
+    alone = units.where("a IS NULL")
+    by_line = scores(alone)
+    reached = by_line.select("of")
+    pairs = units.where("a IS NOT NULL").join(reached, F.col("a") == F.col("of"), "left_anti").join(reached, F.col("b") == F.col("of"), "left_anti")
+    told = lambda part, best: part.join(best, F.col("said") == F.col("of")).select("id", "path", "named", "license", "score")
+    nearest_of = told(alone, by_line).unionByName(told(pairs, scores(pairs)))
     tags = rows.where(F.col("text").contains("SPDX-License-Identifier:")).select(
-        "id", "path", named.alias("named"), F.lit(0).alias("line"), F.lit(0).alias("span"), F.explode(_tagged(F.col("text"))).alias("license"), F.lit(1.0).alias("score")
+        "id", "path", named.alias("named"), F.explode(_tagged(F.col("text"))).alias("license"), F.lit(1.0).alias("score")
     )
     nearest_of = nearest_of.unionByName(tags)
-    own = nearest_of.where(F.col("score") >= threshold - 1e-9).groupBy("id", "license").agg(
+    own = nearest_of.groupBy("id", "license").agg(
         F.max("score").alias("score"), F.bool_or("named").alias("named"), F.max("path").alias("path")
     )
     own = materialize(own, "own-licenses")

@@ -179,13 +179,23 @@ def cosine_scan(files, threshold=0.8):
     for i, path, t in files:
         named = path.rsplit("/", 1)[-1].split(".")[0].lower() in licenses.LICENSE_FILES
         own = [x for x in (t or "").split("\n") if x.strip()]
-        for unit in [*own, *map(" ".join, zip(own, own[1:], strict=False)), *([t or ""] if named else [])]:
+
+        def reached(unit):
             v = vector(unit)
             scores = [(sum(v.get(w, 0) * x for w, x in u.items()) / norm(v) / n, k) for k, u, n in templates if v]
             best = max((s for s, _ in scores), default=0)
-            if best >= threshold - 1e-9:
-                name = min(k for s, k in scores if s > best - 1e-12)
-                out.setdefault(i, {})[name] = max(best, out.get(i, {}).get(name, 0))
+            if best < threshold - 1e-9:
+                return False
+            name = min(k for s, k in scores if s > best - 1e-12)
+            out.setdefault(i, {})[name] = max(best, out.get(i, {}).get(name, 0))
+            return True
+
+        hit = [reached(x) for x in own]
+        for k in range(len(own) - 1):
+            if not hit[k] and not hit[k + 1]:
+                reached(own[k] + " " + own[k + 1])
+        if named:
+            reached(t or "")
     return out
 
 
