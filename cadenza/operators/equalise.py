@@ -58,11 +58,12 @@ def cascade_of(bands: list[Band], rate: float, rumble: float | None = None, voic
 
 
 def fit_curves(curves: DataFrame, rate: float, **options) -> DataFrame:
-    """rec, i, freq, gain_db, q of curves (rec, freq, db, target): one group of grid points for each recording."""
+    """rec, i, freq, gain_db, q of curves (rec, freq, db, target and maybe snr): one group of grid points for each recording."""
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("freq", ignore_index=True)
-        bands = fit_bands(part["freq"].to_numpy(), (part["db"] - part["target"]).to_numpy(), rate, **options)
+        snr = part["snr"].fillna(-np.inf).to_numpy() if "snr" in part else None
+        bands = fit_bands(part["freq"].to_numpy(), (part["db"] - part["target"]).to_numpy(), rate, snr=snr, **options)
         return pd.DataFrame([(part["rec"].iloc[0], i, b.freq, b.gain_db, b.q) for i, b in enumerate(bands)], columns=["rec", "i", "freq", "gain_db", "q"])
 
     return curves.groupBy("rec").applyInPandas(fit, "rec string, i int, freq double, gain_db double, q double")

@@ -10,16 +10,18 @@ def plan_trials(windows: DataFrame, variants: DataFrame, most: int) -> DataFrame
     """trial, window, variant, file, label, start, dur.
 
     Each window (window, start, dur) is heard with its variants (window, ord, variant, file), ``most`` to a trial; trials are
-    t01, t02, ... by window and chunk. Labels A, B, ... follow a hash of trial and variant, so they tell nothing of the
+    t01, t02, ..., t100 by window and chunk. A lone last variant of a window goes with the chunk before. Labels A, B, ... follow a hash of trial and variant, so they tell nothing of the
     order and are the same each time. A variant of a window that is not there stops the job, and so does a trial of one or
     of more than ten variants.
     """
     at = F.row_number().over(Window.partitionBy("window").orderBy("ord")) - 1
-    dealt = variants.withColumn("chunk", F.floor(at / most))
+    size = F.count(F.lit(1)).over(Window.partitionBy("window"))
+    last = F.when((size % most == 1) & (size > 1), F.floor(size / most) - 1).otherwise(F.floor(size / most))
+    dealt = variants.withColumn("chunk", F.least(F.floor(at / most), last))
     joined = dealt.join(windows.select("window", "start", "dur", F.lit(True).alias("known")), "window", "left")
     checked = joined.withColumn("start", F.when(F.col("known"), F.col("start")).otherwise(F.raise_error(F.concat(F.lit("no window "), F.col("window").cast("string"))).cast("double")))
     number = checked.select("window", "chunk").distinct().withColumn("t", F.row_number().over(Window.orderBy("window", "chunk")))  # one row a trial
-    rows = checked.join(number, ["window", "chunk"]).withColumn("trial", F.concat(F.lit("t"), F.lpad(F.col("t").cast("string"), 2, "0")))
+    rows = checked.join(number, ["window", "chunk"]).withColumn("trial", F.concat(F.lit("t"), F.when(F.col("t") < 10, F.lit("0")).otherwise(""), F.col("t").cast("string")))
     hidden = Window.partitionBy("trial").orderBy(F.sha2(F.concat_ws("/", "trial", "variant"), 256))
     size = F.count(F.lit(1)).over(Window.partitionBy("trial"))
     told = rows.withColumn("size", size).withColumn("label", F.chr((F.row_number().over(hidden) + 64).cast("bigint")))

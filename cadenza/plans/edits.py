@@ -68,16 +68,14 @@ def window_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit.window_loudness_gate(windows, 18.0).select("rec", "w", _r("lufs").alias("lufs"), "is_speech")
 
 
-_TRIALS = """, v AS (SELECT conv_id AS w, turn, role || turn AS variant, 'f' || turn AS file, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS chunk, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations WHERE conv_id < 40),
-k AS (SELECT * FROM v WHERE c % 4 <> 1), t AS (SELECT w, chunk, row_number() OVER (ORDER BY w, chunk) AS t FROM (SELECT DISTINCT w, chunk FROM k)),
-r AS (SELECT 't' || CASE WHEN t < 10 THEN '0' ELSE '' END || left(CAST(t AS VARCHAR), 2) AS trial, k.w, variant, file FROM k JOIN t ON t.w = k.w AND t.chunk = k.chunk)"""
+_TRIALS = """, v AS (SELECT conv_id AS w, turn, role || turn AS variant, 'f' || turn AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations),
+k AS (SELECT *, CASE WHEN c % 4 = 1 AND pos = c - 1 THEN (pos - 1) // 4 ELSE pos // 4 END AS chunk FROM v), t AS (SELECT w, chunk, row_number() OVER (ORDER BY w, chunk) AS t FROM (SELECT DISTINCT w, chunk FROM k)),
+r AS (SELECT 't' || CASE WHEN t < 10 THEN '0' ELSE '' END || CAST(t AS VARCHAR) AS trial, k.w, variant, file FROM k JOIN t ON t.w = k.w AND t.chunk = k.chunk)"""
 
 
 @query("WITH x AS (SELECT 1)" + _TRIALS + """ SELECT trial, w AS "window", variant, file, chr(CAST(64 + row_number() OVER (PARTITION BY trial ORDER BY sha256(trial || '/' || variant)) AS INT)) AS label, w * 10.0 AS start FROM r""")
 def session_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id < 40").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("conv_id"))).where("c % 4 <> 1")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     variants = turns.select(F.col("conv_id").alias("window"), F.col("turn").alias("ord"), F.concat("role", F.col("turn").cast("string")).alias("variant"), F.concat(F.lit("f"), F.col("turn").cast("string")).alias("file"))
     windows = variants.select("window").distinct().select("window", (F.col("window") * 10.0).alias("start"), F.lit(8.0).alias("dur"))
     return sessions.plan_trials(windows, variants, 4).drop("dur")

@@ -14,8 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.num import compressor_gain, db, db_to_lin, expander_gain
-from ..operators import clicks, envelope, islands, linear, loudness, metrics, peaks, recurrences, roomtone, transforms
+from ..functions.filters import settle
+from ..functions.num import adaptive_reduction, compressor_gain, db, expander_gain
+from ..operators import clicks, envelope, equalise, islands, linear, longterm, loudness, metrics, peaks, recurrences, roomtone, transforms
+from ..operators.spectra import hann
 from ..sources.layout import in_chunk, lengths, with_halo
 
 
@@ -134,18 +136,35 @@ def declick(samples: DataFrame, p: dict, rate: float) -> Result:
 
 @stage("denoise", reduction=12.0, clean_snr=35.0, max_loss=3.0)
 def denoise(samples: DataFrame, p: dict, rate: float) -> Result:
-    """Wiener gains against a white floor at the pauses' level; declines clean material, and takes back what costs programme."""
+    """Wiener gains against each recording's noise by bin; declines clean material, and takes back what costs programme.
+
+    The noise is the mean of the frames inside pauses, or, where those are fewer than four, the quietest fifth of each bin's
+    frames. The reduction falls with the signal-to-noise ratio; a recording without one gets what is asked for.
+    """
     pauses, levels = quiet_ranges(samples, rate)
     floor = loudness.range_loudness(samples, pauses.select("rec", "i", "start", "end")).groupBy("rec").agg(F.avg("z").alias("z"))
     snr = levels.join(floor, "rec", "left").withColumn("snr", F.col("lufs") - (10.0 * F.log10(F.greatest("z", F.lit(1e-20))) - 0.691))
-    acts = snr.withColumn("applied", F.least(F.lit(p["reduction"]), F.greatest(F.lit(0.0), p["clean_snr"] - F.col("snr")))).withColumn("acts", F.coalesce(F.col("applied") > 0, F.lit(False)))
-    scaled = samples.join(acts.where("acts").select("rec", F.sqrt(F.greatest("z", F.lit(1e-20))).alias("level")), "rec").select("rec", "n", (F.col("x") / F.col("level")).alias("x"), "level")
-    # Scaled by the floor's RMS, white noise has power 1 a bin in every recording.
-    cleaned = transforms.denoised(scaled.select("rec", "n", "x"), np.full(513, 512.0), p["reduction"]).join(acts.select("rec", F.sqrt(F.greatest("z", F.lit(1e-20))).alias("level")), "rec")
-    changed = cleaned.select("rec", "n", (F.col("x") * F.col("level")).alias("x"))
+    applied = adaptive_reduction(p["clean_snr"], F.col("snr"), p["reduction"])
+    acts = snr.withColumn("applied", F.coalesce(applied, F.lit(float(p["reduction"])))).withColumn("acts", F.col("applied") > 0)
+    noisy = samples.join(acts.where("acts").select("rec"), "rec", "left_semi")
+    size, hop = 1024, 256
+    window = np.sqrt(hann(size))
+    heard = longterm.range_spectrum(noisy, pauses, window, hop, anchored=False)
+    unheard = longterm.quietest_spectrum(noisy.join(heard.select("rec").distinct(), "rec", "left_anti"), lengths(noisy), window, hop)
+    profile = heard.withColumn("pauses", F.lit(True)).unionByName(unheard.withColumn("pauses", F.lit(False)))
+    profile = profile.groupBy("rec", "pauses").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("bins")).select("rec", "pauses", F.col("bins.p").alias("noise"))
+    settings = profile.select("rec", "noise").join(acts.select("rec", "applied"), "rec")
+
+    def clean(x: np.ndarray, own) -> np.ndarray:
+        spectra = transforms.stft(x, size, hop)
+        gains = transforms.wiener_gains(np.abs(spectra) ** 2, np.array(own["noise"], dtype=np.float64), 10 ** (-own["applied"] / 20))
+        return transforms.istft(spectra * gains, size, hop, len(x))
+
+    changed = longterm.by_recording(noisy, settings, clean, 402 * hop + 2 * size, 2 * size, 1 << 17)
     loss = programme(changed, rate).withColumnRenamed("lufs", "after").join(levels.select("rec", "lufs"), "rec").select("rec", (F.col("lufs") - F.col("after")).alias("loss"))
-    kept = acts.join(loss, "rec", "left").withColumn("acts", F.col("acts") & F.coalesce(F.col("loss") <= p["max_loss"], F.lit(False)))
-    return Result(where_acting(samples, changed, kept), facts(kept, "snr", "applied", "loss", "acts"))
+    kept = acts.join(loss, "rec", "left").join(profile.select("rec", "pauses"), "rec", "left")
+    kept = kept.withColumn("acts", F.col("acts") & F.col("pauses").isNotNull() & (F.coalesce("loss", F.lit(0.0)) <= p["max_loss"]))
+    return Result(where_acting(samples, changed, kept), facts(kept, "snr", "applied", "pauses", "loss", "acts"))
 
 
 @stage("dereverb", min_decay_ms=90.0, taps=20, delay=3)
@@ -161,14 +180,39 @@ def dereverb(samples: DataFrame, p: dict, rate: float) -> Result:
     return Result(where_acting(samples, changed, acts), facts(acts, "decay_ms", "acts"))
 
 
-@stage("eq", voicing="neutral", rumble_hz=80.0)
+@stage("eq", voicing="warm", rumble_hz=80.0, rumble_margin=-12.0, max_bands=5, min_deviation=2.0, max_cut=6.0, max_boost=3.0)
 def eq(samples: DataFrame, p: dict, rate: float) -> Result:
-    """Takes rumble out and voices; bands come from :func:`equalise.fit_curves`."""
-    from ..operators.equalise import cascade_of
+    """Pulls each recording's speech spectrum towards its own broad shape, takes rumble out where there is some, and voices.
 
-    filters = cascade_of([], rate, p["rumble_hz"], p["voicing"])
-    size = lengths(samples).withColumn("filters", F.lit(len(filters)))
-    return Result(recurrences.filtered(samples, filters), facts(size, "filters"))
+    Bands are fitted to the deviation of the speech frames' mean spectrum; a boost needs enough level over the pauses. The
+    high-pass comes on where the band under ``rumble_hz`` stands over the voice's by ``rumble_margin``. A recording with fewer
+    than four frames of speech is left alone.
+    """
+    size = min(8192, 1 << int(np.floor(np.log2(rate * 0.17))))
+    pauses, _ = quiet_ranges(samples, rate)
+    speech = islands.complement(pauses, lengths(samples))
+    spectra = longterm.range_spectrum(samples, speech, hann(size), size // 2)
+    noise = longterm.log_curves(longterm.range_spectrum(samples, pauses, hann(size), size // 2), rate, size)
+    curves = longterm.with_target(longterm.log_curves(spectra, rate, size))
+    curves = curves.join(noise.select("rec", "i", F.col("db").alias("noise_db")), ["rec", "i"], "left").withColumn("snr", F.col("db") - F.col("noise_db"))
+    bands = equalise.fit_curves(curves, rate, most=int(p["max_bands"]), least_db=p["min_deviation"], cut=p["max_cut"], boost=p["max_boost"])
+    lists = bands.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("i", "freq", "gain_db", "q"))).alias("bands"))
+    low = longterm.band_levels(spectra, rate, size, 20, p["rumble_hz"], "sub").join(longterm.band_levels(spectra, rate, size, 120, 300, "voice"), "rec")
+    rumble = low.select("rec", (F.col("sub") - F.col("voice")).alias("rumble_excess")).withColumn("rumble", F.col("rumble_excess") > p["rumble_margin"])
+    told = spectra.select("rec", F.col("frames").alias("speech_frames")).distinct().join(lists, "rec", "left").join(rumble, "rec", "left")
+    told = told.withColumn("rumble", F.coalesce("rumble", F.lit(False))).withColumn("bands", F.coalesce("bands", F.array().cast("array<struct<i:int,freq:double,gain_db:double,q:double>>")))
+    voiced = bool(equalise.VOICINGS[p["voicing"]])
+    acts = lengths(samples).join(told, "rec", "left").withColumn("acts", F.coalesce(F.col("rumble") | (F.size("bands") > 0) | F.lit(voiced), F.lit(False)) & F.col("speech_frames").isNotNull())
+
+    def change(x: np.ndarray, own) -> np.ndarray:
+        fitted = [equalise.Band(b["freq"], b["gain_db"], b["q"]) for b in own["bands"]]
+        return recurrences.cascade(x, equalise.cascade_of(fitted, rate, p["rumble_hz"] if own["rumble"] else None, p["voicing"]))
+
+    # The slowest filter that may come about: the high-pass, and a band of the highest Q at the lowest frequency.
+    reach = settle(equalise.cascade_of([equalise.Band(80.0, -p["max_cut"], 4.0)], rate, p["rumble_hz"], p["voicing"]))
+    changed = longterm.by_recording(samples, acts.where("acts").select("rec", "bands", "rumble"), change, reach)
+    shown = acts.withColumn("band_count", F.size("bands")).withColumn("bands", F.to_json("bands"))
+    return Result(where_acting(samples, changed, acts), facts(shown, "bands", "band_count", "rumble", "rumble_excess", "speech_frames", "acts"))
 
 
 @stage("dyneq")

@@ -84,3 +84,51 @@ def test_chain_errors(speech):
     assert stages.preset("acx")["params"]["level"]["target"] == -20.0
     with pytest.raises(ValueError):
         stages.preset("none")
+
+
+@pytest.fixture(scope="module")
+def voice(spark, tmp_path_factory):
+    """Noise as speech with a bump at 1 kHz and rumble at 40 Hz, pauses of steady noise."""
+    rate, r = 8000.0, np.random.default_rng(4)
+    parts = []
+    for k in range(3):
+        n = int(3 * rate)
+        t = np.arange(n) / rate
+        spoken = 0.1 * r.standard_normal(n) * (0.6 + 0.4 * np.sin(2 * np.pi * 3 * t)) + 0.02 * np.sin(2 * np.pi * 40 * t)
+        shape = np.fft.rfft(spoken)
+        f = np.fft.rfftfreq(n, 1 / rate)
+        shape *= 10 ** (9 * np.exp(-((np.log2(np.maximum(f, 1) / 1000) / 0.25) ** 2)) / 20)
+        parts += [np.fft.irfft(shape, n), np.zeros(int(1.5 * rate))]
+    x = np.concatenate(parts) + 0.004 * r.standard_normal(sum(map(len, parts)))
+    path = str(tmp_path_factory.mktemp("v") / "voice")
+    spark.createDataFrame([("v", i, float(v)) for i, v in enumerate(x)], "rec string, n bigint, x double").write.parquet(path)
+    return spark.read.parquet(path), rate
+
+
+def array_of(df):
+    return np.array([r.x for r in df.orderBy("n").select("x").collect()])
+
+
+def test_eq_takes_out_a_bump_and_rumble(voice, keep):
+    samples, rate = voice
+    out = stages.run_chain(samples, rate, only=["eq"], params={"eq": {"voicing": "neutral"}}, between=keep)
+    told = facts(out, "eq")
+    assert told[("v", "acts")] == "true" and told[("v", "rumble")] == "true" and int(told[("v", "band_count")]) >= 1
+    before, after = array_of(samples), array_of(out.samples)
+    f = np.fft.rfftfreq(len(before), 1 / rate)
+    level = lambda x, a, b: 10 * np.log10((np.abs(np.fft.rfft(x))[(f >= a) & (f < b)] ** 2).mean())
+    change = lambda a, b: level(after, a, b) - level(before, a, b)
+    assert change(950, 1050) < change(600, 700) - 1.5 and change(36, 44) < -8 and abs(change(2500, 3500)) < 3.5
+
+
+def test_denoise_by_profile(voice, keep):
+    samples, rate = voice
+    out = stages.run_chain(samples, rate, only=["denoise"], between=keep)
+    told = facts(out, "denoise")
+    assert told[("v", "acts")] == "true" and told[("v", "pauses")] == "true" and 0 < float(told[("v", "applied")]) <= 12
+    before, after = array_of(samples), array_of(out.samples)
+    pause = slice(int(3.3 * rate), int(4.3 * rate))
+    lost = 10 * np.log10((before[pause] ** 2).mean() / (after[pause] ** 2).mean())
+    assert abs(lost - float(told[("v", "applied")])) < 2.5
+    speech = slice(int(1 * rate), int(2 * rate))
+    assert abs(10 * np.log10((before[speech] ** 2).mean() / (after[speech] ** 2).mean())) < 1
