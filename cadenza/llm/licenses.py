@@ -151,7 +151,14 @@ def scan(
     steps: dict[float, list[str]] = {}
     for t in vocabulary:
         steps.setdefault(math.ceil(idf[t] * 2) / 2, []).append(t)
-    most = F.coalesce(*[F.when(F.col("term").isin(*ts), F.lit(step)) for step, ts in sorted(steps.items())])
+
+    def may_reach(terms: Column) -> Column:
+        """Whether what the templates' terms carry at most, against what the others carry at least, allows the threshold."""
+        most = lambda t: F.coalesce(*[F.when(t.isin(*ts), F.lit(step)) for step, ts in sorted(steps.items())])
+        known = F.filter(terms, lambda t: t.isin(*vocabulary))
+        times = lambda t: F.size(known) - F.size(F.array_remove(known, t))
+        carried = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda total, t: total + F.pow(times(t) * most(t), F.lit(2.0)))
+        return (1 - threshold * threshold) * carried >= threshold * threshold * least * least * (F.size(terms) - F.size(known)) * (1 - 1e-9)
 
     # The templates' entries are constants of the plan, a text a template; they are as many as the templates have terms.
     entries = [F.struct(F.lit(k[0]).alias("license"), F.lit(k[1]).alias("variant"), F.lit("\n".join(f"{t} {w / lengths[k]!r}" for t, w in v.items())).alias("entries")) for k, v in vectors.items()]
@@ -168,7 +175,7 @@ def scan(
     single = F.struct(F.col("own").alias("terms"), nothing.alias("a"), nothing.alias("b"))
     double = F.struct(both.alias("terms"), said("own").alias("a"), said("next").alias("b"))
     near_key = places.where(held("own") | F.coalesce(held("next"), F.lit(False)))
-    units = near_key.select("id", "path", "named", F.inline(F.array(single, double))).where(F.col("terms").isNotNull()).where(held("terms"))
+    units = near_key.select("id", "path", "named", F.inline(F.array(single, double))).where(F.col("terms").isNotNull()).where(held("terms") & may_reach(F.col("terms")))
     whole = rows.where(named).select("id", "path", F.lit(True).alias("named"), _terms(F.col("text")).alias("terms"), nothing.alias("a"), nothing.alias("b")).where(held("terms"))
     units = materialize(units.unionByName(whole).withColumn("said", said("terms")), "units")
 
@@ -176,16 +183,11 @@ def scan(
         """of, license and score of the units that reach the threshold. Units of the same terms are scored once."""
         bags = some.groupBy("said").agg(F.first("terms").alias("terms"))
         counted = bags.select("said", F.explode("terms").alias("term")).groupBy("said", "term").agg(F.count(F.lit(1)).alias("n"))
-        # What the templates' terms carry bounds the cosine: once by the bounds of weights, then by the weights themselves.
-        bounds = counted.groupBy("said").agg(
-            F.sum(F.coalesce(F.pow(F.col("n") * most, F.lit(2.0)), F.lit(0.0))).alias("known"), F.sum(F.when(most.isNull(), F.pow(F.col("n") * least, F.lit(2.0))).otherwise(0.0)).alias("others"),
-            F.collect_list(F.struct("term", "n")).alias("bag"),
-        )
-        hopeful = bounds.where((1 - threshold * threshold) * F.col("known") >= threshold * threshold * F.col("others") * (1 - 1e-9)).select("said", F.inline("bag"))
-        weighed = hopeful.join(frequency, "term").withColumn("w", F.col("n") * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0))
+        weighed = counted.join(frequency, "term").withColumn("w", F.col("n") * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0))
         square = F.col("w") * F.col("w")
         known = F.sum(F.when(F.col("term").isin(*vocabulary), square).otherwise(0.0))
         norms = weighed.groupBy("said").agg(F.sum(square).alias("all"), known.alias("known"), F.collect_list(F.struct("term", "w")).alias("bag"))
+        # What the templates' terms carry bounds the cosine.
         near = norms.where(F.col("known") >= threshold * threshold * F.col("all") * (1 - 1e-9))
         dots = near.select("said", F.sqrt("all").alias("length"), F.explode("bag").alias("b")).select("said", "length", F.col("b.term").alias("term"), F.col("b.w").alias("w"))
         scored = dots.join(template, "term").groupBy("said", "license", "variant").agg((F.sum(F.col("w") * F.col("share")) / F.max("length")).alias("score"))
