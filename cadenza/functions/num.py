@@ -47,16 +47,14 @@ def erb_to_hz(erb: Column) -> Column:
     return 24.7 * 9.265 * (F.exp(erb / 9.265) - 1.0)
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The p-th percentile (0 to 100) of an ascending array, by nearest rank; null for an empty array."""
-    at = js_round(F.lit(p / 100.0) * (F.size(values) - 1)).cast("int")
-    return F.when(F.size(values) > 0, F.element_at(values, at + 1))
+def nearest_rank(n: Column, p: float) -> Column:
+    """The rank, from 0, of the p-th percentile (0 to 100) of n ascending values, by nearest rank."""
+    return js_round(F.lit(p / 100.0) * (n - 1))
 
 
-def floor_rank(values: Column, share: float) -> Column:
-    """Element min(n - 1, floor(n * share)) of an ascending array."""
-    at = F.least(F.size(values) - 1, F.floor(F.size(values) * share).cast("int"))
-    return F.when(F.size(values) > 0, F.element_at(values, at + 1))
+def floor_rank(n: Column, share: float) -> Column:
+    """The rank min(n - 1, floor(n * share)), from 0, of n ascending values."""
+    return F.least(n - 1, F.floor(n * share))
 
 
 def compressor_gain(level: Column, threshold: float, ratio: float, knee: float, cap: float) -> Column:

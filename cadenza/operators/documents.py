@@ -48,15 +48,15 @@ def label_clips(clips: DataFrame) -> DataFrame:
 
 
 def answers_export(answers: DataFrame, key: DataFrame) -> DataFrame:
-    """answers (session, listener, trial, clip, question, answer) with the variant and window start of their clip, '' and
-    null where the key has no entry; the answer quoted."""
-    joined = answers.join(key.select("trial", F.col("label").alias("clip"), "variant", "window_start"), ["trial", "clip"], "left")
+    """answers (session, listener, trial, clip, question, answer) with the variant and window start of their session's clip,
+    '' and null where the key has no entry; the answer quoted."""
+    joined = answers.join(key.select("session", "trial", F.col("label").alias("clip"), "variant", "window_start"), ["session", "trial", "clip"], "left")
     quoted = F.concat(F.lit('"'), F.replace("answer", F.lit('"'), F.lit('""')), F.lit('"'))
     return joined.select("session", "listener", "trial", "window_start", "clip", F.coalesce("variant", F.lit("")).alias("variant"), "question", quoted.alias("answer"))
 
 
 def variant_stats(answers: DataFrame, key: DataFrame) -> DataFrame:
-    """variant, n, mean, picks: answers that the key knows, numbers averaged."""
-    joined = answers.join(key.select("trial", F.col("label").alias("clip"), "variant"), ["trial", "clip"])
+    """variant, question, answers, n, mean: answers of each question that their session's key knows, numbers averaged."""
+    joined = answers.join(key.select("session", "trial", F.col("label").alias("clip"), "variant"), ["session", "trial", "clip"])
     number = F.expr("try_cast(answer AS double)")
-    return joined.groupBy("variant").agg(F.count(number).alias("n"), F.avg(number).alias("mean"), F.count_if(F.col("question") == "pick").alias("picks"))
+    return joined.groupBy("variant", "question").agg(F.count(F.lit(1)).alias("answers"), F.count(number).alias("n"), F.avg(number).alias("mean"))

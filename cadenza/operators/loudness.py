@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import floor_rank, lufs
 from ..sources.layout import hopping_mean_squares
+from .ranks import at_ranks
 
 
 def gated(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,12 +38,13 @@ def loudest(samples: DataFrame, block: int, hop: int) -> DataFrame:
 def loudness_range(samples: DataFrame, block: int, hop: int) -> DataFrame:
     """rec, lra: spread of the blocks over -70 LUFS and 20 LU under their 95th percentile, from the 10th to the 95th.
 
-    Blocks are one value each (one in ``hop`` samples), gathered by recording; fewer than two give 0.
+    Fewer than two such blocks give 0.
     """
-    levels = momentary(samples, block, hop).groupBy("rec").agg(F.array_sort(F.collect_list(F.when(F.col("lufs") >= -70, F.col("lufs")))).alias("v"))
-    kept = levels.select("rec", F.filter("v", lambda x: x > floor_rank(F.col("v"), 0.95) - 20.0).alias("v"))
-    spread = floor_rank(F.col("v"), 0.95) - floor_rank(F.col("v"), 0.10)
-    return kept.select("rec", F.when(F.size("v") < 2, 0.0).otherwise(spread).alias("lra"))
+    heard = momentary(samples, block, hop).select("rec", F.when(F.col("lufs") >= -70, F.col("lufs")).alias("v"))
+    top = at_ranks(heard, {"top": lambda n: floor_rank(n, 0.95)}).select("rec", "top")
+    kept = heard.join(top, "rec").select("rec", F.when(F.col("v") > F.col("top") - 20.0, F.col("v")).alias("v"))
+    spread = at_ranks(kept, {"low": lambda n: floor_rank(n, 0.10), "high": lambda n: floor_rank(n, 0.95)})
+    return spread.select("rec", F.when(F.col("n") < 2, 0.0).otherwise(F.col("high") - F.col("low")).alias("lra"))
 
 
 def centered_windows(samples: DataFrame, window: int, hop: int) -> DataFrame:

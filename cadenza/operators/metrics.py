@@ -25,16 +25,28 @@ def si_sdr(pairs: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     return energies.select(*key, F.when((F.col("t") > 0) & (F.col("r") > 0), 10.0 * F.log10(F.col("t") / F.col("r"))).alias("si_sdr"))
 
 
-def residual_at(samples: DataFrame, sites: DataFrame, near: int, around: int) -> DataFrame:
-    """rec, site, ratio: peak within ``near`` samples of a site over the peak within ``around``, in dB.
+def residual_at(reference: DataFrame, estimate: DataFrame, sites: DataFrame, width: int, around: int, guard: int = 8) -> DataFrame:
+    """rec, site, ratio_db: what is audible of the residual where something was repaired.
 
-    Sites are dealt to cells, so that samples meet them by an equal join.
+    The residual is the estimate without the reference scaled to fit it. Its peak from ``guard`` samples before the site to
+    ``guard`` after its ``width`` samples, with the scale taken out, stands over the reference's peak within ``around``
+    samples, which counts as at least 0.02 of the recording's RMS. Null where there is no residual; recordings without power
+    give no rows. Sites are dealt to cells, so that samples meet them by an equal join; rows of one site are one.
     """
-    cell = 1 << 10
-    wanted = sites.withColumn("c", F.explode(F.sequence(F.floor((F.col("site") - around) / cell), F.floor((F.col("site") + around) / cell))))
-    met = samples.withColumn("c", F.floor(F.col("n") / cell)).join(wanted, ["rec", "c"]).where(F.abs(F.col("n") - F.col("site")) <= around)
-    peak = F.max(F.when(F.abs(F.col("n") - F.col("site")) <= near, F.abs("x")))
-    return met.groupBy("rec", "site").agg(peak.alias("p"), F.max(F.abs("x")).alias("m")).select("rec", "site", F.when((F.col("p") > 0), 20.0 * F.log10(F.col("p") / F.col("m"))).alias("ratio_db"))
+    cell, floor = 1 << 10, 0.02
+    pairs = reference.select("rec", "n", F.col("x").alias("s")).join(estimate.select("rec", "n", "x"), ["rec", "n"])
+    fit = pairs.groupBy("rec").agg(F.sum(F.col("x") * F.col("s")).alias("xs"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.count(F.lit(1)).alias("size")).where("ss > 0")
+    fit = fit.select("rec", (F.col("xs") / F.col("ss")).alias("a"), F.sqrt(F.col("ss") / F.col("size")).alias("level"))
+    before, after = max(guard, around), max(width + guard, around)
+    cells = F.sequence(F.floor((F.col("site") - before) / cell), F.floor((F.col("site") + after) / cell))
+    wanted = sites.select("rec", "site").distinct().withColumn("c", F.explode(cells)).join(fit, "rec")
+    met = pairs.withColumn("c", F.floor(F.col("n") / cell)).join(wanted, ["rec", "c"]).withColumn("d", F.col("n") - F.col("site"))
+    off = F.max(F.when((F.col("d") >= -guard) & (F.col("d") < width + guard), F.abs(F.col("x") - F.col("a") * F.col("s"))))
+    near = F.max(F.when((F.col("d") >= -around) & (F.col("d") < around), F.abs("s")))
+    found = met.groupBy("rec", "site", "a", "level").agg(off.alias("off"), near.alias("near"))
+    scale = F.when(F.abs("a") > 1e-12, F.abs("a")).otherwise(1.0)
+    ratio = F.col("off") / scale / F.greatest("near", floor * F.col("level"))
+    return found.where("off IS NOT NULL").select("rec", "site", F.when(F.col("off") > 0, 20.0 * F.log10(ratio)).alias("ratio_db"))
 
 
 def decay(samples: DataFrame, frame: int, drop_db: float, span: int, reach: int) -> DataFrame:

@@ -40,14 +40,14 @@ def keep_clean(clips: DataFrame, margin: float) -> DataFrame:
     return clips.withColumn("best", F.min("score").over(Window.partitionBy("rec"))).where(F.col("score") <= F.col("best") + margin).drop("best")
 
 
-def bed(samples: DataFrame, clips: DataFrame, target: int, crossfade: int, fade: int, most: int = 1000) -> DataFrame:
+def bed(samples: DataFrame, clips: DataFrame, target: int, crossfade: int, fade: int, most: int = 1000, chunk: int = 1 << 12) -> DataFrame:
     """rec, n, x: clips in turn, every other instance reversed, overlapped with equal power until ``target`` samples are there.
 
     Instances are rows (at most ``most`` a recording); each sample of a clip is weighed for each instance and summed by place.
     """
     order = Window.partitionBy("rec").orderBy("start")
     told = clips.select("rec", "start", (F.col("end") - F.col("start")).alias("size"), (F.row_number().over(order) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("rec")).alias("clips"))
-    turns = told.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).where(F.col("p") % F.col("clips") == F.col("k"))
+    turns = told.where(F.col("k") < most).withColumn("p", F.explode(F.sequence(F.col("k").cast("bigint"), F.lit(most - 1).cast("bigint"), F.col("clips"))))
     line = Window.partitionBy("rec").orderBy("p")
     before = F.lag("size").over(line)
     overlapped = turns.withColumn("xf", F.when(before.isNull(), 0).otherwise(F.least(F.lit(crossfade), F.floor(before / 2), F.floor(F.col("size") / 2))).cast("bigint"))
@@ -55,7 +55,8 @@ def bed(samples: DataFrame, clips: DataFrame, target: int, crossfade: int, fade:
     kept = grown.where(F.col("ends") - (F.col("size") - F.col("xf")) < target).withColumn("out", F.coalesce(F.lead("xf").over(line), F.lit(0)))
     kept = kept.withColumn("out", F.when(F.lead("p").over(line).isNull(), 0).otherwise(F.col("out"))).withColumn("at", F.col("ends") - F.col("size"))
     ends = kept.groupBy(F.col("rec").alias("erec")).agg(F.max("ends").alias("total"))
-    met = kept.join(samples.select(F.col("rec").alias("srec"), "n", "x"), (F.col("rec") == F.col("srec")) & (F.col("n") >= F.col("start")) & (F.col("n") < F.col("start") + F.col("size")))
+    pieces = kept.withColumn("c", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("start") + F.col("size") - 1) / chunk))))
+    met = samples.select("rec", "n", "x", F.floor(F.col("n") / chunk).alias("c")).join(pieces, ["rec", "c"]).where("n >= start AND n < start + size")
     inner = F.when(F.col("p") % 2 == 1, F.col("size") - 1 - (F.col("n") - F.col("start"))).otherwise(F.col("n") - F.col("start"))
     placed = met.withColumn("j", inner).withColumn("left", F.col("size") - 1 - F.col("j"))
     rise = F.when(F.col("j") < F.col("xf"), F.sin(math.pi / 2 * (F.col("j") + 0.5) / F.col("xf"))).otherwise(1.0)

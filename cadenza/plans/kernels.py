@@ -120,7 +120,7 @@ def wpe_dereverb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the embeddings' spectra as frames of one recording for each label, with late reverberation predicted away."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     frames = rows.select(F.col("label").cast("string").alias("rec"), F.col("vec_id").alias("f"), F.posexplode("embedding").alias("i", "v"))
-    pairs = frames.where("i < 32").groupBy("rec", "f", F.floor(F.col("i") / 2).cast("int").alias("k"))
+    pairs = frames.groupBy("rec", "f", F.floor(F.col("i") / 2).cast("int").alias("k"))
     cells = pairs.agg(F.max(F.when(F.col("i") % 2 == 0, F.col("v"))).cast("double").alias("re"), F.max(F.when(F.col("i") % 2 == 1, F.col("v"))).cast("double").alias("im"))
     return linear.dereverberated(cells, taps=4, delay=2)
 
@@ -154,7 +154,7 @@ def best_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roomtone_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _analyzer(spark, sf_dir)
     clips = roomtone.keep_clean(roomtone.best_windows(a.samples, a.silences.select("rec", "i", "start", "end"), 20, 4, 4), 6.0)
-    return roomtone.bed(a.samples, clips, 400, 6, 8, 200)
+    return roomtone.bed(a.samples, clips, 400, 6, 8)
 
 
 @query()

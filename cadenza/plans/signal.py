@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.num import compressor_gain, db, expander_gain, lufs, nearest_rank
-from ..operators import envelope, islands, loudness, peaks
+from ..operators import envelope, islands, loudness, peaks, ranks
 from ..sources.events import BLOCK, FRAME, HOP, event_signal
 from ..sources.layout import in_chunk, with_halo
 from .analyzer import Analyzer
@@ -78,8 +78,9 @@ SELECT rec, round(v[CAST(floor(0.1 * (len(v) - 1) + 0.5) AS BIGINT) + 1], 4) AS
        round(v[CAST(floor(0.5 * (len(v) - 1) + 0.5) AS BIGINT) + 1], 4) AS p50,
        round(v[CAST(floor(0.95 * (len(v) - 1) + 0.5) AS BIGINT) + 1], 4) AS p95 FROM v"""))
 def nearest_rank_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _centered(spark, sf_dir).groupBy("rec").agg(F.array_sort(F.collect_list("l")).alias("v"))
-    return v.select("rec", *[_r(nearest_rank(F.col("v"), p)).alias(f"p{p}") for p in (10, 50, 95)])
+    asked = {f"p{p}": lambda n, p=p: nearest_rank(n, p) for p in (10, 50, 95)}
+    v = ranks.at_ranks(_centered(spark, sf_dir).select("rec", F.col("l").alias("v")), asked)
+    return v.select("rec", *[_r(name).alias(name) for name in asked])
 
 
 @query(select(BLK, _CENTERED + """, am AS (SELECT rec, -0.691 + 10 * log10(avg(z)) - 10 AS rel FROM lu WHERE l >= -70 GROUP BY rec),
@@ -88,8 +89,7 @@ v AS (SELECT rec, list_sort(list(l) FILTER (WHERE l IS NOT NULL)) AS v FROM wv G
 fl AS (SELECT rec, v[CAST(floor(0.1 * (len(v) - 1) + 0.5) AS BIGINT) + 1] AS lo FROM v)
 SELECT fl.rec AS rec, round(lo, 4) AS floor, round(lo + 0.25 * (i - lo), 4) AS threshold FROM fl JOIN it ON it.rec = fl.rec"""))
 def threshold_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _centered(spark, sf_dir).groupBy("rec").agg(F.array_sort(F.collect_list("l")).alias("v"))
-    low = v.select("rec", nearest_rank(F.col("v"), 10).alias("lo"))
+    low = ranks.at_ranks(_centered(spark, sf_dir).select("rec", F.col("l").alias("v")), {"lo": lambda n: nearest_rank(n, 10)})
     whole = loudness.integrated(event_signal(spark, sf_dir), BLOCK, HOP)
     return low.join(whole, "rec").select("rec", _r("lo").alias("floor"), _r(F.col("lo") + 0.25 * (F.col("lufs") - F.col("lo"))).alias("threshold"))
 

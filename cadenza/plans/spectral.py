@@ -168,13 +168,18 @@ def si_sdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.si_sdr(x.join(y, ["vec_id", "i"]), ["vec_id"], "x", "y").select("vec_id", _r("si_sdr", 3).alias("si_sdr"))
 
 
-@query(select(SIG, """, st AS (SELECT rec, n AS site FROM s WHERE n % 100 = 50)
-SELECT st.rec AS rec, site, round(20 * log10(max(abs(x)) FILTER (WHERE abs(n - site) <= 8) / max(abs(x))), 4) + 0.0 AS ratio_db
-FROM st JOIN s ON s.rec = st.rec AND abs(n - site) <= 40 GROUP BY st.rec, site"""))
+@query(select(SIG, _BURSTS + """, o AS (SELECT rec, n, x AS r, round(x * 64) / 64 AS y FROM s),
+al AS (SELECT rec, sum(r * y) / sum(r * r) AS a, sqrt(avg(r * r)) AS g FROM o GROUP BY rec), st AS (SELECT DISTINCT rec, start AS site FROM bu),
+rs AS (SELECT st.rec, site, max(abs(y - a * r)) FILTER (WHERE n >= site - 8 AND n < site + 11) / any_value(abs(a)) AS p,
+       greatest(max(abs(r)) FILTER (WHERE n >= site - 40 AND n < site + 40), 0.02 * any_value(g)) AS m
+       FROM st JOIN o ON o.rec = st.rec AND n BETWEEN site - 40 AND site + 40 JOIN al ON al.rec = st.rec GROUP BY st.rec, site)
+SELECT rec, site, round(CASE WHEN p > 0 THEN 20 * log10(p / m) END, 4) + 0.0 AS ratio_db FROM rs"""))
 def impulsive_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rounding to steps of 1/64 leaves at the click candidates."""
     samples = event_signal(spark, sf_dir)
-    sites = samples.where("n % 100 = 50").select("rec", F.col("n").alias("site"))
-    return metrics.residual_at(samples, sites, 8, 40).select("rec", "site", (_r("ratio_db") + 0.0).alias("ratio_db"))
+    rounded = samples.select("rec", "n", (F.round(F.col("x") * 64) / 64).alias("x"))
+    sites = _bursts(spark, sf_dir).select("rec", F.col("start").alias("site"))
+    return metrics.residual_at(samples, rounded, sites, 3, 40).select("rec", "site", (_r("ratio_db") + 0.0).alias("ratio_db"))
 
 
 @query(select(SIG, """, lv AS (SELECT rec, n // 5 AS f, 10 * log10(avg(x * x) + 1e-12) AS e FROM s GROUP BY rec, n // 5),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import settle
 from ..functions.num import adaptive_reduction, compressor_gain, db, expander_gain
-from ..operators import clicks, envelope, equalise, islands, linear, longterm, loudness, metrics, peaks, recurrences, roomtone, transforms
+from ..operators import clicks, envelope, equalise, islands, linear, longterm, loudness, metrics, peaks, ranks, recurrences, roomtone, transforms
 from ..operators.spectra import hann
 from ..sources.layout import in_chunk, lengths, with_halo
 
@@ -95,7 +95,7 @@ def quiet_ranges(samples: DataFrame, rate: float, fraction: float = 0.25, least:
     hop, window = times(0.025, rate), times(0.1, rate)
     weighted = recurrences.k_weighted(samples, rate)
     frames = loudness.centered_windows(weighted, window, hop).withColumn("l", lufs(F.col("z")))
-    low = frames.groupBy("rec").agg(F.array_sort(F.collect_list("l")).alias("v")).select("rec", nearest_rank(F.col("v"), 10).alias("floor"))
+    low = ranks.at_ranks(frames.select("rec", F.col("l").alias("v")), {"floor": lambda n: nearest_rank(n, 10)}).select("rec", "floor")
     levels = low.join(programme(samples, rate), "rec").withColumn("threshold", F.col("floor") + fraction * (F.col("lufs") - F.col("floor")))
     judged = frames.join(levels.select("rec", "threshold"), "rec")
     runs = max(1, int(np.ceil(least * rate / hop)))

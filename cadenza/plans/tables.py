@@ -27,12 +27,10 @@ def query(sql: str | None = None):
     return keep
 
 
-@query("""WITH a AS (SELECT item_id, text FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')),
-c AS (SELECT item_id, CAST(unnest(generate_series(1, length(text))) AS INT) AS i, text FROM a)
-SELECT item_id, CAST(i - 1 AS INT) AS n, (ascii(substr(text, i, 1)) - 128) / 128.0 AS x FROM c""")
+@query("""WITH a AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark), c AS (SELECT item_id, CAST(unnest(generate_series(1, length(h) // 2)) AS INT) AS i, h FROM a)
+SELECT item_id, CAST(i - 1 AS INT) AS n, ((strpos('0123456789ABCDEF', h[2 * i - 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i]) - 1 - 128) / 128.0 AS x FROM c""")
 def pcm8_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.col("text").rlike(r"^[\x00-\x7F]*$") & (F.length("text") == F.octet_length("text")))
-    return pcm.decode8(rows, "item_id", "text")
+    return pcm.decode8(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
 
 
 @query(select(SIG, """SELECT rec, n, CAST(least(32767, greatest(-32768, floor(x * 32768 + 0.5))) AS BIGINT) AS q16,
@@ -84,17 +82,17 @@ def viewport_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEY = """key AS (SELECT conv_id AS trial, chr(CAST(64 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT)) AS label, role AS variant, turn * 2.0 AS window_start
-FROM conversations WHERE turn < 20)"""
+FROM conversations)"""
 
 
 def _key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn < 20")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rows = turns.select(F.col("conv_id").alias("trial"), F.col("turn").alias("ord"), F.col("role").alias("variant"), (F.col("turn") * 2.0).alias("window_start"))
-    return documents.label_clips(rows).select("trial", "label", "variant", "window_start")
+    return documents.label_clips(rows).select(F.lit("s1").alias("session"), "trial", "label", "variant", "window_start")
 
 
 _ANSWERS = """ans AS (SELECT 's1' AS session, 'l' || conv_id % 3 AS listener, conv_id AS trial, chr(CAST(65 + turn % 3 AS INT)) AS clip,
-CASE WHEN turn % 2 = 0 THEN 'scale' ELSE 'pick' END AS question, CASE WHEN turn % 2 = 0 THEN CAST(length(text) % 7 AS VARCHAR) ELSE left(text, 9) END AS answer FROM conversations)"""
+CASE WHEN turn % 2 = 0 THEN 'scale' ELSE 'pick' END AS question, CASE WHEN turn % 2 = 0 THEN CAST(length(text) % 7 AS VARCHAR) ELSE text END AS answer FROM conversations)"""
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +100,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("turn") % 2 == 0
     return c.select(
         F.lit("s1").alias("session"), F.concat(F.lit("l"), F.col("conv_id") % 3).alias("listener"), F.col("conv_id").alias("trial"), F.chr((65 + F.col("turn") % 3).cast("bigint")).alias("clip"),
-        F.when(even, "scale").otherwise("pick").alias("question"), F.when(even, (F.length("text") % 7).cast("string")).otherwise(F.substring("text", 1, 9)).alias("answer"),
+        F.when(even, "scale").otherwise("pick").alias("question"), F.when(even, (F.length("text") % 7).cast("string")).otherwise(F.col("text")).alias("answer"),
     )
 
 
@@ -112,10 +110,10 @@ def answers_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.answers_export(_answers(spark, sf_dir), _key(spark, sf_dir))
 
 
-@query("WITH " + _KEY + ", " + _ANSWERS + """ SELECT variant, count(try_cast(answer AS DOUBLE)) AS n, round(avg(try_cast(answer AS DOUBLE)), 4) AS mean,
-CAST(sum(CASE WHEN question = 'pick' THEN 1 ELSE 0 END) AS BIGINT) AS picks FROM ans JOIN key ON key.trial = ans.trial AND key.label = ans.clip GROUP BY variant""")
+@query("WITH " + _KEY + ", " + _ANSWERS + """ SELECT variant, question, count(*) AS answers, count(try_cast(answer AS DOUBLE)) AS n, round(avg(try_cast(answer AS DOUBLE)), 4) AS mean
+FROM ans JOIN key ON key.trial = ans.trial AND key.label = ans.clip GROUP BY variant, question""")
 def variant_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.variant_stats(_answers(spark, sf_dir), _key(spark, sf_dir)).select("variant", "n", _r("mean").alias("mean"), "picks")
+    return documents.variant_stats(_answers(spark, sf_dir), _key(spark, sf_dir)).select("variant", "question", "answers", "n", _r("mean").alias("mean"))
 
 
 @query("""WITH v AS (SELECT conv_id, turn, role, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS chunk FROM conversations)

@@ -13,6 +13,10 @@ RESULTS = "session string, listener string, startedAt string, updatedAt string,
 ANNOTATIONS = "file string, sampleRate double, duration double, labels array<string>, annotations array<struct<id:string,start:double,end:double,label:string,note:string,confidence:string>>, updatedAt string, _corrupt_record string"
 
 
+#: The folder that a file lies in.
+FOLDER = r"([^/]+)/[^/]+$"
+
+
 def _read(spark: SparkSession, path: str, schema: str, glob: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(path).withColumn("path", F.col("_metadata.file_path"))
 
@@ -27,16 +31,17 @@ def sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def key_rows(spark: SparkSession, path: str) -> DataFrame:
-    """trial, label, variant, window_start of the keys under ``path``."""
-    keys = _read(spark, path, KEY, "key.json")
-    trials = keys.select("windows", F.explode("clips").alias("trial", "labels"))
-    clips = trials.select("trial", F.element_at("windows", F.col("trial")).alias("w"), F.explode("labels").alias("label", "variant"))
-    return clips.select("trial", "label", "variant", F.col("w.start").alias("window_start"))
+    """session, trial, label, variant, window_start of the keys under ``path``; a session goes by its folder's name."""
+    keys = _read(spark, path, KEY, "key.json").withColumn("session", F.regexp_extract("path", FOLDER, 1))
+    trials = keys.select("session", "windows", F.explode("clips").alias("trial", "labels"))
+    clips = trials.select("session", "trial", F.element_at("windows", F.col("trial")).alias("w"), F.explode("labels").alias("label", "variant"))
+    return clips.select("session", "trial", "label", "variant", F.col("w.start").alias("window_start"))
 
 
 def answer_rows(spark: SparkSession, path: str) -> DataFrame:
-    """session, listener, trial, clip, question, answer of the results under ``path``; clip is '' for answers on a trial."""
-    trials = _read(spark, path, RESULTS, "results.*.json").select("session", "listener", F.explode("trials").alias("trial", "t"))
+    """session, listener, trial, clip, question, answer of the results under ``path``; clip is '' for answers on a trial, and
+    a session goes by its folder's name."""
+    trials = _read(spark, path, RESULTS, "results.*.json").select(F.regexp_extract("path", FOLDER, 1).alias("session"), "listener", F.explode("trials").alias("trial", "t"))
     on_clips = trials.select("session", "listener", "trial", F.explode("t.clips").alias("clip", "a")).select("session", "listener", "trial", "clip", F.explode("a").alias("question", "answer"))
     on_trial = trials.select("session", "listener", "trial", F.lit("").alias("clip"), F.explode("t.trial").alias("question", "answer"))
     return on_clips.unionByName(on_trial)

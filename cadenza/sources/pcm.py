@@ -9,9 +9,10 @@ from ..functions.num import js_round
 
 
 def decode8(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """``key``, n, x: each character of an ASCII text read as an unsigned 8-bit sample."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(column)), lambda i: F.ascii(F.substr(F.col(column), i, F.lit(1))))
-    return rows.where(F.length(column) > 0).select(key, F.posexplode(codes).alias("n", "c")).select(key, "n", ((F.col("c") - 128) / 128.0).alias("x"))
+    """``key``, n, x: each byte of a text in UTF-8, or of a binary column, read as an unsigned 8-bit sample."""
+    pairs = F.regexp_extract_all(F.hex(F.col(column).cast("binary")), F.lit(".."), F.lit(0))
+    codes = rows.select(key, F.posexplode(pairs).alias("n", "h")).select(key, "n", F.conv("h", 16, 10).cast("int").alias("c"))
+    return codes.select(key, "n", ((F.col("c") - 128) / 128.0).alias("x"))
 
 
 def quantise(x: Column, bits: int) -> Column:

@@ -20,12 +20,13 @@ def test_sessions(spark, tmp_path):
     (a / "key.json").write_text(json.dumps({"name": "A", "clips": {"t01": {"A": "x", "B": "y"}}, "windows": {"t01": {"start": 2.5, "dur": 8, "label": "w"}}, "variants": {}}))
     results = {"session": "A", "listener": "me", "updatedAt": "2020", "trials": {"t01": {"clips": {"A": {"scale": 4}, "C": {"notes": 'say "no"'}}, "trial": {"pick": "B"}, "timeSpentMs": 1}}}
     (a / "results.me.json").write_text(json.dumps(results))
+    (tmp_path / "b" / "key.json").write_text(json.dumps({"name": "B", "clips": {"t01": {"A": "y", "C": "z"}}, "windows": {}, "variants": {}}))
     assert sorted((r.name, r.listener, r.done) for r in json_docs.sessions(spark, str(tmp_path)).collect()) == [("A", "me", 1), ("B", None, None)]
     answers, key = json_docs.answer_rows(spark, str(tmp_path)), json_docs.key_rows(spark, str(tmp_path))
     rows = {(r.clip, r.question): (r.variant, r.window_start, r.answer) for r in documents.answers_export(answers, key).collect()}
     assert rows == {("A", "scale"): ("x", 2.5, '"4"'), ("C", "notes"): ("", None, '"say ""no"""'), ("", "pick"): ("", None, '"B"')}
     stats = documents.variant_stats(answers, key).collect()
-    assert [(s.variant, s.n, s["mean"]) for s in stats] == [("x", 1, 4.0)]
+    assert [(s.variant, s.question, s.answers, s.n, s["mean"]) for s in stats] == [("x", "scale", 1, 1, 4.0)]
 
 
 def test_annotations_baseline_and_models(spark, tmp_path):
