@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import settle
-from ..functions.num import adaptive_reduction, compressor_gain, db, expander_gain
+from ..functions.num import adaptive_reduction, compressor_gain, db, expander_gain, lufs, nearest_rank
 from ..operators import clicks, envelope, equalise, islands, linear, longterm, loudness, metrics, peaks, ranks, recurrences, roomtone, transforms
 from ..operators.spectra import hann
 from ..sources.layout import in_chunk, lengths, with_halo
@@ -90,8 +90,6 @@ def programme(samples: DataFrame, rate: float) -> DataFrame:
 
 def quiet_ranges(samples: DataFrame, rate: float, fraction: float = 0.25, least: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(silences, thresholds): runs of frames under floor + fraction * (programme - floor), and rec, floor, threshold, lufs."""
-    from ..functions.num import lufs, nearest_rank
-
     hop, window = times(0.025, rate), times(0.1, rate)
     weighted = recurrences.k_weighted(samples, rate)
     frames = loudness.centered_windows(weighted, window, hop).withColumn("l", lufs(F.col("z")))
@@ -221,14 +219,20 @@ def dyneq(samples: DataFrame, p: dict, rate: float) -> Result:
     return Result(changed, facts(metrics.change_db(samples, changed), "change_db"))
 
 
-@stage("expand", threshold=-27.0, ratio=2.8, knee=8.0, range=12.0, open_ms=5.0, close_ms=150.0)
+@stage("expand", threshold=-27.0, ratio=2.8, knee=8.0, range=12.0, open_ms=5.0, close_ms=150.0, clean_floor=50.0)
 def expand(samples: DataFrame, p: dict, rate: float) -> Result:
-    """Turns down what lies under a threshold relative to the programme."""
-    levels = lengths(samples).join(programme(samples, rate), "rec", "left")
-    acts = levels.withColumn("threshold", F.col("lufs") + p["threshold"]).withColumn("acts", F.col("lufs").isNotNull())
+    """Turns down what lies under a threshold relative to the programme; declines where there are no pauses with a level, or
+    where they lie more than ``clean_floor`` dB under the programme already."""
+    pauses, heard = quiet_ranges(samples, rate)
+    inside = loudness.range_loudness(recurrences.k_weighted(samples, rate), pauses.select("rec", "i", "start", "end")).where("z > 0")
+    size = F.col("end") - F.col("start")
+    floor = inside.groupBy("rec").agg((lufs(F.sum(F.col("z") * size) / F.sum(size))).alias("pause_lufs"))
+    levels = lengths(samples).join(heard.select("rec", "lufs"), "rec", "left").join(floor, "rec", "left")
+    acts = levels.withColumn("threshold", F.col("lufs") + p["threshold"]).withColumn("floor_distance", F.col("lufs") - F.col("pause_lufs"))
+    acts = acts.withColumn("acts", F.coalesce(F.col("floor_distance") <= p["clean_floor"], F.lit(False)))
     curve = lambda x, t: expander_gain(x - t, 0.0, p["ratio"], p["knee"], p["range"])
     changed, stats = dynamics(samples, rate, acts.where("acts"), curve, p["close_ms"], p["open_ms"])
-    return Result(where_acting(samples, changed, acts), facts(acts.join(stats, "rec", "left"), "threshold", "max_reduction_db", "active", "acts"))
+    return Result(where_acting(samples, changed, acts), facts(acts.join(stats, "rec", "left"), "threshold", "floor_distance", "max_reduction_db", "active", "acts"))
 
 
 @stage("compress", threshold=-2.0, ratio=1.7, knee=10.0, range=12.0, attack_ms=33.0, release_ms=168.0, min_lra=3.0)
@@ -274,7 +278,7 @@ PRESETS: dict[str, dict] = {
     "Default": {"bypass": (), "params": {}},
     "ACX": {"bypass": (), "params": {
         "level": {"target": -20.0, "ceiling": -3.5}, "eq": {"voicing": "neutral"}, "denoise": {"reduction": 16.0, "clean_snr": 45.0},
-        "expand": {"range": 16.0}, "compress": {"ratio": 2.2, "min_lra": 2.0},
+        "expand": {"range": 16.0, "clean_floor": 65.0}, "compress": {"ratio": 2.2, "min_lra": 2.0},
     }},
 }
 

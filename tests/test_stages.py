@@ -57,7 +57,10 @@ def test_declined_recordings_are_untouched(speech, keep):
 
 
 def test_dynamics(speech, keep):
-    out = stages.run_chain(speech, RATE, only=["expand"], between=keep)
+    out = stages.run_chain(speech, RATE, only=["expand"], params={"expand": {"clean_floor": 90.0}}, between=keep)
+    assert float(facts(out, "expand")[("t", "floor_distance")]) > 50
+    clean = stages.run_chain(speech, RATE, only=["expand"], between=lambda df, name: keep(df, name + "-clean"))
+    assert facts(clean, "expand")[("t", "acts")] == "false" and clean.samples.exceptAll(speech).count() == 0
     quiet = (F.col("n") > 3.5 * RATE) & (F.col("n") < 4.4 * RATE)
     level = lambda df: 10 * np.log10(df.where(quiet).agg(F.avg(F.col("x") * F.col("x"))).first()[0])
     assert level(out.samples) < level(speech) - 8
