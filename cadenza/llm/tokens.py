@@ -141,7 +141,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 4 << 20) -> list[tuple[int, int]]:
     """(start, length) of runs of rows of about ``most`` bytes of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(sizes) - sizes) // most
