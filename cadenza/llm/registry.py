@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, near_dup, packing, quality, sharding, substring_dedup, token_files, warc
+from . import decontaminate, exact_dedup, importance, licenses, near_dup, packing, quality, sharding, substring_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -117,9 +121,29 @@ FROM c JOIN sh ON sh.doc_id = c.doc_id
 """
 
 
+#: Checksums once for each distinct word.
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS f FROM d), bw AS (SELECT unnest(w) AS f FROM b),
+k AS (SELECT f, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+             lambda a, x: xor(a >> 8, {_crc32_table()}[CAST(xor(a, x) & 255 AS BIGINT) + 1]))) % 10000 AS k FROM (SELECT f FROM dw UNION SELECT f FROM bw)),
+s AS (SELECT k, count(*) AS n FROM dw JOIN k USING (f) GROUP BY k), t AS (SELECT k, count(*) AS n FROM bw JOIN k USING (f) GROUP BY k),
+g AS (SELECT r.k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000.0::DOUBLE) / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+      FROM (SELECT unnest(range(10000)) AS k) r LEFT JOIN s ON s.k = r.k LEFT JOIN t ON t.k = r.k),
+m AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM dw JOIN k USING (f) JOIN g USING (k) GROUP BY doc_id),
+c AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN m ON m.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM c)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN CAST(place AS BIGINT) END AS rank
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_decontaminate, op5_licenses, op6_substring_dedup, op7_quality, op8_packing, op9_sharding, op10_near_dup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_decontaminate, op5_licenses, op6_substring_dedup, op7_quality, op8_packing, op9_sharding, op10_near_dup, op11_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op9_sharding": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op9_sharding": OP9_SQL, "op11_importance": OP11_SQL}
