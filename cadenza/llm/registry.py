@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, hard_negatives, importance, licenses, near_dup, packing, quality, sharding, substring_dedup, token_files, warc
+from . import decontaminate, exact_dedup, hard_negatives, importance, licenses, near_dup, packing, quality, sharding, simhash, substring_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, noisy)
@@ -158,7 +162,7 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QU
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_decontaminate, op5_licenses, op6_substring_dedup, op7_quality, op8_packing, op9_sharding, op10_near_dup, op11_importance, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_files, op4_decontaminate, op5_licenses, op6_substring_dedup, op7_quality, op8_packing, op9_sharding, op10_near_dup, op11_importance, op12_simhash, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
