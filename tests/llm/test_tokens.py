@@ -134,3 +134,19 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert packing.pack(none, tokenizer_path(), 1).count() == 0
     assert token_files.round_trip(none, tokenizer_path(), 2).count() == 0
+
+
+def test_pack_of_many_equal_rows_in_one_split(spark):
+    """Equal rows are dealt over groups that stay bounded, whatever splits they lie in."""
+    rows = spark.range(20_000).coalesce(1).selectExpr("cast(5 as bigint) AS doc_id", "'one two three' AS text")
+    pieces = packing.pack(rows, tokenizer_path(), 1).select("doc_id", "length", "offset", (packing.F.col("sequence_id") / 2**32).cast("bigint").alias("g"), "sequence_id").collect()
+    sizes = Counter(p.g for p in pieces)
+    assert len(pieces) == 20_000 and 8 <= len(sizes) <= 10 and max(sizes.values()) < 2 * 2048
+    assert len({p.sequence_id for p in pieces}) <= sum(p.length for p in pieces) / 2048 + len(sizes)
+
+
+def test_pack_is_the_same_for_other_splits(spark):
+    rows = [(i % 90, f"text {i % 70} " * (i % 400)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [Counter(tuple(r) for r in packing.pack(frame.repartition(n), tokenizer_path(), 1, length=128, group_docs=64).collect()) for n in (1, 7)]
+    assert got[0] == got[1]
