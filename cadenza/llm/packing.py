@@ -120,9 +120,10 @@ def pack(
             columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        group = None
+        group, pool = None, pa.default_memory_pool()
         for batch in batches:
             for at, n in slices(batch.column(1)):
+                pool.release_unused()  # what the slice before, or another stage in this worker, has left there
                 ids, offsets = encoder(tokenizer).encode(batch.column(1).slice(at, n))
                 out: list[tuple] = []
                 for i, (name, number) in enumerate(zip(batch.column(0).slice(at, n).to_pylist(), batch.column(2).slice(at, n).to_pylist(), strict=True)):
