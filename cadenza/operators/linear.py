@@ -1,10 +1,15 @@
-"""Linear prediction, gap interpolation and late-reverberation prediction: dense solves in small kernels."""
+"""Linear prediction and gap interpolation: dense solves in small kernels."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.layout import packed, with_halo
 
 
 def levinson(r: np.ndarray, order: int) -> np.ndarray:
@@ -71,8 +76,6 @@ def burst_runs(x: np.ndarray, start: int, end: int, order: int, threshold: float
 
 def detected(samples: DataFrame, order: int, block: int, threshold: float, blocks: int = 256) -> DataFrame:
     """rec, b, start, end, sigma, peak: bursts of each block of ``block`` samples, found in chunks of ``blocks`` blocks."""
-    from ..sources.layout import with_halo
-
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("n", ignore_index=True)
         x, first = part["x"].to_numpy(dtype=np.float64), int(part["n"].iloc[0])
@@ -93,66 +96,27 @@ def repaired(samples: DataFrame, bursts: DataFrame, order: int, context: int, ch
     A burst is repaired by the chunk that it starts in, with ``context`` + 2 * ``order`` samples on both sides; bursts of one
     chunk see each other's repairs.
     """
-    from pyspark.sql import functions as F
-
-    from ..sources.layout import with_halo
-
     reach = context + 2 * order
     lists = bursts.withColumn("__c", F.explode(F.sequence(F.floor((F.col("start") - reach) / chunk), F.floor((F.col("end") + reach) / chunk)))).groupBy("rec", "__c").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("bursts")
     )
-    rows = with_halo(samples, reach, reach, chunk)
+    # A chunk is one row when it meets its bursts, so these are not repeated for its samples.
+    rows = packed(samples, reach, max(1, reach), chunk)
     joined = rows.join(lists.select(F.col("rec").alias("brec"), F.col("__c").alias("bchunk"), "bursts"), (F.col("rec") == F.col("brec")) & (F.col("chunk") == F.col("bchunk")), "left")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("n", ignore_index=True)
-        x, first = part["x"].to_numpy(dtype=np.float64).copy(), int(part["n"].iloc[0])
-        found = part["bursts"].iloc[0]
-        for b in found if found is not None else ():
-            s, e = int(b["start"]) - first, int(b["end"]) - first
-            if s < 0 or e > len(x):
-                continue
-            around = x[max(0, s - context) : min(len(x), e + context)].copy()
-            model = fit_ar(around, order)
-            if interpolate_gap(x, s, e, model):
-                interpolate_gap(x, s, e, fit_ar(x[max(0, s - context) : min(len(x), e + context)], order))
-        part["x"] = x
-        return part.loc[part["core"], ["rec", "n", "x"]]
-
-    return joined.groupBy("rec", "chunk").applyInPandas(run, "rec string, n bigint, x double")
-
-
-def predict_reverb(y: np.ndarray, taps: int = 20, delay: int = 3, iterations: int = 3, regularisation: float = 1e-4) -> np.ndarray:
-    """One bin's frames without what earlier frames predict of them (weighted prediction error); as they are where there
-    are too few frames or the solve fails."""
-    n = len(y)
-    if n <= taps + delay + 2:
-        return y
-    t = np.arange(delay + taps, n)
-    past = np.stack([y[t - delay - k] for k in range(taps)], axis=1)
-    power, out = np.abs(y) ** 2, y
-    for _ in range(iterations):
-        weight = 1.0 / np.maximum(power, max(1e-3 * power.mean(), 1e-30))[t]
-        r = (past * weight[:, None]).T @ past.conj()
-        v = (past * weight[:, None]).T @ y[t].conj()
-        load = np.trace(r).real / taps * regularisation
-        try:
-            g = np.linalg.solve(r + load * np.eye(taps), v)
-        except np.linalg.LinAlgError:
-            return y
-        out = y.copy()
-        out[t] = y[t] - past @ g.conj()
-        power = np.abs(out) ** 2
-    return out
-
-
-def dereverberated(frames: DataFrame, **options) -> DataFrame:
-    """rec, k, f, re, im of cells (rec, k, f, re, im): bins are independent, and each is one group."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("f", ignore_index=True)
-        out = predict_reverb(part["re"].to_numpy() + 1j * part["im"].to_numpy(), **options)
-        part["re"], part["im"] = out.real, out.imag
-        return part
-
-    return frames.select("rec", "k", "f", "re", "im").groupBy("rec", "k").applyInPandas(run, "rec string, k int, f bigint, re double, im double")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for rec, number, first, data, found in zip(frame["rec"], frame["chunk"], frame["first"], frame["x"], frame["bursts"], strict=True):
+                x = np.frombuffer(data, dtype="<f8").copy()
+                for b in found if found is not None else ():
+                    s, e = int(b["start"]) - first, int(b["end"]) - first
+                    if s < 0 or e > len(x):
+                        continue
+                    model = fit_ar(x[max(0, s - context) : min(len(x), e + context)].copy(), order)
+                    if interpolate_gap(x, s, e, model):
+                        interpolate_gap(x, s, e, fit_ar(x[max(0, s - context) : min(len(x), e + context)], order))
+                n = np.arange(first, first + len(x))
+                mine = n // chunk == number
+                yield pd.DataFrame({"rec": rec, "n": n[mine], "x": x[mine]})
+
+    return joined.select("rec", "chunk", "first", "x", "bursts").mapInPandas(run, "rec string, n bigint, x double")

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.layout import CHUNK, with_halo
+from ..sources.layout import CHUNK, packed, with_halo
 
 #: Fewest frames from which a spectrum is taken.
 LEAST_FRAMES = 4
@@ -104,15 +104,26 @@ def band_levels(spectra: DataFrame, rate: float, size: int, low: float, high: fl
     return inside.groupBy("rec").agg((10.0 * F.log10(F.avg("p") + 1e-30)).alias(name))
 
 
+def _rows(structs: pd.DataFrame | pd.Series) -> list[dict]:
+    """The rows of a struct column, which pandas may hold as a table of its own."""
+    return structs.to_dict("records") if isinstance(structs, pd.DataFrame) else [dict(r) if isinstance(r, dict) else r.asDict() for r in structs]
+
+
 def by_recording(samples: DataFrame, settings: DataFrame, kernel: Callable[[np.ndarray, pd.Series], np.ndarray], before: int, after: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """rec, n, x of the recordings that ``settings`` (one row each) has: ``kernel`` of each chunk's samples and its row."""
+    """rec, n, x of the recordings that ``settings`` (one row each) has: ``kernel`` of each chunk's samples and its row.
+
+    A chunk is one row when it meets its recording's settings, so these are not repeated for its samples.
+    """
     chunk = max(chunk, before, after)
     told = settings.select(F.col("rec").alias("srec"), F.struct(*[c for c in settings.columns if c != "rec"]).alias("settings"))
-    rows = with_halo(samples.select("rec", "n", "x"), before, after, chunk).join(told, F.col("rec") == F.col("srec"))
+    rows = packed(samples, before, max(1, after), chunk).join(told, F.col("rec") == F.col("srec")).drop("srec")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("n", ignore_index=True)
-        part["x"] = kernel(part["x"].to_numpy(dtype=np.float64), part["settings"].iloc[0])
-        return part.loc[part["core"], ["rec", "n", "x"]]
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for rec, number, first, x, own in zip(frame["rec"], frame["chunk"], frame["first"], frame["x"], _rows(frame["settings"]), strict=True):
+                got = kernel(np.frombuffer(x, dtype="<f8").copy(), own)
+                n = np.arange(first, first + len(got))
+                mine = n // chunk == number
+                yield pd.DataFrame({"rec": rec, "n": n[mine], "x": got[mine]})
 
-    return rows.groupBy("rec", "chunk").applyInPandas(run, "rec string, n bigint, x double")
+    return rows.mapInPandas(run, "rec string, n bigint, x double")

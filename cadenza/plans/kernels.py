@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import k_weighting, peaking
-from ..operators import clicks, equalise, islands, linear, recurrences, roomtone, spectra, transforms
+from ..operators import clicks, dereverb, equalise, islands, linear, recurrences, roomtone, spectra, transforms
 from ..sources.events import event_signal
-from ..sources.layout import lengths
+from ..sources.layout import lengths, number_rows
 from .oracle import SIG, SIL, select
 from .signal import _analyzer, _r
 
@@ -122,7 +122,9 @@ def wpe_dereverb(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = rows.select(F.col("label").cast("string").alias("rec"), F.col("vec_id").alias("f"), F.posexplode("embedding").alias("i", "v"))
     pairs = frames.groupBy("rec", "f", F.floor(F.col("i") / 2).cast("int").alias("k"))
     cells = pairs.agg(F.max(F.when(F.col("i") % 2 == 0, F.col("v"))).cast("double").alias("re"), F.max(F.when(F.col("i") % 2 == 1, F.col("v"))).cast("double").alias("im"))
-    return linear.dereverberated(cells, taps=4, delay=2)
+    ranked = number_rows(rows.select(F.col("label").cast("string").alias("rec"), F.col("vec_id").alias("f")), "rec", ["f"], F.floor(F.col("f") / 4096))
+    placed = cells.join(ranked.select("rec", "f", "n"), ["rec", "f"]).select("rec", "k", F.col("n").alias("f"), "re", "im")
+    return dereverb.dereverberated_cells(placed, 32, taps=4, delay=2)
 
 
 _SCORES = """, w AS (SELECT sil.rec, i, start, "end" FROM sil),

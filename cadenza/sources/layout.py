@@ -7,6 +7,7 @@ values as over the whole recording.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -39,6 +40,28 @@ def with_halo(samples: DataFrame, before: int, after: int, chunk: int = CHUNK) -
     return dealt.where("chunk >= 0").withColumn("core", F.col("chunk") == own)
 
 
+PACK_SCHEMA = "rec string, chunk bigint, first bigint, last boolean, x binary"
+
+
+def packed(samples: DataFrame, before: int, after: int, chunk: int = CHUNK, column: str = "x") -> DataFrame:
+    """One row for each chunk: rec, chunk, first (the place of its first value, halo included), last (whether no rows of the
+    recording follow what the row holds) and x (the values with their halo, as doubles).
+
+    What belongs to a recording is joined to these rows, not to its samples. ``before`` and ``after`` are at most ``chunk``;
+    places have no gaps. ``last`` needs ``after`` of one at least.
+    """
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("n")
+        number, top = int(part["chunk"].iloc[0]), int(part["n"].iloc[-1])
+        values = part[column].to_numpy(dtype="<f8").tobytes()
+        return pd.DataFrame({"rec": [part["rec"].iloc[0]], "chunk": [number], "first": [int(part["n"].iloc[0])], "last": [top < (number + 1) * chunk], "x": [values]})
+
+    # A chunk after the last one has rows of a halo only.
+    own = with_halo(samples.select("rec", "n", column), before, after, chunk)
+    return own.groupBy("rec", "chunk").applyInPandas(lambda p: pack(p) if p["core"].any() else pd.DataFrame(columns=["rec", "chunk", "first", "last", "x"]), PACK_SCHEMA)
+
+
 def in_chunk(frame_start: int | None = None, frame_end: int | None = None) -> WindowSpec:
     """A window over a chunk in order of n, with a row frame where given."""
     w = Window.partitionBy("rec", "chunk").orderBy("n")

@@ -123,17 +123,6 @@ def test_linear_prediction(table, spark):
     assert np.abs(fixed - x).max() < 0.2 and (np.delete(fixed, range(2000, 2004)) == np.delete(x, range(2000, 2004))).all()
 
 
-def test_reverb_prediction():
-    r = np.random.default_rng(4)
-    dry = (r.normal(size=600) + 1j * r.normal(size=600)) * (r.random(600) < 0.3)
-    wet = dry.copy()
-    for t in range(4, 600):
-        wet[t] += 0.7 * wet[t - 4]
-    out = linear.predict_reverb(wet, taps=6, delay=3)
-    assert (np.abs(out - dry) ** 2).sum() < 0.2 * (np.abs(wet - dry) ** 2).sum()
-    assert linear.predict_reverb(wet[:8]) is not None
-
-
 def test_generators(spark):
     state, want = 7, []
     for _ in range(50):
