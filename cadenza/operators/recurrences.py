@@ -35,16 +35,23 @@ def by_chunk(samples: DataFrame, kernel: Kernel, before: int, after: int = 0, ch
     return rows.groupBy("rec", "chunk").applyInPandas(run, f"rec string, n bigint, {out} double")
 
 
-def biquad(x: np.ndarray, c: Biquad) -> np.ndarray:
-    """One filter over an array, from rest. Blocks of 256 are filtered at once, and the two state values carried over.
+def biquad_on(x: np.ndarray, c: Biquad, past: tuple[float, float, float, float]) -> tuple[np.ndarray, tuple[float, float, float, float]]:
+    """One filter over an array that goes on from ``past`` (the last two inputs and the last two outputs, newest first): the
+    output, and what the next array goes on from. Blocks of 256 are filtered at once, and the two state values carried over.
 
     In a block y = H x + O s with the impulse response H and the response O to the state s = (y[-1], y[-2]) and inputs.
     """
     b0, b1, b2, a1, a2 = c
     size, n = 256, len(x)
+    if not n:
+        return x, past
+    x1, x2, one, two = past
     feed = b0 * x
     feed[1:] += b1 * x[:-1]
     feed[2:] += b2 * x[:-2]
+    feed[0] += b1 * x1 + b2 * x2
+    if n > 1:
+        feed[1] += b2 * x1
     h = np.zeros(size + 1)
     h[0] = 1.0
     for i in range(1, size + 1):
@@ -55,11 +62,16 @@ def biquad(x: np.ndarray, c: Biquad) -> np.ndarray:
     toeplitz = np.where(np.arange(size)[:, None] >= np.arange(size)[None, :], h[np.abs(np.arange(size)[:, None] - np.arange(size)[None, :])], 0.0)
     local = grid @ toeplitz.T
     first, second = -a1 * h[:size] - a2 * np.concatenate([[0.0], h[: size - 1]]), -a2 * h[:size]
-    one = two = 0.0
     for i in range(rows):
         local[i] += first * one + second * two
         one, two = local[i, -1], local[i, -2]
-    return local.reshape(-1)[:n]
+    y = local.reshape(-1)[:n]
+    return y, (float(x[-1]), float(x[-2]) if n > 1 else x1, float(y[-1]), float(y[-2]) if n > 1 else past[2])
+
+
+def biquad(x: np.ndarray, c: Biquad) -> np.ndarray:
+    """One filter over an array, from rest."""
+    return biquad_on(x, c, (0.0, 0.0, 0.0, 0.0))[0]
 
 
 def cascade(x: np.ndarray, filters: Sequence[Biquad]) -> np.ndarray:
@@ -104,9 +116,9 @@ def smoothed(targets: DataFrame, down: float, up: float, column: str = "x", chun
     return by_chunk(targets, lambda t: smooth_gain(t, down, up), warm, chunk=chunk, column=column, out="gain_db")
 
 
-def limit_forward(required: np.ndarray, release: float) -> np.ndarray:
+def limit_forward(required: np.ndarray, release: float, start: float = 1.0) -> np.ndarray:
     """Limiter gain: down at once to what is required, up by a one-pole release towards 1."""
-    out, g = np.empty(len(required)), 1.0
+    out, g = np.empty(len(required)), start
     for i, r in enumerate(required.tolist()):
         g = r if r < g else 1.0 - (1.0 - g) * release
         out[i] = g
