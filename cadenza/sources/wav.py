@@ -45,10 +45,10 @@ def parse(data: bytes) -> tuple[dict, np.ndarray]:
     code, channels, rate, bits = head
     frame = channels * bits // 8
     body = body[: len(body) // frame * frame]
-    return {"rate": rate, "channels": channels, "bits": bits, "format": "float" if code == 3 else "int"}, _decode(body, code, bits).reshape(-1, channels).T
+    return {"rate": rate, "channels": channels, "bits": bits, "format": "float" if code == 3 else "int"}, decode(body, code, bits).reshape(-1, channels).T
 
 
-def _decode(body: bytes, code: int, bits: int) -> np.ndarray:
+def decode(body: bytes, code: int, bits: int) -> np.ndarray:
     if code == 3 and bits in (32, 64):
         return np.frombuffer(body, f"<f{bits // 8}").astype(np.float64)
     if code == 1 and bits == 8:
@@ -62,18 +62,28 @@ def _decode(body: bytes, code: int, bits: int) -> np.ndarray:
     raise ValueError(f"cannot read format {code} at {bits} bits")
 
 
-def render(channels: np.ndarray, rate: int, bits: int = 24, form: str = "int") -> bytes:
-    """A WAV file with a 44-byte header; whole numbers are rounded (halves up) and clipped."""
-    if form == "float" and bits in (32, 64):
-        body = channels.T.astype(f"<f{bits // 8}").tobytes()
-    elif form == "int" and bits in (8, 16, 24, 32):
-        full = float(1 << (bits - 1))
-        q = np.clip(np.floor(channels.T * full + 0.5), -full, full - 1).astype("<i8")
-        body = (q + 128).astype(np.uint8).tobytes() if bits == 8 else np.ascontiguousarray(q).view(np.uint8).reshape(*q.shape, 8)[..., : bits // 8].tobytes()
-    else:
+def header(frames: int, channels: int, rate: int, bits: int, form: str) -> bytes:
+    """The 44 bytes ahead of the samples of a WAV file; raises ValueError for what such a file cannot hold."""
+    if (form, bits) not in {("float", 32), ("float", 64), ("int", 8), ("int", 16), ("int", 24), ("int", 32)}:
         raise ValueError(f"cannot write {form} at {bits} bits")
-    frame = len(channels) * bits // 8
-    return b"RIFF" + struct.pack("<I4s4sIHHIIHH4sI", 36 + len(body), b"WAVE", b"fmt ", 16, 3 if form == "float" else 1, len(channels), rate, rate * frame, frame, bits, b"data", len(body)) + body
+    frame = channels * bits // 8
+    if 36 + frames * frame >= 1 << 32:
+        raise ValueError("a WAV file holds under 4 GiB")
+    return b"RIFF" + struct.pack("<I4s4sIHHIIHH4sI", 36 + frames * frame, b"WAVE", b"fmt ", 16, 3 if form == "float" else 1, channels, rate, rate * frame, frame, bits, b"data", frames * frame)
+
+
+def encode(channels: np.ndarray, bits: int, form: str) -> bytes:
+    """Samples (channels, frames) as a WAV file has them; whole numbers are rounded (halves up) and clipped."""
+    if form == "float":
+        return channels.T.astype(f"<f{bits // 8}").tobytes()
+    full = float(1 << (bits - 1))
+    q = np.clip(np.floor(channels.T * full + 0.5), -full, full - 1).astype("<i8")
+    return (q + 128).astype(np.uint8).tobytes() if bits == 8 else np.ascontiguousarray(q).view(np.uint8).reshape(*q.shape, 8)[..., : bits // 8].tobytes()
+
+
+def render(channels: np.ndarray, rate: int, bits: int = 24, form: str = "int") -> bytes:
+    """A WAV file with a 44-byte header."""
+    return header(channels.shape[1], len(channels), rate, bits, form) + encode(channels, bits, form)
 
 
 def derived(path: Column) -> Column:
@@ -95,7 +105,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").load(path)
     files = files.where(~derived(F.col("path"))).select(base_name(F.col("path")).alias("rec"), "path", "content")
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 head, samples = parse(row.content)
@@ -106,7 +116,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
                             "length": [len(x)], "ch": [ch], "n0": [n0], "block": [x[n0 : n0 + BLOCK].astype(np.float32)],
                         })
 
-    return files.mapInPandas(decode, BLOCK_SCHEMA)
+    return files.mapInPandas(blocks, BLOCK_SCHEMA)
 
 
 def samples_of(blocks: DataFrame) -> DataFrame:
