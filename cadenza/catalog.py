@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import edits, kernels, signal, spectral, tables
+from .plans import edits, kernels, signal, spectral, tables, views
 
 FLAGSHIP = "gated_loudness"
-_MODULES = (signal, spectral, tables, kernels, edits)
+_MODULES = (signal, spectral, tables, kernels, edits, views)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..sources.layout import CHUNK
+from ..sources.layout import CHUNK, lengths, packed
 from .recurrences import by_chunk
 from .spectra import hann
 
@@ -128,7 +130,43 @@ def convolve(x: np.ndarray, impulse: np.ndarray) -> np.ndarray:
 
 
 def convolved(samples: DataFrame, impulse: np.ndarray, chunk: int = CHUNK) -> DataFrame:
-    return by_chunk(samples, lambda x: convolve(x, impulse), len(impulse) - 1, chunk=chunk)
+    """Samples through an impulse response, cut to their length; one longer than a chunk is taken apart."""
+    if len(impulse) > chunk:
+        return convolved_in_parts(samples, impulse, chunk)
+    return by_chunk(samples, lambda x: convolve(x, impulse), max(0, len(impulse) - 1), chunk=chunk)
+
+
+def convolved_in_parts(samples: DataFrame, impulse: np.ndarray, block: int = CHUNK) -> DataFrame:
+    """The same for an impulse response of any length, by partitioned overlap-add.
+
+    The response is cut to rows of ``block`` values. Each block of samples meets each part, which gives two blocks of output;
+    blocks of one place are added. A task holds one pair of blocks, and at most twice as many as the response has parts in
+    one sum.
+    """
+    spark = samples.sparkSession
+    parts = [(j, impulse[j * block : (j + 1) * block].astype("<f8").tobytes()) for j in range(max(1, -(-len(impulse) // block)))]
+    held = packed(samples, 0, 1, block)
+    last = held.groupBy("rec").agg(F.max("chunk").alias("final")).withColumnRenamed("rec", "frec")
+    meets = held.join(last, F.col("rec") == F.col("frec")).select("rec", "chunk", "final", "x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(len(parts) - 1), F.col("final") - F.col("chunk")))).alias("j"))
+    meets = meets.join(spark.createDataFrame(parts, "part bigint, h binary"), F.col("j") == F.col("part"))
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for rec, chunk, final, j, x, h in zip(frame["rec"], frame["chunk"], frame["final"], frame["j"], frame["x"], frame["h"], strict=True):
+                own = np.frombuffer(x, dtype="<f8")[:block]
+                y = np.fft.irfft(np.fft.rfft(own, 2 * block) * np.fft.rfft(np.frombuffer(h, dtype="<f8"), 2 * block), 2 * block)
+                at = [p for p in (chunk + j, chunk + j + 1) if p <= final]
+                yield pd.DataFrame({"rec": rec, "at": at, "y": [y[k * block : (k + 1) * block].tobytes() for k in range(len(at))]})
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(y, dtype="<f8") for y in part["y"])
+        n = int(part["at"].iloc[0]) * block + np.arange(block)
+        return pd.DataFrame({"rec": part["rec"].iloc[0], "n": n, "x": total})
+
+    products = meets.select("rec", "chunk", "final", "j", "x", "h").mapInPandas(multiply, "rec string, at bigint, y binary")
+    out = products.groupBy("rec", "at").applyInPandas(add, "rec string, n bigint, x double")
+    ends = lengths(samples).select(F.col("rec").alias("lrec"), "length")
+    return out.join(ends, (F.col("rec") == F.col("lrec")) & (F.col("n") < F.col("length"))).select("rec", "n", "x")
 
 
 def resample(x: np.ndarray, source: float, target: float, first: int = 0, at: np.ndarray | None = None, zeros: int = 32, rolloff: float = 0.95, beta: float = 12.0) -> np.ndarray:

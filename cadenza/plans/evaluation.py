@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.num import db
-from ..operators import chain, islands, metrics
+from ..operators import chain, islands, metrics, transforms
 from ..sources import speech, synthetic
-from ..sources.layout import lengths
+from ..sources.layout import CHUNK, lengths
 from .stages import programme, run_chain
 
 RATE = 8000.0
@@ -48,6 +49,14 @@ def _clicky(spark: SparkSession):
     return synthetic.with_clicks(samples, places, 0.8, 3), samples, bounds
 
 
+def in_room(samples: DataFrame, rate: float, response: np.ndarray, chunk: int = CHUNK) -> DataFrame:
+    """Samples in a room, at the loudness that they had before; recordings without a loudness are only convolved."""
+    wet = transforms.convolved(samples, response, chunk)
+    gain = programme(samples, rate).withColumnRenamed("lufs", "dry").join(programme(wet, rate).withColumnRenamed("lufs", "wet"), "rec")
+    gain = gain.select(F.col("rec").alias("grec"), F.pow(F.lit(10.0), (F.col("dry") - F.col("wet")) / 20).alias("gain"))
+    return wet.join(gain, F.col("rec") == F.col("grec"), "left").select("rec", "n", (F.col("x") * F.coalesce("gain", F.lit(1.0))).alias("x"))
+
+
 CASES = (
     Case("bypass", _clean("bypass"), ("level",), ("level",), (("change_db", None, None, "nothing runs"), ("unchanged", 1.0, 1.0, "a bypassed chain gives back its input"))),
     Case("drift", _clean("drift", levels=(-34.0, -18.0)), ("level",), (), (("out_lufs", -21.0, -15.0, "levelled to the target"), ("peak_db", None, -0.5, "under the ceiling"))),

@@ -83,12 +83,13 @@ def with_clicks(samples: DataFrame, places: DataFrame, peak: float, width: int)
     return mix(samples, taps.select("rec", (F.col("site") + F.col("k")).alias("n"), shape.alias("x")))
 
 
-def room_response(rate: float, rt60: float, direct_db: float, seed: int) -> np.ndarray:
-    """A room's impulse response: the direct sound and a decaying noise tail, ``direct_db`` under it in energy."""
-    n = max(2, math.floor(1.5 * rt60 * rate + 0.5))
-    at = np.arange(n)
+def room_response(rate: float, rt60: float = 0.6, direct_db: float = 6.0, seed: int = 31337, pre_delay: float = 0.012) -> np.ndarray:
+    """A room's impulse response: the direct sound and, from ``pre_delay`` seconds on, a noise tail that falls by 60 dB in
+    ``rt60`` seconds and lies ``direct_db`` under the direct sound in energy."""
+    n, start = max(2, math.floor(1.5 * rt60 * rate + 0.5)), math.floor(pre_delay * rate + 0.5)
+    out, at = np.zeros(n), np.arange(max(0, n - start))
+    out[0] = 1.0
     tail = (2 * uniform(seed, at) - 1) * np.exp(-math.log(1000) / (rt60 * rate) * at)
-    tail[0] = 0.0
-    tail *= 10 ** (-direct_db / 20) / math.sqrt((tail**2).sum())
-    tail[0] = 1.0
-    return tail
+    energy = (tail**2).sum()
+    out[start:] = tail * math.sqrt(10 ** (-direct_db / 10) / energy) if energy > 0 else tail
+    return out
