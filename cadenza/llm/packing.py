@@ -53,6 +53,8 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
+#: Bytes of text that are encoded at once, and of words whose ids a worker keeps.
+ENCODED = 4 << 20
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint"
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
@@ -122,9 +124,9 @@ def pack(
 
         group, pool = None, pa.default_memory_pool()
         for batch in batches:
-            for at, n in slices(batch.column(1)):
+            for at, n in slices(batch.column(1), ENCODED):
                 pool.release_unused()  # what the slice before, or another stage in this worker, has left there
-                ids, offsets = encoder(tokenizer).encode(batch.column(1).slice(at, n))
+                ids, offsets = encoder(tokenizer, ENCODED).encode(batch.column(1).slice(at, n))
                 out: list[tuple] = []
                 for i, (name, number) in enumerate(zip(batch.column(0).slice(at, n).to_pylist(), batch.column(2).slice(at, n).to_pylist(), strict=True)):
                     if group is None or number << 32 != group.base:

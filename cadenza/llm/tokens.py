@@ -128,17 +128,17 @@ class WordEncoder:
         return ids, offsets
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker for a tokenizer file."""
-    if path not in _encoders:
+def encoder(path: str, max_bytes: int = 24 << 20) -> WordEncoder:
+    """The encoder of this Python worker for a tokenizer file and a bound of the words kept."""
+    if (path, max_bytes) not in _encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        _encoders[path, max_bytes] = WordEncoder(path, max_bytes)
+    return _encoders[path, max_bytes]
 
 
 def slices(texts: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
