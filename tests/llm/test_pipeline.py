@@ -72,7 +72,7 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")}
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dup", "decontaminate", "packing"]
 
 
