@@ -1,7 +1,8 @@
 """Ordered recurrences over samples: filters, gain smoothing, limiting.
 
-A recurrence that forgets is run chunk by chunk: each chunk starts early enough that what came before no longer shows in
-double precision, so chunks are independent and a long recording spreads over many tasks.
+A filter forgets, and is run chunk by chunk: each chunk starts early enough that what came before no longer shows in double
+precision, so chunks are independent and a long recording spreads over many tasks. Smoothers and limiters, whose step depends
+on the state, are scans of maps (``scans``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.filters import Biquad, k_weighting, settle
 from ..sources.layout import CHUNK, with_halo
+from .scans import Limiter, Smoother, scanned
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -109,11 +111,8 @@ def smooth_gain(target: np.ndarray, down: float, up: float) -> np.ndarray:
 
 
 def smoothed(targets: DataFrame, down: float, up: float, column: str = "x", chunk: int = CHUNK) -> DataFrame:
-    """rec, n, gain_db. Two runs of the smoother come together by the slower coefficient at each sample, whatever their
-    paths, which gives the warm-up."""
-    slow = max(down, up)
-    warm = 1 if slow == 0 else math.ceil(math.log(2.0**-60) / math.log(slow))
-    return by_chunk(targets, lambda t: smooth_gain(t, down, up), warm, chunk=chunk, column=column, out="gain_db")
+    """rec, n, gain_db: ``smooth_gain`` of each recording, as a scan."""
+    return scanned(targets, Smoother(down, up), 0.0, column, "gain_db", chunk)
 
 
 def limit_forward(required: np.ndarray, release: float, start: float = 1.0) -> np.ndarray:
@@ -126,6 +125,5 @@ def limit_forward(required: np.ndarray, release: float, start: float = 1.0) -> n
 
 
 def limiter_gain(required: DataFrame, release: float, column: str = "x", chunk: int = CHUNK) -> DataFrame:
-    """rec, n, gain of required gains in 0..1."""
-    warm = math.ceil(math.log(2.0**-60) / math.log(release))
-    return by_chunk(required, lambda r: limit_forward(r, release), warm, chunk=chunk, column=column, out="gain")
+    """rec, n, gain of required gains in 0..1: ``limit_forward`` of each recording, as a scan."""
+    return scanned(required, Limiter(release), 0.0, column, "gain", chunk)
