@@ -34,6 +34,8 @@ class Stage:
     name: str
     defaults: dict[str, float | str | bool]
     render: Callable[[DataFrame, dict, float], Result]
+    #: The only rate the stage works at, if there is one.
+    rate: float | None = None
 
 
 class Registry:
@@ -59,9 +61,9 @@ class Registry:
 STAGES = Registry()
 
 
-def stage(name: str, **defaults):
+def stage(name: str, works_at: float | None = None, **defaults):
     def keep(f: Callable[[DataFrame, dict, float], Result]):
-        STAGES.add(Stage(name, defaults, f))
+        STAGES.add(Stage(name, defaults, f, works_at))
         return f
 
     return keep
@@ -226,27 +228,33 @@ def expand(samples: DataFrame, p: dict, rate: float) -> Result:
     """Turns down what lies under a threshold relative to the programme; declines where there are no pauses with a level, or
     where they lie more than ``clean_floor`` dB under the programme already."""
     pauses, heard = quiet_ranges(samples, rate)
-    inside = loudness.range_loudness(recurrences.k_weighted(samples, rate), pauses.select("rec", "i", "start", "end")).where("z > 0")
     size = F.col("end") - F.col("start")
-    floor = inside.groupBy("rec").agg((lufs(F.sum(F.col("z") * size) / F.sum(size))).alias("pause_lufs"))
-    levels = lengths(samples).join(heard.select("rec", "lufs"), "rec", "left").join(floor, "rec", "left")
+
+    def pause_level(signal: DataFrame) -> DataFrame:
+        inside = loudness.range_loudness(recurrences.k_weighted(signal, rate), pauses.select("rec", "i", "start", "end")).where("z > 0")
+        return inside.groupBy("rec").agg((lufs(F.sum(F.col("z") * size) / F.sum(size))).alias("pause_lufs"))
+
+    levels = lengths(samples).join(heard.select("rec", "lufs"), "rec", "left").join(pause_level(samples), "rec", "left")
     acts = levels.withColumn("threshold", F.col("lufs") + p["threshold"]).withColumn("floor_distance", F.col("lufs") - F.col("pause_lufs"))
     acts = acts.withColumn("acts", F.coalesce(F.col("floor_distance") <= p["clean_floor"], F.lit(False)))
     curve = lambda x, t: expander_gain(x - t, 0.0, p["ratio"], p["knee"], p["range"])
     changed, stats = dynamics(samples, rate, acts.where("acts"), curve, p["close_ms"], p["open_ms"])
-    return Result(where_acting(samples, changed, acts), facts(acts.join(stats, "rec", "left"), "threshold", "floor_distance", "max_reduction_db", "active", "acts"))
+    told = acts.join(stats, "rec", "left").join(pause_level(changed).withColumnRenamed("pause_lufs", "now"), "rec", "left")
+    told = told.withColumn("floor_reduction_db", F.coalesce(F.col("pause_lufs") - F.col("now"), F.lit(0.0)))
+    return Result(where_acting(samples, changed, acts), facts(told, "threshold", "floor_distance", "floor_reduction_db", "max_reduction_db", "active", "acts"))
 
 
 @stage("compress", threshold=-2.0, ratio=1.7, knee=10.0, range=12.0, attack_ms=33.0, release_ms=168.0, min_lra=3.0)
 def compress(samples: DataFrame, p: dict, rate: float) -> Result:
     """Evens the programme out where its loudness range is at least ``min_lra``."""
     window = times(1.0, rate)
-    spread = loudness.loudness_range(recurrences.k_weighted(samples, rate), 3 * window, window)
-    levels = lengths(samples).join(programme(samples, rate), "rec", "left").join(spread, "rec", "left")
+    spread = lambda signal: loudness.loudness_range(recurrences.k_weighted(signal, rate), 3 * window, window)
+    levels = lengths(samples).join(programme(samples, rate), "rec", "left").join(spread(samples), "rec", "left")
     acts = levels.withColumn("threshold", F.col("lufs") + p["threshold"]).withColumn("acts", F.coalesce(F.col("lra") >= p["min_lra"], F.lit(False)))
     curve = lambda x, t: compressor_gain(x - t, 0.0, p["ratio"], p["knee"], p["range"])
     changed, stats = dynamics(samples, rate, acts.where("acts"), curve, p["attack_ms"], p["release_ms"])
-    return Result(where_acting(samples, changed, acts), facts(acts.join(stats, "rec", "left"), "lra", "max_reduction_db", "active", "acts"))
+    told = acts.join(stats, "rec", "left").join(spread(changed).withColumnRenamed("lra", "after"), "rec", "left").withColumn("lra_after", F.coalesce("after", "lra"))
+    return Result(where_acting(samples, changed, acts), facts(told, "lra", "lra_after", "max_reduction_db", "active", "acts"))
 
 
 @stage("level", target=-18.0, max_gain=30.0, ceiling=-1.0, min_silence=1.0)
@@ -293,6 +301,20 @@ def preset(name: str) -> dict:
     raise ValueError(f"unknown preset {name}; known: {', '.join(PRESETS)}")
 
 
+def working_rate(stages: list[Stage], source: float) -> float:
+    """The rate at which a chain of these stages runs: theirs, or the source's where none asks for one."""
+    asked = {s.rate for s in stages if s.rate is not None}
+    if len(asked) > 1:
+        raise ValueError(f"stages disagree on the sample rate: {', '.join(f'{s.name} {s.rate:g}' for s in stages if s.rate is not None)}")
+    return asked.pop() if asked else source
+
+
+def at_rate(samples: DataFrame, source: float, target: float, size: DataFrame | None = None) -> DataFrame:
+    """``samples`` at another rate, the same DataFrame where the rates are equal; cut to ``size`` (rec, length) if given."""
+    made = transforms.resampled(samples, source, target)
+    return made if size is None or made is samples else made.join(size, "rec").where("n < length").select("rec", "n", "x")
+
+
 def run_chain(
     samples: DataFrame, rate: float, only: list[str] | None = None, bypass: list[str] | None = None, params: dict[str, dict] | None = None,
     between: Callable[[DataFrame, str], DataFrame] | None = None, registry: Registry = STAGES,
@@ -300,20 +322,27 @@ def run_chain(
     """Samples through the stages in their order.
 
     ``only`` keeps some, ``bypass`` passes over some (their samples are then the same DataFrame), ``params`` goes over the
-    defaults. ``between`` may materialise what a stage gives. The report has stage, ord, rec, key and value.
+    defaults. ``between`` may materialise what a stage gives. The report has stage, ord, rec, key and value. Where a stage
+    that runs asks for a rate, samples are brought to it once, and what comes out goes back to ``rate`` and its length.
     """
     for name in {*(only or ()), *(bypass or ()), *(params or {})}:
         registry.get(name)
+    chosen = [n for n in registry.names() if only is None or n in only]
+    working = working_rate([registry.get(n) for n in chosen if n not in (bypass or ())], rate)
+    keep = between or (lambda df, _: df)
+    size = lengths(samples) if working != rate else None
+    if size is not None:
+        samples = keep(at_rate(samples, rate, working), "resampled")
     report, extras = None, {}
-    for ord_, name in enumerate(n for n in registry.names() if only is None or n in only):
+    for ord_, name in enumerate(chosen):
         if name in (bypass or ()):
             continue
         found = registry.get(name)
         unknown = set((params or {}).get(name, ())) - set(found.defaults)
         if unknown:
             raise ValueError(f"stage {name} has no parameter {', '.join(sorted(unknown))}")
-        result = found.render(samples, {**found.defaults, **(params or {}).get(name, {})}, rate)
-        samples = between(result.samples, name) if between else result.samples
+        result = found.render(samples, {**found.defaults, **(params or {}).get(name, {})}, working)
+        samples = keep(result.samples, name)
         told = result.report.select(F.lit(name).alias("stage"), F.lit(ord_).alias("ord"), "rec", "key", "value")
         report = told if report is None else report.unionByName(told)
         twice = extras.keys() & result.extras.keys()
@@ -322,4 +351,4 @@ def run_chain(
         extras |= result.extras
     if report is None:
         report = samples.sparkSession.createDataFrame([], "stage string, ord int, rec string, key string, value string")
-    return Result(samples, report, extras)
+    return Result(at_rate(samples, working, rate, size), report, {name: at_rate(extra, working, rate) for name, extra in extras.items()})
