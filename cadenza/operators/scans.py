@@ -35,6 +35,7 @@ class Smoother:
     down: float
     up: float
     block: int = 64
+    bounded = False
 
     def step(self, t: np.ndarray, g: np.ndarray) -> np.ndarray:
         return t + (g - t) * np.where(t < g, self.down, self.up)
@@ -123,6 +124,7 @@ class Limiter:
 
     release: float
     level: float = 1e-9
+    bounded = True
 
     def chain(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the bounds, their logarithms, and for each the next one that a state from there meets (their number if
@@ -242,15 +244,29 @@ def _starts(maps: DataFrame, law: Law, start: float, levels: int) -> DataFrame:
     return known.groupBy("rec", "parent").applyInPandas(passed, told)
 
 
+def _ends(rows: DataFrame, start: float) -> DataFrame:
+    """rec, lo, hi: the least and the greatest of a recording's values and ``start``, from its chunks."""
+
+    def ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            values = [np.frombuffer(x, "<f8") for x in part["x"]]
+            yield pd.DataFrame({"rec": part["rec"], "lo": [v.min() for v in values], "hi": [v.max() for v in values]})
+
+    found = rows.select("rec", "x").mapInPandas(ends, "rec string, lo double, hi double").groupBy("rec")
+    return found.agg(F.least(F.min("lo"), F.lit(start)).alias("lo"), F.greatest(F.max("hi"), F.lit(start)).alias("hi"))
+
+
 def scanned(samples: DataFrame, law: Law, start: float, column: str = "x", out: str = "x", chunk: int = CHUNK, levels: int = 1) -> DataFrame:
     """rec, n and ``out``: ``law`` over ``column`` in order of n, from the state ``start``. Places have no gaps.
 
     Maps are composed in ``levels`` levels of ``FAN`` each. What is left of a recording is one small row for each
     ``chunk * FAN ** levels`` samples, which are gone through in order.
     """
-    ends = samples.groupBy("rec").agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    bounds = ends.select("rec", F.least("lo", F.lit(start)).alias("lo"), F.greatest("hi", F.lit(start)).alias("hi"))
-    rows = packed(samples, 0, 0, chunk, column).join(bounds, "rec")
+    rows = packed(samples, 0, 0, chunk, column)
+    if law.bounded:
+        rows = rows.select("*", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    else:
+        rows = rows.join(_ends(rows, start), "rec")
 
     def summaries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
