@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import edits, kernels, reports, signal, spectral, tables, views
+from .plans import edits, kernels, listening, reports, signal, spectral, tables, views
 
 FLAGSHIP = "gated_loudness"
-_MODULES = (signal, spectral, tables, kernels, edits, views, reports)
+_MODULES = (signal, spectral, tables, kernels, edits, views, reports, listening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,6 +47,29 @@ def answer_rows(spark: SparkSession, path: str) -> DataFrame:
     return on_clips.unionByName(on_trial)
 
 
+QUESTIONS = "clipQuestions array<struct<id:string,kind:string,label:string>>, trialQuestions array<struct<id:string,kind:string,label:string>>"
+
+
+def question_rows(spark: SparkSession, path: str) -> DataFrame:
+    """session, question, kind, ord of the sessions under ``path``: the questions on clips, then those on trials, by ``ord``.
+    A session goes by its folder's name."""
+    found = _read(spark, path, QUESTIONS, "session.json").withColumn("session", F.regexp_extract("path", FOLDER, 1))
+    none = F.array().cast("array<struct<id:string,kind:string,label:string>>")
+    asked = found.select("session", F.posexplode(F.concat(F.coalesce("clipQuestions", none), F.coalesce("trialQuestions", none))).alias("ord", "q"))
+    return asked.select("session", F.col("q.id").alias("question"), F.col("q.kind").alias("kind"), "ord")
+
+
+def answer_documents(spark: SparkSession, path: str) -> DataFrame:
+    """session, listener, trial, clip, answers of the results under ``path``: the answers on a clip as a VARIANT object, with
+    numbers, lists and text as they were given; clip is '' for the answers on a trial."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="results.*.json")
+    docs = files.select(F.regexp_extract("_metadata.file_path", FOLDER, 1).alias("session"), F.try_parse_json("value").alias("doc")).where("doc IS NOT NULL")
+    told = docs.select("session", F.try_variant_get("doc", "$.listener", "string").alias("listener"), F.explode(F.try_variant_get("doc", "$.trials", "map<string,variant>")).alias("trial", "t"))
+    on_clips = told.select("session", "listener", "trial", F.explode(F.try_variant_get("t", "$.clips", "map<string,variant>")).alias("clip", "answers"))
+    on_trial = told.select("session", "listener", "trial", F.lit("").alias("clip"), F.try_variant_get("t", "$.trial", "variant").alias("answers"))
+    return on_clips.unionByName(on_trial.where("answers IS NOT NULL"))
+
+
 def baseline(spark: SparkSession, path: str) -> DataFrame:
     """case, metric, value of a file that maps cases to metrics; null stands for what was not finite."""
     text = spark.read.text(path, wholetext=True)
