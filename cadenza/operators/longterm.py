@@ -104,7 +104,7 @@ def band_levels(spectra: DataFrame, rate: float, size: int, low: float, high: fl
     return inside.groupBy("rec").agg((10.0 * F.log10(F.avg("p") + 1e-30)).alias(name))
 
 
-def _rows(structs: pd.DataFrame | pd.Series) -> list[dict]:
+def settings_rows(structs: pd.DataFrame | pd.Series) -> list[dict]:
     """The rows of a struct column, which pandas may hold as a table of its own."""
     return structs.to_dict("records") if isinstance(structs, pd.DataFrame) else [dict(r) if isinstance(r, dict) else r.asDict() for r in structs]
 
@@ -120,7 +120,7 @@ def by_recording(samples: DataFrame, settings: DataFrame, kernel: Callable[[np.n
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for rec, number, first, x, own in zip(frame["rec"], frame["chunk"], frame["first"], frame["x"], _rows(frame["settings"]), strict=True):
+            for rec, number, first, x, own in zip(frame["rec"], frame["chunk"], frame["first"], frame["x"], settings_rows(frame["settings"]), strict=True):
                 got = kernel(np.frombuffer(x, dtype="<f8").copy(), own)
                 n = np.arange(first, first + len(got))
                 mine = n // chunk == number

@@ -100,6 +100,11 @@ def denoised(samples: DataFrame, noise: np.ndarray, reduction_db: float, size: i
 
 def dynamic_eq_gains(power: np.ndarray, rate: float, size: int, hop: int, threshold: float = 12.0, ratio: float = 0.5, most: float = 8.0, attack_ms: float = 2.0, release_ms: float = 60.0, octaves: float = 0.5, least_width: float = 400.0) -> np.ndarray:
     """Gains that hold down bins standing over their surroundings, by frame, with attack and release."""
+    return 10 ** (dynamic_eq_states(power, rate, size, hop, threshold, ratio, most, attack_ms, release_ms, octaves, least_width) / 20)
+
+
+def dynamic_eq_states(power: np.ndarray, rate: float, size: int, hop: int, threshold: float = 12.0, ratio: float = 0.5, most: float = 8.0, attack_ms: float = 2.0, release_ms: float = 60.0, octaves: float = 0.5, least_width: float = 400.0) -> np.ndarray:
+    """The same gains in dB."""
     hz = np.arange(power.shape[1]) * rate / size
     half = np.maximum(hz * (2 ** (octaves / 2) - 2 ** (-octaves / 2)), least_width) / 2
     low = np.maximum(1, np.floor((hz - half) * size / rate)).astype(int)
@@ -114,13 +119,17 @@ def dynamic_eq_gains(power: np.ndarray, rate: float, size: int, hop: int, thresh
         excess = level - around - limit
         target = np.where(excess > 0, -np.minimum(most, ratio * np.maximum(excess, 0)), 0.0)
         state = target + (state - target) * np.where(target < state, down, up)
-        out[f] = 10 ** (state / 20)
+        out[f] = state
     return out
 
 
+def dynamic_eq_warm(rate: float, hop: int) -> int:
+    """Frames after which a bin's state no longer shows in double precision."""
+    return math.ceil(math.log(2.0**-53) / (-hop / (0.06 * rate)))
+
+
 def dynamic_eq(samples: DataFrame, rate: float, size: int = 1024, hop: int = 256) -> DataFrame:
-    warm = math.ceil(math.log(2.0**-53) / (-hop / (0.06 * rate)))
-    return through_frames(samples, lambda s: s * dynamic_eq_gains(np.abs(s) ** 2, rate, size, hop), size, hop, warm)
+    return through_frames(samples, lambda s: s * dynamic_eq_gains(np.abs(s) ** 2, rate, size, hop), size, hop, dynamic_eq_warm(rate, hop))
 
 
 def convolve(x: np.ndarray, impulse: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import k_weighting, peaking
-from ..operators import clicks, dereverb, equalise, islands, linear, recurrences, roomtone, spectra, transforms
+from ..operators import clicks, dereverb, equalise, frame_stats, islands, linear, recurrences, roomtone, spectra, transforms
 from ..sources.events import event_signal
 from ..sources.layout import lengths, number_rows
 from .oracle import SIG, SIL, select
@@ -105,6 +105,56 @@ def dynamic_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.dynamic_eq(event_signal(spark, sf_dir), 48000.0, 64, 16)
 
 
+#: Power spectra of frames of 64 samples, one every 16, under a root-Hann window, by direct sums.
+_FRAMES = """fr AS (SELECT rec, unnest(generate_series(0, (length + 64) // 16)) AS f FROM len),
+win AS (SELECT i, sqrt(0.5 - 0.5 * cos(2 * pi() * i / 64)) AS w FROM generate_series(0, 63) t(i)),
+fs AS (SELECT fr.rec, f, i, x * w AS v FROM fr CROSS JOIN win JOIN s ON s.rec = fr.rec AND s.n = f * 16 - 64 + i),
+cx AS (SELECT rec, f, k, sum(v * cos(2 * pi() * k * i / 64)) AS re, sum(v * sin(2 * pi() * k * i / 64)) AS im FROM fs CROSS JOIN generate_series(0, 32) t(k) GROUP BY rec, f, k),
+pw AS MATERIALIZED (SELECT fr.rec, fr.f, k, coalesce(re * re + im * im, 0) AS p FROM fr CROSS JOIN generate_series(0, 32) t(k) LEFT JOIN cx USING (rec, f, k))"""
+
+_HELD = _FRAMES + """,
+bd AS (SELECT k, k * 750.0 AS hz, greatest(k * 750.0 * (2 ** 0.25 - 2 ** -0.25), 400.0) / 2 AS half FROM generate_series(0, 32) t(k)),
+nb AS (SELECT k, greatest(1, floor((hz - half) / 750.0)) AS lo, least(32, ceil((hz + half) / 750.0)) AS hi,
+       CASE WHEN hz < 300 THEN 1e9 WHEN hz BETWEEN 5000 AND 9000 THEN 9.0 ELSE 12.0 END AS room FROM bd),
+dbs AS MATERIALIZED (SELECT rec, f, k, 10 * log10(p + 1e-30) AS l FROM pw),
+ex AS (SELECT a.rec, a.f, a.k, any_value(a.l) - avg(b.l) - any_value(room) AS e FROM dbs a JOIN nb ON nb.k = a.k JOIN dbs b ON b.rec = a.rec AND b.f = a.f AND b.k BETWEEN lo AND hi GROUP BY a.rec, a.f, a.k),
+tg AS MATERIALIZED (SELECT rec, f, k, CASE WHEN e > 0 THEN -least(8.0, 0.5 * e) ELSE 0.0 END AS t FROM ex),
+st AS (SELECT rec, k, CAST(-1 AS BIGINT) AS f, CAST(0 AS DOUBLE) AS g FROM len CROSS JOIN generate_series(0, 32) t(k)
+       UNION ALL SELECT tg.rec, tg.k, tg.f, t + (g - t) * CASE WHEN t < g THEN exp(-16 / (0.002 * 48000)) ELSE exp(-16 / (0.06 * 48000)) END FROM st JOIN tg ON tg.rec = st.rec AND tg.k = st.k AND tg.f = st.f + 1)"""
+
+
+@query(_recursive(_HELD, """SELECT rec, count(*) AS cells, round(coalesce(max(-g) FILTER (g < -0.01), 0), 6) AS max_reduction_db, round(coalesce(avg(-g) FILTER (g < -0.01), 0), 6) AS mean_reduction_db,
+round(count(*) FILTER (g < -0.01) / count(*), 6) AS active FROM st WHERE f >= 0 GROUP BY rec"""))
+def dynamic_eq_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What dynamic equalisation held down, out of the kernel that does it."""
+    rows = frame_stats.dynamic_eq(event_signal(spark, sf_dir), 48000.0, 64, 16)
+    cells = frame_stats.totals(rows, frame_stats.DYNAMIC_EQ)
+    part = lambda a, b: _r(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 6)
+    return cells.select("rec", F.col("cells").cast("bigint").alias("cells"), _r("worst", 6).alias("max_reduction_db"), part("reduction", "reduced").alias("mean_reduction_db"), part("reduced", "cells").alias("active"))
+
+
+#: The noise of a bin is 1e-4, its reduction 12 dB; a frame's cleaned power is a list by bin.
+_WIENER = _FRAMES + """,
+pl AS MATERIALIZED (SELECT rec, f, list(p ORDER BY k) AS p FROM pw GROUP BY rec, f),
+wr AS (SELECT rec, CAST(-1 AS BIGINT) AS f, list_transform(range(33), lambda b: CAST(0 AS DOUBLE)) AS p, list_transform(range(33), lambda b: CAST(0 AS DOUBLE)) AS g FROM len
+  UNION ALL SELECT rec, f, p, list_transform(a, lambda v, i: list_avg(a[greatest(1, i - 2):least(33, i + 2)])) AS g FROM (
+    SELECT pl.rec, pl.f, pl.p, list_transform(pl.p, lambda v, i: greatest(10 ** (-12 / 20.0), 1 - 1 / (1 + 0.98 * wr.g[i] * wr.g[i] * wr.p[i] / 1.5e-4 + 0.02 * greatest(v / 1.5e-4 - 1, 0)))) AS a
+    FROM wr JOIN pl ON pl.rec = wr.rec AND pl.f = wr.f + 1)),
+ga AS (SELECT rec, f, unnest(range(33)) AS k, unnest(p) AS p, 20 * log10(greatest(unnest(g), 1e-12)) AS d FROM wr WHERE f >= 0)"""
+
+
+@query(_recursive(_WIENER, """SELECT rec, count(*) FILTER (p < 6e-4) AS noise_cells, count(*) FILTER (p > 1.5e-2) AS speech_cells,
+round(coalesce(avg(d) FILTER (p < 6e-4), 0), 6) + 0.0 AS noise_gain_db, round(coalesce(avg(d) FILTER (p > 1.5e-2), 0), 6) + 0.0 AS speech_gain_db FROM ga GROUP BY rec"""))
+def denoise_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean gain of what counts as noise and as speech, out of the kernel that gives the gains."""
+    samples = event_signal(spark, sf_dir)
+    settings = samples.select("rec").distinct().select("rec", F.array_repeat(F.lit(1e-4), 33).alias("noise"), F.lit(12.0).alias("applied"))
+    sums = frame_stats.totals(frame_stats.denoised(samples, settings, 64, 16), frame_stats.DENOISE)
+    mean = lambda s: (_r(F.when(F.col(f"{s}_cells") > 0, F.col(f"{s}_gain") / F.col(f"{s}_cells")).otherwise(0.0), 6) + 0.0).alias(f"{s}_gain_db")
+    count = lambda s: F.col(f"{s}_cells").cast("bigint").alias(f"{s}_cells")
+    return sums.select("rec", count("noise"), count("speech"), mean("noise"), mean("speech"))
+
+
 @query()
 def ar_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with the click candidates that pass the density guard and the veto interpolated."""

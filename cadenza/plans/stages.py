@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import settle
 from ..functions.num import adaptive_reduction, compressor_gain, db, expander_gain, lufs, nearest_rank
 from ..operators import dereverb as wpe
-from ..operators import clicks, envelope, equalise, islands, linear, longterm, loudness, metrics, peaks, ranks, recurrences, roomtone, transforms
+from ..operators import clicks, envelope, equalise, frame_stats, islands, linear, longterm, loudness, metrics, peaks, ranks, recurrences, roomtone, transforms
 from ..operators.spectra import hann
 from ..sources.layout import in_chunk, lengths, with_halo
 
@@ -29,11 +29,20 @@ class Result:
     extras: dict[str, DataFrame] = field(default_factory=dict)
 
 
+@dataclass
+class Partial:
+    """What a stage has worked out when both its samples and its report are still to be taken from it: ``rows``, which may be
+    written before ``finish`` takes both, so that they are computed once."""
+
+    rows: DataFrame
+    finish: Callable[[DataFrame], Result]
+
+
 @dataclass(frozen=True)
 class Stage:
     name: str
     defaults: dict[str, float | str | bool]
-    render: Callable[[DataFrame, dict, float], Result]
+    render: Callable[[DataFrame, dict, float], Result | Partial]
     #: The only rate the stage works at, if there is one.
     rate: float | None = None
 
@@ -136,7 +145,7 @@ def declick(samples: DataFrame, p: dict, rate: float) -> Result:
 
 
 @stage("denoise", reduction=12.0, clean_snr=35.0, max_loss=3.0)
-def denoise(samples: DataFrame, p: dict, rate: float) -> Result:
+def denoise(samples: DataFrame, p: dict, rate: float) -> Partial:
     """Wiener gains against each recording's noise by bin; declines clean material, and takes back what costs programme.
 
     The noise is the mean of the frames inside pauses, or, where those are fewer than four, the quietest fifth of each bin's
@@ -156,16 +165,14 @@ def denoise(samples: DataFrame, p: dict, rate: float) -> Result:
     profile = profile.groupBy("rec", "pauses").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("bins")).select("rec", "pauses", F.col("bins.p").alias("noise"))
     settings = profile.select("rec", "noise").join(acts.select("rec", "applied"), "rec")
 
-    def clean(x: np.ndarray, own) -> np.ndarray:
-        spectra = transforms.stft(x, size, hop)
-        gains = transforms.wiener_gains(np.abs(spectra) ** 2, np.array(own["noise"], dtype=np.float64), 10 ** (-own["applied"] / 20))
-        return transforms.istft(spectra * gains, size, hop, len(x))
+    def finish(rows: DataFrame) -> Result:
+        changed = frame_stats.signal(rows)
+        loss = programme(changed, rate).withColumnRenamed("lufs", "after").join(levels.select("rec", "lufs"), "rec").select("rec", (F.col("lufs") - F.col("after")).alias("loss"))
+        kept = acts.join(loss, "rec", "left").join(profile.select("rec", "pauses"), "rec", "left").join(frame_stats.denoise_report(rows), "rec", "left")
+        kept = kept.withColumn("acts", F.col("acts") & F.col("pauses").isNotNull() & (F.coalesce("loss", F.lit(0.0)) <= p["max_loss"]))
+        return Result(where_acting(samples, changed, kept), facts(kept, "snr", "applied", "pauses", "loss", "noise_gain_db", "speech_gain_db", "acts"))
 
-    changed = longterm.by_recording(noisy, settings, clean, 402 * hop + 2 * size, 2 * size, 1 << 17)
-    loss = programme(changed, rate).withColumnRenamed("lufs", "after").join(levels.select("rec", "lufs"), "rec").select("rec", (F.col("lufs") - F.col("after")).alias("loss"))
-    kept = acts.join(loss, "rec", "left").join(profile.select("rec", "pauses"), "rec", "left")
-    kept = kept.withColumn("acts", F.col("acts") & F.col("pauses").isNotNull() & (F.coalesce("loss", F.lit(0.0)) <= p["max_loss"]))
-    return Result(where_acting(samples, changed, kept), facts(kept, "snr", "applied", "pauses", "loss", "acts"))
+    return Partial(frame_stats.denoised(noisy, settings, size, hop, 402, chunk=1 << 17), finish)
 
 
 @stage("dereverb", min_decay_ms=90.0, taps=20, delay=3, iterations=3, frame_size=4096, hop_size=1024, regularisation=1e-4)
@@ -218,9 +225,15 @@ def eq(samples: DataFrame, p: dict, rate: float) -> Result:
 
 
 @stage("dyneq")
-def dyneq(samples: DataFrame, p: dict, rate: float) -> Result:
-    changed = transforms.dynamic_eq(samples, rate)
-    return Result(changed, facts(metrics.change_db(samples, changed), "change_db"))
+def dyneq(samples: DataFrame, p: dict, rate: float) -> Partial:
+    """Holds down what stands out of its surroundings while it does; tells how far, on average and at most, and how often."""
+
+    def finish(rows: DataFrame) -> Result:
+        changed = frame_stats.signal(rows)
+        told = frame_stats.dynamic_eq_report(rows).join(metrics.change_db(samples, changed), "rec", "left")
+        return Result(changed, facts(told, "max_reduction_db", "mean_reduction_db", "active", "change_db"))
+
+    return Partial(frame_stats.dynamic_eq(samples, rate), finish)
 
 
 @stage("expand", threshold=-27.0, ratio=2.8, knee=8.0, range=12.0, open_ms=5.0, close_ms=150.0, clean_floor=50.0)
@@ -342,6 +355,8 @@ def run_chain(
         if unknown:
             raise ValueError(f"stage {name} has no parameter {', '.join(sorted(unknown))}")
         result = found.render(samples, {**found.defaults, **(params or {}).get(name, {})}, working)
+        if isinstance(result, Partial):
+            result = result.finish(keep(result.rows, f"{name}-rows"))
         samples = keep(result.samples, name)
         told = result.report.select(F.lit(name).alias("stage"), F.lit(ord_).alias("ord"), "rec", "key", "value")
         report = told if report is None else report.unionByName(told)
