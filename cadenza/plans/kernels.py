@@ -95,16 +95,6 @@ def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.resampled(event_signal(spark, sf_dir), 44100.0, 48000.0)
 
 
-@query()
-def wiener_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transforms.denoised(event_signal(spark, sf_dir), np.full(33, 1e-4), 12.0, 64, 16)
-
-
-@query()
-def dynamic_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transforms.dynamic_eq(event_signal(spark, sf_dir), 48000.0, 64, 16)
-
-
 #: Power spectra of frames of 64 samples, one every 16, under a root-Hann window, by direct sums.
 _FRAMES = """fr AS (SELECT rec, unnest(generate_series(0, (length + 64) // 16)) AS f FROM len),
 win AS (SELECT i, sqrt(0.5 - 0.5 * cos(2 * pi() * i / 64)) AS w FROM generate_series(0, 63) t(i)),
@@ -155,6 +145,24 @@ def denoise_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("rec", count("noise"), count("speech"), mean("noise"), mean("speech"))
 
 
+#: Frames back to samples, by direct sums: ga has the gain of each cell.
+_BACK = """,
+ou AS (SELECT cx.rec, cx.f, i, any_value(w) AS w, sum(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * gain * (re * cos(2 * pi() * k * i / 64) + im * sin(2 * pi() * k * i / 64))) / 64 AS v
+       FROM cx JOIN ga USING (rec, f, k) CROSS JOIN win GROUP BY cx.rec, cx.f, i)
+SELECT s.rec AS rec, s.n AS n, round(sum(v * w) / sum(w * w) * 1024, 6) + 0.0 AS x FROM ou JOIN s ON s.rec = ou.rec AND s.n = ou.f * 16 - 64 + i GROUP BY s.rec, s.n"""
+
+
+@query(_recursive(_WIENER.replace("20 * log10(greatest(unnest(g), 1e-12)) AS d", "unnest(g) AS gain") + _BACK, ""))
+def wiener_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = transforms.denoised(event_signal(spark, sf_dir), np.full(33, 1e-4), 12.0, 64, 16)
+    return out.select("rec", "n", (_r(F.col("x") * 1024, 6) + 0.0).alias("x"))
+
+
+@query(_recursive(_HELD + ", ga AS (SELECT rec, f, k, 10 ** (g / 20) AS gain FROM st WHERE f >= 0)" + _BACK, ""))
+def dynamic_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.dynamic_eq(event_signal(spark, sf_dir), 48000.0, 64, 16).select("rec", "n", (_r(F.col("x") * 1024, 6) + 0.0).alias("x"))
+
+
 @query()
 def ar_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with the click candidates that pass the density guard and the veto interpolated."""
