@@ -8,6 +8,7 @@ any text, and inflates and parses as it goes.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import uuid
@@ -200,24 +201,39 @@ def parse_records(data: bytes) -> Iterator[dict]:
         block = source.take(int(head["content-length"]))
         if source.take(4) != b"\r\n\r\n":
             raise ValueError("a record is longer than its Content-Length")
-        full, stated = head["warc-type"] == "response", head.get("warc-payload-digest", "")
+        full, stated = head["warc-type"] == "response", stated_digest(head.get("warc-payload-digest"))
         payload = block[block.find(b"\r\n\r\n") + 4 :] if full and b"\r\n\r\n" in block else b""
         own = _digest(payload) if full else None
         page = head.get("x-page-id")
         yield {
             "record_id": head.get("warc-record-id"), "page_id": int(page) if page else None, "url": head.get("warc-target-uri"),
-            "record_type": head["warc-type"], "refers_to_id": head.get("warc-refers-to"), "header_digest": stated.removeprefix("sha1:") or None,
+            "record_type": head["warc-type"], "refers_to_id": head.get("warc-refers-to"), "header_digest": stated,
             "payload_bytes": len(payload) if full else None, "payload_digest": own,
-            "intact": stated == f"sha1:{own}" if full and stated.startswith("sha1:") else None, "payload": payload if full else None,
+            "intact": stated == own if full and stated and ":" not in stated else None, "payload": payload if full else None,
         }
 
 
 def _digest(payload: bytes) -> str:
-    import base64
-
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def stated_digest(field: str | None) -> str | None:
+    """The value of a digest field: a SHA-1 as bare upper-case base32, whether written in base32 or in hexadecimal digits, in
+    any case; another algorithm's as it stands, its name in lower case; null for none."""
+    name, _, value = (field or "").partition(":")
+    name, value = name.strip().lower(), value.strip()
+    if not value:
+        return None
+    if name != "sha1":
+        return f"{name}:{value}"
+    if len(value) == 40:
+        try:
+            return base64.b32encode(bytes.fromhex(value)).decode()
+        except ValueError:
+            pass
+    return value.upper()
+
+
 def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
     """The records of the archives under ``path``, by any writer, of any number of gzip members or none.
 
@@ -249,19 +265,27 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """Every record with its full payload's length and digest: a revisit has those of the response it refers to.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page id, null for responses).
-    Records of other types are left out. A response that is not what its header states stops the job.
+    A revisit finds its response by the record id that it refers to; one that names no record id, by the payload digest that
+    it states (of responses with that payload, the one with the largest page id). Where neither leads to a response among
+    ``records``, length, digest and refers_to are null. Records of other types are left out. A response that is not what its
+    header states stops the job.
     """
-    whole = F.when(F.col("intact") == F.lit(False), F.raise_error(F.concat(F.lit("another payload than stated: "), F.col("record_id"))).cast("string")).otherwise(F.col("record_type"))
+    whole = F.when(F.col("intact") == F.lit(False), F.raise_error(F.concat(F.lit("another payload than stated: "), F.coalesce("record_id", F.lit("a record without id")))).cast("string")).otherwise(F.col("record_type"))
     records = records.where("record_type IN ('response', 'revisit')").withColumn("record_type", whole)
+    by_digest = lambda c: F.concat(F.lit("digest:"), F.col(c))
+    # A response has a key for each way to it; the digest that it states only where that is of another algorithm.
+    other = F.when(F.col("header_digest").contains(":"), by_digest("header_digest"))
+    keys = F.array_compact(F.array(F.col("record_id"), by_digest("payload_digest"), other))
     # A response looks itself up, so that its row has a key of its own in the join; substring() gives the answers an
     # exchange of their own, so that Spark can split the revisits of a hot payload.
-    answers = records.where("record_type = 'response'").groupBy("record_id").agg(
+    answers = records.where("record_type = 'response'").select(F.explode(keys).alias("way"), "page_id", "payload_bytes", "payload_digest").groupBy("way").agg(
         F.max("page_id").alias("__page"), F.max("payload_bytes").alias("__bytes"), F.max("payload_digest").alias("__digest")
-    ).withColumn("__of", F.substring("record_id", 1, 64))
-    joined = records.withColumn("__key", F.coalesce("refers_to_id", "record_id")).join(answers.drop("record_id"), F.col("__key") == F.col("__of"), "left")
+    ).withColumn("__of", F.substring("way", 1, 256))
+    key = F.when(F.col("record_type") == "response", F.col("record_id")).otherwise(F.coalesce("refers_to_id", by_digest("header_digest")))
+    joined = records.withColumn("__key", F.substring(key, 1, 256)).join(answers.drop("way"), F.col("__key") == F.col("__of"), "left")
     return joined.select(
-        "page_id", F.col("__bytes").alias("payload_bytes"), F.col("__digest").alias("payload_digest"), "record_type",
-        F.when(F.col("refers_to_id").isNotNull(), F.col("__page")).alias("refers_to"),
+        "page_id", F.coalesce("payload_bytes", "__bytes").alias("payload_bytes"), F.coalesce("payload_digest", "__digest").alias("payload_digest"), "record_type",
+        F.when(F.col("record_type") == "revisit", F.col("__page")).alias("refers_to"),
     )
 
 

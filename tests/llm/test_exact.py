@@ -160,3 +160,49 @@ def test_release(spark):
     assert kept.count() == 5
     release(spark)
     assert not [f for f in kept.inputFiles() if os.path.exists(f.removeprefix("file://"))]
+
+
+def test_stated_digests():
+    own = hashlib.sha1(b"x")
+    bare = base64.b32encode(own.digest()).decode()
+    for written in (f"sha1:{bare}", f"SHA1:{bare.lower()}", f"sha1:{own.hexdigest()}", f" sha1: {own.hexdigest().upper()} "):
+        assert warc.stated_digest(written) == bare
+    assert [warc.stated_digest(x) for x in (None, "", "sha1:", "SHA-256:Ab", "sha1:" + "g" * 40)] == [None, None, None, "sha-256:Ab", "G" * 40]
+
+
+def test_revisits_of_other_writers(spark, tmp_path):
+    """Revisits by record id, by digest alone, by another algorithm's digest, and those that lead nowhere, over two archives."""
+    hexadecimal, bare = (lambda x: "sha1:" + hashlib.sha1(x).hexdigest()), (lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode())
+    of = {"WARC_Refers_To_Target_URI": "http://a/", "WARC_Refers_To_Date": "2020-01-01T00:00:00Z"}
+    first = [
+        record("response", b"one", WARC_Record_ID="<r1>", WARC_Payload_Digest=hexadecimal(b"one"), X_Page_ID=1),
+        record("response", b"one", WARC_Record_ID="<r2>", WARC_Payload_Digest="sha1:" + bare(b"one").lower(), X_Page_ID=2),
+        record("response", b"two!", WARC_Record_ID="<r3>", WARC_Payload_Digest="sha256:" + hashlib.sha256(b"two!").hexdigest()),
+        record("response", b"", X_Page_ID=4),
+    ]
+    second = [
+        record("revisit", b"", WARC_Record_ID="<v1>", WARC_Payload_Digest=hexadecimal(b"one").upper().replace("SHA1", "sha1"), X_Page_ID=11, **of),
+        record("revisit", b"", WARC_Record_ID="<v2>", WARC_Payload_Digest="sha1:" + bare(b"one"), WARC_Refers_To="<r1>", X_Page_ID=12),
+        record("revisit", b"", WARC_Payload_Digest="SHA256:" + hashlib.sha256(b"two!").hexdigest(), X_Page_ID=13, **of),
+        record("revisit", b"", WARC_Record_ID="<v4>", WARC_Payload_Digest=hexadecimal(b"nowhere"), X_Page_ID=14, **of),
+        record("revisit", b"", WARC_Record_ID="<v5>", X_Page_ID=15),
+        record("request", b"", WARC_Record_ID="<q>"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(first))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, second)))
+    got = Counter(tuple(r) for r in warc.resolve_revisits(warc.read_archives(spark, str(tmp_path), payloads=False)).collect())
+    one, two = (3, bare(b"one")), (4, bare(b"two!"))
+    assert got == Counter([
+        (1, *one, "response", None), (2, *one, "response", None), (None, *two, "response", None), (4, 0, bare(b""), "response", None),
+        (11, *one, "revisit", 2), (12, *one, "revisit", 1), (13, *two, "revisit", None), (14, None, None, "revisit", None), (15, None, None, "revisit", None),
+    ])
+
+
+def test_many_revisits_by_digest(spark, tmp_path):
+    """A payload that most records revisit by its digest is told once for each of them."""
+    digest = "sha1:" + hashlib.sha1(b"hot").hexdigest()
+    records = [record("response", b"hot", WARC_Record_ID="<r>", WARC_Payload_Digest=digest, X_Page_ID=0)]
+    records += [record("revisit", b"", WARC_Record_ID=f"<v{i}>", WARC_Payload_Digest=digest, X_Page_ID=i) for i in range(1, 3000)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    rows = warc.resolve_revisits(warc.read_archives(spark, str(tmp_path), payloads=False)).collect()
+    assert len(rows) == 3000 and {(r.payload_bytes, r.refers_to) for r in rows} == {(3, None), (3, 0)}
