@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,7 +166,7 @@ def tile_links(
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
-    """id, digest, size (words) and bands of every row (id, text, digest)."""
+    """id, digest, size (bytes of a text that has words, else 0) and bands of every row (id, text, digest)."""
     schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +177,8 @@ def _sketched(rows: DataFrame) -> DataFrame:
                 hashes, ends = shingle_hashes(word_hashes(codes, distinct), offsets)
                 keys = bands_of(minhash(hashes, ends, BANDS * ROWS)).reshape(-1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys))
-                size = pa.array(np.diff(offsets) * 6)
+                octets = pc.binary_length(part.column(1)).cast(pa.int64()).to_numpy(zero_copy_only=False)
+                size = pa.array(np.where(np.diff(offsets) > 0, octets, 0))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.binary()), size, lists], schema=schema)
 
     return rows.mapInArrow(sketch, "id bigint, digest binary, size bigint, bands array<bigint>")

@@ -309,3 +309,19 @@ def test_gam_learns_an_interaction():
     model = quality.fit(x[:3000], y[:3000])
     assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
 
+
+
+def test_sizes_are_bytes(spark):
+    """What bounds a tile is a text's length in bytes, however few words it has."""
+    texts = ["x" * 300_000, "four words of text", "é " * 50, " \n ", ""]
+    rows = spark.createDataFrame([(i, t, bytes([i])) for i, t in enumerate(texts)], "id bigint, text string, digest binary")
+    assert {r.id: r["size"] for r in near_dup._sketched(rows).collect()} == {0: 300_000, 1: 18, 2: 150, 3: 0, 4: 0}
+
+
+def test_long_words_in_small_tiles(spark):
+    """Texts of a few huge words are compared over several tiles, and no link of theirs is lost."""
+    words = [chr(97 + i) * 40_000 for i in range(26)]
+    texts = [" ".join(words[:20] + [f"end{i}"]) for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.class_id, r.links) for r in near_dup.near_duplicates(docs, tile_bytes=1 << 20).collect()}
+    assert got == {i: (0, 5) for i in range(6)}  # 16 of 18 shingles are shared
