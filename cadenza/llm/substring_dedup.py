@@ -11,7 +11,8 @@
 
 Documents are read four times, and shuffled once, in the last step: for the counts of grams, for the anchors, and for the
 contexts of grams that have several. Bitmaps, sized by the number of grams up to 2^MOST_BITS bits, spare the work for other
-grams. Where grams are too many for them, they let more through, and what follows selects alike.
+grams, and a bitmap of the texts that speak for a context spares its bytes from all others that have it. Where there is too
+much for them, they let more through, and what follows selects alike. Tables are deleted as soon as nothing reads them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from .anchors import WIDTH, Anchors, context_digests, find
-from .common import body, materialize
+from .common import body, discard, materialize
 from .shingles import mix
 from .suffix_array import Strings, repeated
 from .tokens import slices
@@ -118,8 +119,8 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"gram": np.full(len(runs[0]), part["gram"].iloc[0]), "f1": runs[0], "f2": runs[1], "first": runs[2], "last": runs[3]})
 
 
-def _bitmap_of(grams: DataFrame, count: int) -> np.ndarray:
-    return bitmap.build(grams, "gram", min(MOST_BITS, max(16, (8 * count).bit_length())))
+def _bitmap_of(hashes: DataFrame, column: str, count: int) -> np.ndarray:
+    return bitmap.build(hashes, column, min(MOST_BITS, max(16, (8 * count).bit_length())))
 
 
 def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contexts: int = 1024) -> DataFrame:
@@ -136,7 +137,7 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
 
     counted = rows.select("data").mapInArrow(grams, "gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     twice = materialize(counted.where("n > 1").select("gram"), "grams")
-    shared = spark.sparkContext.broadcast(_bitmap_of(twice, twice.count()))
+    shared = spark.sparkContext.broadcast(_bitmap_of(twice, "gram", twice.count()))
     places = pa.schema([*((u, pa.int64()) for u in UID), ("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,20 +152,34 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
 
     # Anchors whose gram occurs once own nothing repeated.
     found = materialize(rows.select(*UID, "data").mapInArrow(locate, "uid1 bigint, uid2 bigint, gram bigint, f1 bigint, f2 bigint, start int, windows int"), "anchors")
-    contexts = materialize(found.groupBy("gram", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows")), "contexts")
+    discard(twice)
+    shared.unpersist()
+    # The text of least uid1 speaks for a context: only there its bytes are taken.
+    contexts = found.groupBy("gram", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"), F.min("uid1").alias("speaker"))
+    contexts = materialize(contexts, "contexts")
     several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("windows") + WIDTH).alias("bytes")).where("kinds > 1")
     several = materialize(several, "several")
-    total, grams = several.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    mixed = spark.sparkContext.broadcast(_bitmap_of(several, grams))
+    total, grams, most = several.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    mixed = spark.sparkContext.broadcast(_bitmap_of(several, "gram", grams))
+
+    def speaking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, f1, uid1 = (batch.column(k).to_numpy() for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array((f1 ^ uid1)[bitmap.test(mixed.value, gram)])], names=["key"])
+
+    speakers = contexts.select("gram", "f1", "speaker").mapInArrow(speaking, "key bigint")
+    speakers = spark.sparkContext.broadcast(_bitmap_of(speakers, "key", most))
 
     kinds = pa.schema([("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("context", pa.binary())])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in _flat(batch, 0):
+            for at, n, data, offsets in _flat(batch, 1):
                 a = find(data, offsets)
                 a = a.select(bitmap.test(mixed.value, a.gram))
                 f1, f2 = context_digests(data, a)
+                speaks = bitmap.test(speakers.value, f1 ^ batch.column(0).slice(at, n).to_numpy()[a.text])
+                a, f1, f2 = a.select(speaks), f1[speaks], f2[speaks]
                 _, once = np.unique(f1 ^ mix(f2.view(np.uint64) ^ mix(a.gram.view(np.uint64))).view(np.int64), return_index=True)
                 raw = data.tobytes()
                 context = [raw[x:y] for x, y in zip(a.start[once].tolist(), a.stop[once].tolist(), strict=True)]
@@ -172,7 +187,7 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     shards = max(1, math.ceil(total / shard_bytes))
-    texts = rows.select("data").mapInArrow(collect, "gram bigint, f1 bigint, f2 bigint, context binary")
+    texts = rows.select("uid1", "data").mapInArrow(collect, "gram bigint, f1 bigint, f2 bigint, context binary")
     texts = texts.groupBy("gram", "f1", "f2").agg(F.first("context").alias("context"))
     dealt = texts.join(several.select(F.col("gram").alias("of"), F.ceil(F.col("kinds") / shard_contexts).alias("shards")), F.col("gram") == F.col("of"))
     part = F.when(F.col("shards") > 1, F.xxhash64("gram", F.pmod(F.col("f1"), F.col("shards")))).otherwise(F.pmod(F.col("gram"), F.lit(shards)))
@@ -180,13 +195,16 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
         _shard, f"{_RUNS}, part long, windows binary, m1 binary, m2 binary, at binary"
     )
     sorted_out = materialize(sorted_out, "shards")
+    discard(several)
     merged = sorted_out.where(F.col("part").isNotNull()).select("gram", "part", "windows", "m1", "m2", "at").groupBy("gram", "part").applyInPandas(_merge, _RUNS)
     single = contexts.where("n = 1").select("gram", "f1", "f2")
     runs = sorted_out.where(F.col("part").isNull()).select("gram", "f1", "f2", "first", "last").unionByName(merged).join(single, ["gram", "f1", "f2"], "left_semi")
     copied = contexts.where("n > 1").select("gram", "f1", "f2", F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))
     runs = runs.unionByName(copied).select(F.col("gram").alias("g"), F.col("f1").alias("h1"), F.col("f2").alias("h2"), "first", "last")
     laid = found.join(runs, (F.col("gram") == F.col("g")) & (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2")))
-    return laid.select(*UID, (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+    laid = materialize(laid.select(*UID, (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")), "runs")
+    discard(found, contexts, sorted_out)
+    return laid
 
 
 def _spans(firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
