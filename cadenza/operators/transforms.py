@@ -15,6 +15,8 @@ from .recurrences import by_chunk
 from .spectra import hann
 
 FrameMap = Callable[[np.ndarray], np.ndarray]
+#: Bytes of an impulse response up to which each executor may hold all of it.
+SMALL_RESPONSE = 8 << 20
 
 
 def check_size(n: int, primes: tuple[int, ...] = (2,)) -> None:
@@ -145,37 +147,60 @@ def convolved(samples: DataFrame, impulse: np.ndarray, chunk: int = CHUNK) -> Da
     return by_chunk(samples, lambda x: convolve(x, impulse), max(0, len(impulse) - 1), chunk=chunk)
 
 
-def convolved_in_parts(samples: DataFrame, impulse: np.ndarray, block: int = CHUNK) -> DataFrame:
+def convolve_blocks(x: np.ndarray, h: np.ndarray, block: int) -> np.ndarray:
+    """All of the convolution of two pieces, filled up to blocks: blocks are transformed once, and products of one place
+    are added as spectra."""
+    a, b = (np.fft.rfft(np.pad(v, (0, -len(v) % block)).reshape(-1, block), 2 * block, axis=1) for v in (x, h))
+    sums = np.zeros((len(a) + len(b) - 1, block + 1), dtype=complex)
+    for j, part in enumerate(b):
+        sums[j : j + len(a)] += a * part
+    y = np.fft.irfft(sums, 2 * block, axis=1)
+    out = np.zeros((len(y) + 1, block))
+    out[:-1] += y[:, :block]
+    out[1:] += y[:, block:]
+    return out.reshape(-1)
+
+
+def convolved_in_parts(samples: DataFrame, impulse: np.ndarray, block: int = CHUNK, row: int = CHUNK) -> DataFrame:
     """The same for an impulse response of any length, by partitioned overlap-add.
 
-    The response is cut to rows of ``block`` values. Each block of samples meets each part, which gives two blocks of output;
-    blocks of one place are added. A task holds one pair of blocks, and at most twice as many as the response has parts in
-    one sum.
+    Samples and response are cut to blocks of ``block`` values, and as many of them as make ``row`` values are one row. Each
+    row of samples meets each row of the response, which gives two rows of output; rows of one place are added. A task holds
+    one pair of rows, and at most twice as many as the response has rows in one sum.
     """
     spark = samples.sparkSession
-    parts = [(j, impulse[j * block : (j + 1) * block].astype("<f8").tobytes()) for j in range(max(1, -(-len(impulse) // block)))]
-    held = packed(samples, 0, 1, block)
-    last = held.groupBy("rec").agg(F.max("chunk").alias("final")).withColumnRenamed("rec", "frec")
-    meets = held.join(last, F.col("rec") == F.col("frec")).select("rec", "chunk", "final", "x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(len(parts) - 1), F.col("final") - F.col("chunk")))).alias("j"))
-    meets = meets.join(spark.createDataFrame(parts, "part bigint, h binary"), F.col("j") == F.col("part"))
+    size = block * max(1, row // block)
+    parts = [(j, impulse[j * size : (j + 1) * size].astype("<f8").tobytes()) for j in range(max(1, -(-len(impulse) // size)))]
+    held = packed(samples, 0, 1, size)
+    if len(parts) > 1:
+        last = lengths(samples).select(F.col("rec").alias("frec"), F.floor((F.col("length") - 1) / size).alias("final"))
+        held = held.join(last, F.col("rec") == F.col("frec"))
+    else:  # what follows the next row is out of reach
+        held = held.withColumn("final", F.col("chunk") + F.when(F.col("last"), 0).otherwise(1))
+    meets = held.select("rec", "chunk", "final", "x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(len(parts) - 1), F.col("final") - F.col("chunk")))).alias("j"))
+    response = spark.createDataFrame(parts, "part bigint, h binary")
+    if impulse.nbytes <= SMALL_RESPONSE:  # shuffled, the rows of few parts would all go to as few tasks
+        response = F.broadcast(response)
+    meets = meets.join(response, F.col("j") == F.col("part"))
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for rec, chunk, final, j, x, h in zip(frame["rec"], frame["chunk"], frame["final"], frame["j"], frame["x"], frame["h"], strict=True):
-                own = np.frombuffer(x, dtype="<f8")[:block]
-                y = np.fft.irfft(np.fft.rfft(own, 2 * block) * np.fft.rfft(np.frombuffer(h, dtype="<f8"), 2 * block), 2 * block)
-                at = [p for p in (chunk + j, chunk + j + 1) if p <= final]
-                yield pd.DataFrame({"rec": rec, "at": at, "y": [y[k * block : (k + 1) * block].tobytes() for k in range(len(at))]})
+                own = np.frombuffer(x, dtype="<f8")[:size]
+                y = convolve_blocks(own, np.frombuffer(h, dtype="<f8"), block)
+                halves = [(p, y[k * size : (k + 1) * size].tobytes()) for k, p in enumerate((chunk + j, chunk + j + 1)) if p <= final]
+                # The first product at a place tells how many samples are there.
+                yield pd.DataFrame({"rec": rec, "at": [p for p, _ in halves], "own": [len(own) if p == chunk else 0 for p, _ in halves], "y": [half for _, half in halves]})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(y, dtype="<f8") for y in part["y"])
-        n = int(part["at"].iloc[0]) * block + np.arange(block)
-        return pd.DataFrame({"rec": part["rec"].iloc[0], "n": n, "x": total})
-
-    products = meets.select("rec", "chunk", "final", "j", "x", "h").mapInPandas(multiply, "rec string, at bigint, y binary")
-    out = products.groupBy("rec", "at").applyInPandas(add, "rec string, n bigint, x double")
-    ends = lengths(samples).select(F.col("rec").alias("lrec"), "length")
-    return out.join(ends, (F.col("rec") == F.col("lrec")) & (F.col("n") < F.col("length"))).select("rec", "n", "x")
+        total = np.zeros(int(part["own"].max()))
+        for y in part["y"]:
+            y = np.frombuffer(y, dtype="<f8")[: len(total)]
+            total[: len(y)] += y
+        return pd.DataFrame({"rec": part["rec"].iloc[0], "n": int(part["at"].iloc[0]) * size + np.arange(len(total)), "x": total})
+
+    products = meets.select("rec", "chunk", "final", "j", "x", "h").mapInPandas(multiply, "rec string, at bigint, own bigint, y binary")
+    return products.groupBy("rec", "at").applyInPandas(add, "rec string, n bigint, x double")
 
 
 def resample(x: np.ndarray, source: float, target: float, first: int = 0, at: np.ndarray | None = None, zeros: int = 32, rolloff: float = 0.95, beta: float = 12.0) -> np.ndarray:

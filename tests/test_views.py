@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import transforms, views
 from cadenza.plans import evaluation
 from cadenza.plans.stages import programme
-from cadenza.sources import synthetic
+from cadenza.sources import layout, synthetic
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +52,23 @@ def test_long_impulse_responses(table, signals, length):
         assert np.abs(mine["x"].to_numpy() - np.convolve(x, h)[: len(x)]).max() < 1e-9
 
 
+@pytest.mark.parametrize("length", [1, 40, 48, 300, 1500])
+def test_rows_of_several_blocks(table, signals, length):
+    h = np.random.default_rng(3).normal(size=length)
+    got = transforms.convolved_in_parts(table, h, 16, row=50).toPandas().sort_values(["rec", "n"])
+    for rec, x in signals.items():
+        mine = got[got["rec"] == rec]
+        assert mine["n"].tolist() == list(range(len(x)))
+        assert np.abs(mine["x"].to_numpy() - np.convolve(x, h)[: len(x)]).max() < 1e-9
+
+
+def test_short_blocks_are_not_dealt_out_one_by_one(table, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(transforms, "packed", lambda samples, before, after, chunk: sizes.append(chunk) or layout.packed(samples, before, after, chunk))
+    assert transforms.convolved_in_parts(table, np.ones(300), 64).count() == 1037
+    assert sizes == [layout.CHUNK]
+
+
 def test_a_room_keeps_the_loudness(spark):
     rate = 8000.0
     tone = synthetic.sine(spark, "t", 24_000, 220.0, rate, 0.2)
