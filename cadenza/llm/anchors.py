@@ -18,6 +18,8 @@ WIDTH, K = 200, 32
 _SPAN = WIDTH - K + 1
 _U = np.uint64
 _POSITION = 24
+#: Bytes that are looked at at once; some ten numbers of 8 bytes are held for each.
+_PIECE = 1 << 16
 _rng = np.random.default_rng(23)
 _FACTORS = _rng.integers(0, 2**63, 4, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -41,8 +43,8 @@ def loads(data: np.ndarray) -> np.ndarray:
     return np.ndarray((max(0, len(data) - 7),), dtype=">u8", buffer=data, strides=(1,)).astype(np.uint64)
 
 
-def _owners(data: np.ndarray) -> np.ndarray:
-    """The place of the gram that owns the window at each place; of WIDTH to 2^24 bytes."""
+def _owners(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the place of the gram that owns the window at each place, the hashes of all grams) of WIDTH to 2^24 bytes."""
     eight = loads(data)
     n = len(data) - K + 1
     h = eight[:n] * _FACTORS[0]
@@ -55,37 +57,39 @@ def _owners(data: np.ndarray) -> np.ndarray:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     low = np.minimum(low[: len(data) - WIDTH + 1], low[_SPAN - span : _SPAN - span + len(data) - WIDTH + 1])
-    return (low & _U((1 << _POSITION) - 1)).astype(np.int64)
-
-
-def _hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The hashes of the grams at ``places``."""
-    eight = data[places[:, None] + np.arange(K)].view(">u8").astype(np.uint64)
-    return mix((eight * _FACTORS).sum(axis=1, dtype=np.uint64)).view(np.int64)
+    return (low & _U((1 << _POSITION) - 1)).astype(np.int64), h
 
 
 def find(data: np.ndarray, offsets: np.ndarray) -> Anchors:
     """Anchors of the texts data[offsets[i]:offsets[i + 1]]. Texts under WIDTH bytes have none.
 
-    Owners are found in pieces of 2^24 bytes, each WIDTH - 1 over the next, so that every window lies in one piece.
+    Owners are found in pieces of _PIECE bytes, each WIDTH - 1 over the next, so that every window lies in one piece. Only
+    anchors are kept of a piece: what is held at once does not grow with the texts.
     """
-    empty = np.zeros(0, dtype=np.int64)
-    if len(data) < WIDTH:
-        return Anchors(empty, empty, empty, empty, empty)
-    step = (1 << _POSITION) - WIDTH + 1
-    starts = range(0, len(data) - WIDTH + 1, step)
-    pieces = [_owners(data[at : at + step + WIDTH - 1]) for at in starts]
-    owner = pieces[0] if len(pieces) == 1 else np.concatenate([p + at for p, at in zip(pieces, starts, strict=True)])
-    sizes = np.diff(offsets)
-    windows = np.maximum(sizes - WIDTH + 1, 0)
-    text = np.repeat(np.arange(len(sizes)), windows)
-    first = np.arange(len(text)) + np.repeat(offsets[:-1] - (np.cumsum(windows) - windows), windows)
-    owner = owner[first]
-    new = np.ones(len(owner), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])
-    at = np.flatnonzero(new)
-    last = np.append(at, len(owner))[1:] - 1
-    return Anchors(text[at], first[at], first[last] + WIDTH, _hashes(data, owner[at]), owner[at])
+    step = _PIECE - WIDTH + 1
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, dtype=np.int64),) * 4]
+    before = np.array([-1, -1])  # text and owner of the window before
+    for at in range(0, len(data) - WIDTH + 1, step):
+        owner, h = _owners(data[at : at + step + WIDTH - 1])
+        some = np.arange(np.searchsorted(offsets, at, side="right") - 1, np.searchsorted(offsets, at + len(owner), side="left"))
+        low, high = np.maximum(offsets[some], at), np.minimum(offsets[some + 1] - WIDTH + 1, at + len(owner))
+        windows = np.maximum(high - low, 0)
+        text = np.repeat(some, windows)
+        if not len(text):
+            continue
+        first = np.arange(len(text)) + np.repeat(low - (np.cumsum(windows) - windows), windows)
+        owner = owner[first - at]
+        new = np.ones(len(text), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])
+        new[0] = text[0] != before[0] or owner[0] + at != before[1]
+        before = np.array([text[-1], owner[-1] + at])
+        found.append((text[new], first[new], h[owner[new]].view(np.int64), owner[new] + at))
+    text, first, gram, place = (np.concatenate(c) for c in zip(*found, strict=True))
+    # The last window of an anchor is that before the next one's first, or its text's last.
+    stop = offsets[text + 1].astype(np.int64)
+    same = text[1:] == text[:-1]
+    stop[:-1][same] = first[1:][same] + WIDTH - 1
+    return Anchors(text, first, stop, gram, place)
 
 
 def context_digests(data: np.ndarray, found: Anchors) -> tuple[np.ndarray, np.ndarray]:

@@ -5,14 +5,22 @@
    one's context (its windows' bytes).
 2. A context that occurs twice repeats as a whole; this settles the inside of copies.
 3. Different contexts of one gram go to a shard, which sorts their suffixes and marks windows whose common prefix with
-   another window is 200 bytes. A gram with many contexts is dealt over several shards; each gives its windows' 200 bytes
-   in suffix order, in parts, and a task per part merges the shards by binary search over those bytes.
-4. The windows found are laid on every occurrence of their context, and texts are cut once.
-
+   another window is 200 bytes.
+4. A gram with many contexts (a common line) is told apart by longer strings. Equal windows have the gram at equal places,
+   so a context is cut into slices of RANGE of these places at most; all windows of a slice have WIDTH - RANGE + 1 bytes in
+   common, its core, and equal windows lie in slices of one core. A core that occurs once holds nothing repeated, slices
+   that occur twice repeat as a whole, and the others of one core go to a shard as contexts of one gram do. If even a core
+   has many slices, each of their windows is its own core.
+5. The windows found are laid on every occurrence of their context, and texts are cut once.
+
+So a shard's strings are bounded, and a context of a frequent gram is moved as few slices, not as windows of 200 bytes.
 Documents are read four times, and shuffled once, in the last step: for the counts of grams, for the anchors, and for the
 contexts of grams that have several. Bitmaps, sized by the number of grams up to 2^MOST_BITS bits, spare the work for other
 grams, and a bitmap of the texts that speak for a context spares its bytes from all others that have it. Where there is too
 much for them, they let more through, and what follows selects alike. Tables are deleted as soon as nothing reads them.
+
+Python holds little at once: Spark hands over batches of BATCH bytes, which are worked on in slices, anchors are looked for
+in pieces, and a shard's suffixes are sorted for a few grams at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +44,20 @@ from .suffix_array import Strings, repeated
 from .tokens import slices
 
 MOST_BITS = 27
+#: Places of a gram in its windows that one slice of a context takes.
+RANGE = 13
+#: Bytes that Spark hands to Python at once, that are worked on at once, and whose suffixes are sorted at once.
+BATCH, SLICE, SORTED = 4 << 20, 1 << 20, 128 << 10
 #: Of a text: two 64-bit hashes of its id and bytes.
 UID = ["uid1", "uid2"]
 
 
 def _flat(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) of slices of a batch's binary column."""
-    for at, n in slices(batch.column(column), 4 << 20):
+    for at, n in slices(batch.column(column), SLICE):
         parts = batch.column(column).slice(at, n).to_pylist()
         yield at, n, np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    pa.default_memory_pool().release_unused()
 
 
 def _runs(keys: list[np.ndarray], offsets: np.ndarray) -> list[np.ndarray]:
@@ -64,65 +78,125 @@ _RUNS = "gram bigint, f1 bigint, f2 bigint, first int, last int"
 
 
 def _shard(part: pd.DataFrame) -> pd.DataFrame:
-    """Repeated windows of one shard, as runs; and, for grams dealt over several shards, digests of all its windows."""
+    """Repeated windows of one shard, as runs. Equal windows have one gram, so a few grams at a time are sorted."""
     part = part.sort_values(["gram", "f1", "f2"], kind="stable", ignore_index=True)
+    sizes, gram = part["context"].map(len).to_numpy(dtype=np.int64), part["gram"].to_numpy()
+    new = np.flatnonzero(np.diff(gram, prepend=~gram[:1]) != 0)
+    group = (np.cumsum(sizes)[new] - sizes[new]) // SORTED
+    cuts = [*new[np.flatnonzero(np.diff(group, prepend=-1))], len(part)]
+    return pd.concat([_repeats(part.iloc[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], ignore_index=True)
+
+
+def _repeats(part: pd.DataFrame) -> pd.DataFrame:
+    """Runs of the windows of whole grams that occur more than once among them."""
     s = Strings(part["context"].tolist())
     count = part["context"].map(len).to_numpy() - WIDTH + 1
     of = np.repeat(np.arange(len(part)), count)
     at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    places = s.starts[of] + at
-    twice, classes = repeated(s, places, WIDTH)
-    gram, f1, f2, shards = (part[c].to_numpy(dtype=np.int64) for c in ("gram", "f1", "f2", "shards"))
+    twice, _ = repeated(s, s.starts[of] + at, WIDTH)
     hit = np.flatnonzero(twice)
-    runs = _runs([gram[of[hit]], f1[of[hit]], f2[of[hit]]], at[hit])
-    out = [pd.DataFrame(dict(zip(("gram", "f1", "f2", "first", "last"), runs, strict=True)))]
-    several = np.flatnonzero(shards[of] > 1)
-    if len(several):
-        _, lead = np.unique(classes[several], return_index=True)
-        lead = several[lead]  # one window of each class speaks for it; classes are numbered in suffix order
-        anchors = Anchors(of[lead], places[lead], places[lead] + WIDTH, gram[of[lead]], places[lead])
-        bucket = (context_digests(s.data, anchors)[0].view(np.uint64) % shards[of[lead]].astype(np.uint64)).astype(np.int64)
-        offset = np.where(~twice[lead], at[lead], -1)
-        order = np.lexsort((np.arange(len(lead)), bucket, gram[of[lead]]))
-        cut = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(gram[of[lead]][order]) != 0)) + 1
-        rows = []
-        for g in np.split(order, cut):
-            bytes_of = s.data[places[lead[g]][:, None] + np.arange(WIDTH)].tobytes()
-            numbers = (x[g].astype("<i8").tobytes() for x in (f1[of[lead]], f2[of[lead]], offset))
-            rows.append((int(gram[of[lead[g[0]]]]), int(bucket[g[0]]), bytes_of, *numbers))
-        out.append(pd.DataFrame(rows, columns=["gram", "part", "windows", "m1", "m2", "at"]))
-    # Whole numbers are made nullable before they meet missing columns, which would turn them into floats.
-    whole = ["gram", "f1", "f2", "first", "last", "part"]
-    columns = [*whole, "windows", "m1", "m2", "at"]
-    return pd.concat([o.astype({c: "Int64" for c in whole if c in o}).reindex(columns=columns) for o in out], ignore_index=True).astype({c: "Int64" for c in whole})
-
-
-def _sortable(windows: bytes) -> np.ndarray:
-    """Strings of WIDTH bytes as numpy strings; a last byte keeps zeros at an end from being dropped."""
-    padded = np.ones((len(windows) // WIDTH, WIDTH + 1), dtype=np.uint8)
-    padded[:, :WIDTH] = np.frombuffer(windows, dtype=np.uint8).reshape(-1, WIDTH)
-    return padded.reshape(-1).view(f"S{WIDTH + 1}")
-
-
-def _merge(part: pd.DataFrame) -> pd.DataFrame:
-    """Windows that stand alone in their shard and occur in another, from one part of one gram's windows."""
-    shards = [(_sortable(r.windows), *(np.frombuffer(x, "<i8") for x in (r.m1, r.m2, r.at))) for r in part.itertuples()]
-    every = np.sort(np.concatenate([w for w, *_ in shards]), kind="stable")
-    found: list[list[np.ndarray]] = [[], [], []]
-    for windows, f1, f2, at in shards:
-        # Binary search in the merged order: a window that fills more than one place is in another shard as well.
-        more = np.searchsorted(every, windows, side="right") - np.searchsorted(every, windows, side="left") > 1
-        for column, values in zip(found, (f1, f2, at), strict=True):
-            column.append(values[more & (at >= 0)])
-    f1, f2, at = (np.concatenate(c) for c in found)
-    runs = _runs([f1, f2], at)
-    return pd.DataFrame({"gram": np.full(len(runs[0]), part["gram"].iloc[0]), "f1": runs[0], "f2": runs[1], "first": runs[2], "last": runs[3]})
+    runs = _runs([part[c].to_numpy(dtype=np.int64)[of[hit]] for c in ("gram", "f1", "f2")], at[hit])
+    return pd.DataFrame(dict(zip(("gram", "f1", "f2", "first", "last"), runs, strict=True)))
+
+
+def _sorted_out(texts: DataFrame, total: int, shard_bytes: int) -> DataFrame:
+    """Repeated windows of ``texts`` (gram, f1, f2, context), ``total`` bytes of them, as runs; equal ones have one gram."""
+    shard = F.pmod(F.col("gram"), F.lit(max(1, math.ceil(total / shard_bytes))))
+    return texts.select("gram", "f1", "f2", "context", shard.alias("shard")).groupBy("shard").applyInPandas(_shard, _RUNS)
 
 
 def _bitmap_of(hashes: DataFrame, column: str, count: int) -> np.ndarray:
     return bitmap.build(hashes, column, min(MOST_BITS, max(16, (8 * count).bit_length())))
 
 
+def _sliced(batch: pa.RecordBatch) -> tuple[np.ndarray, Anchors, np.ndarray, np.ndarray]:
+    """(bytes, slices, keys of their cores, first windows in their contexts) of a batch of gram, f1, f2, place, context.
+
+    A slice is an anchor with fewer windows: ``text`` is the row of its context, and ``gram`` is still that of the context.
+    """
+    parts = batch.column(4).to_pylist()
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    starts, place = np.cumsum(sizes) - sizes, batch.column(3).to_numpy().astype(np.int64)
+    # A window that starts d bytes before the gram is of range d // RANGE.
+    least = place - (sizes - WIDTH)
+    ranges = place // RANGE - least // RANGE + 1
+    row = np.repeat(np.arange(len(parts)), ranges)
+    r = np.arange(len(row)) - np.repeat(np.cumsum(ranges) - ranges, ranges) + np.repeat(least // RANGE, ranges)
+    p = place[row]
+    first = p - np.minimum(p, RANGE * r + RANGE - 1)
+    last = p - np.maximum(least[row], RANGE * r)
+    gram = batch.column(0).to_numpy()[row]
+    found = Anchors(row, starts[row] + first, starts[row] + last + WIDTH, gram, (starts + place)[row])
+    core = found.place - RANGE * r
+    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    cores = np.array([digest(raw[a : a + WIDTH - RANGE + 1], k) for a, k in zip(core.tolist(), r.tolist(), strict=True)], dtype=np.uint64)
+    return data, found, mix(cores ^ mix(gram.view(np.uint64))).view(np.int64), first
+
+
+def _crowded(texts: DataFrame, shard_bytes: int, shard_contexts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """gram, f1, f2, first, last: repeated windows of ``texts`` (gram, f1, f2, place of the gram, context; distinct contexts
+    of frequent grams) as runs; and the tables that can go when these are written. ``texts`` is read no more then."""
+    spark = texts.sparkSession
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_sliced(batch)[2])], names=["key"])
+
+    twice = texts.mapInArrow(keys, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    twice = materialize(twice, "cores", SLICE)
+    shared = spark.sparkContext.broadcast(_bitmap_of(twice, "key", twice.count()))
+    fields = pa.schema([*((c, pa.int64()) for c in ("key", "s1", "s2", "gram", "f1", "f2")), ("shift", pa.int32()), ("slice", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, found, key, shift = _sliced(batch)
+            chosen = bitmap.test(shared.value, key)
+            found, raw = found.select(chosen), data.tobytes()
+            s1, s2 = context_digests(data, found)
+            parts = [raw[x:y] for x, y in zip(found.start.tolist(), found.stop.tolist(), strict=True)]
+            columns = (key[chosen], s1, s2, found.gram, *(batch.column(k).to_numpy()[found.text] for k in (1, 2)), shift[chosen], parts)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    owners = materialize(texts.mapInArrow(cut, "key bigint, s1 bigint, s2 bigint, gram bigint, f1 bigint, f2 bigint, shift int, slice binary"), "slices", SLICE)
+    shared.unpersist()
+    discard(twice)
+    strings = owners.groupBy(F.col("key").alias("gram"), F.col("s1").alias("f1"), F.col("s2").alias("f2")).agg(F.count(F.lit(1)).alias("n"), F.first("slice").alias("context"))
+    strings = materialize(strings, "strings")
+    cores = strings.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.length("context")).alias("bytes")).where("kinds > 1")
+    cores = materialize(cores, "kinds")
+    many = F.col("kinds") > shard_contexts
+    total, frequent = cores.agg(F.coalesce(F.sum(F.when(~many, F.col("bytes"))), F.lit(0)), F.count_if(many)).first()
+    of = lambda which: strings.join(cores.where(which).select(F.col("gram").alias("of")), F.col("gram") == F.col("of"), "left_semi")
+    runs = materialize(_sorted_out(of(~many), total, shard_bytes), "sliced", BATCH)
+    tables = [owners, strings, cores, runs]
+    if frequent:
+        windows = pa.schema([*((c, pa.int64()) for c in ("gram", "f1", "f2", "w1", "w2")), ("at", pa.int32())])
+
+        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, n, data, offsets in _flat(batch, 3):
+                    count = np.diff(offsets) - WIDTH + 1
+                    row = np.repeat(np.arange(n), count)
+                    inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                    start, (gram, f1, f2) = offsets[row] + inside, (batch.column(k).slice(at, n).to_numpy()[row] for k in range(3))
+                    w1, w2 = context_digests(data, Anchors(row, start, start + WIDTH, gram, start))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((gram, f1, f2, w1, w2, inside), windows, strict=True)], schema=windows)
+
+        each = of(many).select("gram", "f1", "f2", "context").mapInArrow(single, "gram bigint, f1 bigint, f2 bigint, w1 bigint, w2 bigint, at int")
+        each = materialize(each, "windows", SLICE)
+        again = each.groupBy(F.col("gram").alias("g"), F.col("w1").alias("v1"), F.col("w2").alias("v2")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = each.join(again, (F.col("gram") == F.col("g")) & (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")), "left_semi")
+        runs = runs.unionByName(found.select("gram", "f1", "f2", F.col("at").alias("first"), F.col("at").alias("last")))
+        tables.append(each)
+    runs = runs.join(strings.where("n = 1").select("gram", "f1", "f2"), ["gram", "f1", "f2"], "left_semi")
+    copied = strings.where("n > 1").select("gram", "f1", "f2", F.lit(0).alias("first"), (F.length("context") - WIDTH).alias("last"))
+    runs = runs.unionByName(copied).select(F.col("gram").alias("of"), F.col("f1").alias("of1"), F.col("f2").alias("of2"), "first", "last")
+    laid = owners.join(runs, (F.col("key") == F.col("of")) & (F.col("s1") == F.col("of1")) & (F.col("s2") == F.col("of2")))
+    laid = laid.select("gram", "f1", "f2", (F.col("shift") + F.col("first")).alias("first"), (F.col("shift") + F.col("last")).alias("last"))
+    return laid, tables
+
+
 def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contexts: int = 1024) -> DataFrame:
     """uid1, uid2, first, last: runs of places in a text at which 200 bytes start that also start elsewhere.
 
@@ -136,7 +210,7 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
                 yield pa.RecordBatch.from_arrays([pa.array(find(data, offsets).gram)], names=["gram"])
 
     counted = rows.select("data").mapInArrow(grams, "gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    twice = materialize(counted.where("n > 1").select("gram"), "grams")
+    twice = materialize(counted.where("n > 1").select("gram"), "grams", BATCH)
     shared = spark.sparkContext.broadcast(_bitmap_of(twice, "gram", twice.count()))
     places = pa.schema([*((u, pa.int64()) for u in UID), ("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
@@ -151,7 +225,7 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, places, strict=True)], schema=places)
 
     # Anchors whose gram occurs once own nothing repeated.
-    found = materialize(rows.select(*UID, "data").mapInArrow(locate, "uid1 bigint, uid2 bigint, gram bigint, f1 bigint, f2 bigint, start int, windows int"), "anchors")
+    found = materialize(rows.select(*UID, "data").mapInArrow(locate, "uid1 bigint, uid2 bigint, gram bigint, f1 bigint, f2 bigint, start int, windows int"), "anchors", BATCH)
     discard(twice)
     shared.unpersist()
     # The text of least uid1 speaks for a context: only there its bytes are taken.
@@ -159,8 +233,10 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
     contexts = materialize(contexts, "contexts")
     several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("windows") + WIDTH).alias("bytes")).where("kinds > 1")
     several = materialize(several, "several")
-    total, grams, most = several.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    many = F.col("kinds") > shard_contexts
+    total, grams, most, frequent = several.agg(F.coalesce(F.sum(F.when(~many, F.col("bytes"))), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("kinds"), F.lit(0)), F.count_if(many)).first()
     mixed = spark.sparkContext.broadcast(_bitmap_of(several, "gram", grams))
+    crowded = spark.sparkContext.broadcast(_bitmap_of(several.where(many), "gram", frequent))
 
     def speaking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +246,7 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
     speakers = contexts.select("gram", "f1", "speaker").mapInArrow(speaking, "key bigint")
     speakers = spark.sparkContext.broadcast(_bitmap_of(speakers, "key", most))
 
-    kinds = pa.schema([("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("context", pa.binary())])
+    kinds = pa.schema([("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("crowded", pa.bool_()), ("place", pa.int32()), ("context", pa.binary())])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,29 +257,29 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
                 speaks = bitmap.test(speakers.value, f1 ^ batch.column(0).slice(at, n).to_numpy()[a.text])
                 a, f1, f2 = a.select(speaks), f1[speaks], f2[speaks]
                 _, once = np.unique(f1 ^ mix(f2.view(np.uint64) ^ mix(a.gram.view(np.uint64))).view(np.int64), return_index=True)
-                raw = data.tobytes()
-                context = [raw[x:y] for x, y in zip(a.start[once].tolist(), a.stop[once].tolist(), strict=True)]
-                columns = (a.gram[once], f1[once], f2[once], context)
+                a, raw = a.select(once), data.tobytes()
+                context = [raw[x:y] for x, y in zip(a.start.tolist(), a.stop.tolist(), strict=True)]
+                columns = (a.gram, f1[once], f2[once], bitmap.test(crowded.value, a.gram), a.place - a.start, context)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
-    shards = max(1, math.ceil(total / shard_bytes))
-    texts = rows.select("uid1", "data").mapInArrow(collect, "gram bigint, f1 bigint, f2 bigint, context binary")
-    texts = texts.groupBy("gram", "f1", "f2").agg(F.first("context").alias("context"))
-    dealt = texts.join(several.select(F.col("gram").alias("of"), F.ceil(F.col("kinds") / shard_contexts).alias("shards")), F.col("gram") == F.col("of"))
-    part = F.when(F.col("shards") > 1, F.xxhash64("gram", F.pmod(F.col("f1"), F.col("shards")))).otherwise(F.pmod(F.col("gram"), F.lit(shards)))
-    sorted_out = dealt.select("gram", "f1", "f2", "context", "shards", part.alias("shard")).groupBy("shard").applyInPandas(
-        _shard, f"{_RUNS}, part long, windows binary, m1 binary, m2 binary, at binary"
-    )
-    sorted_out = materialize(sorted_out, "shards")
+    texts = rows.select("uid1", "data").mapInArrow(collect, "gram bigint, f1 bigint, f2 bigint, crowded boolean, place int, context binary")
+    texts = texts.groupBy("gram", "f1", "f2").agg(F.first("crowded").alias("crowded"), F.first("place").alias("place"), F.first("context").alias("context"))
+    texts = materialize(texts, "texts", BATCH)
     discard(several)
-    merged = sorted_out.where(F.col("part").isNotNull()).select("gram", "part", "windows", "m1", "m2", "at").groupBy("gram", "part").applyInPandas(_merge, _RUNS)
-    single = contexts.where("n = 1").select("gram", "f1", "f2")
-    runs = sorted_out.where(F.col("part").isNull()).select("gram", "f1", "f2", "first", "last").unionByName(merged).join(single, ["gram", "f1", "f2"], "left_semi")
+    for b in (mixed, speakers, crowded):
+        b.unpersist()
+    runs = materialize(_sorted_out(texts.where("not crowded"), total, shard_bytes), "shards", BATCH)
+    tables = [found, contexts, runs]
+    if frequent:
+        more, made = _crowded(texts.where("crowded").select("gram", "f1", "f2", "place", "context"), shard_bytes, shard_contexts)
+        runs, tables = runs.unionByName(more), [*tables, *made]
+    discard(texts)
+    runs = runs.join(contexts.where("n = 1").select("gram", "f1", "f2"), ["gram", "f1", "f2"], "left_semi")
     copied = contexts.where("n > 1").select("gram", "f1", "f2", F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))
     runs = runs.unionByName(copied).select(F.col("gram").alias("g"), F.col("f1").alias("h1"), F.col("f2").alias("h2"), "first", "last")
     laid = found.join(runs, (F.col("gram") == F.col("g")) & (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2")))
     laid = materialize(laid.select(*UID, (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")), "runs")
-    discard(found, contexts, sorted_out)
+    discard(*tables)
     return laid
 
 
@@ -237,7 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, n) for whole in batches for at, n in slices(whole.column(1), SLICE)):
             sizes, spans, kept = [], [], []
             lists = batch.column(2)
             pairs = lists.flatten()
@@ -252,6 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 edges = [0, *np.stack([starts, stops], axis=1).reshape(-1).tolist(), len(value)]
                 kept.append(b"".join(value[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if len(starts) else value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+            pa.default_memory_pool().release_unused()
 
     joined = rows.join(lists, (F.col("uid1") == F.col("of1")) & (F.col("uid2") == F.col("of2")), "left").select("id", "data", "found")
     return joined.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
