@@ -78,7 +78,11 @@ _RUNS = "gram bigint, f1 bigint, f2 bigint, first int, last int"
 
 
 def _shard(part: pd.DataFrame) -> pd.DataFrame:
-    """Repeated windows of one shard, as runs. Equal windows have one gram, so a few grams at a time are sorted."""
+    """Repeated windows of one shard, as runs. Equal windows have one gram, so a few grams at a time are sorted, and those
+    with one context (that a bitmap let through) not at all."""
+    part = part[part["gram"].duplicated(keep=False)]
+    if part.empty:
+        return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("gram", "f1", "f2", "first", "last")})
     part = part.sort_values(["gram", "f1", "f2"], kind="stable", ignore_index=True)
     sizes, gram = part["context"].map(len).to_numpy(dtype=np.int64), part["gram"].to_numpy()
     new = np.flatnonzero(np.diff(gram, prepend=~gram[:1]) != 0)
@@ -235,7 +239,7 @@ def repeated_windows(rows: DataFrame, shard_bytes: int = 512 << 10, shard_contex
     several = materialize(several, "several")
     many = F.col("kinds") > shard_contexts
     total, grams, most, frequent = several.agg(F.coalesce(F.sum(F.when(~many, F.col("bytes"))), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("kinds"), F.lit(0)), F.count_if(many)).first()
-    mixed = spark.sparkContext.broadcast(_bitmap_of(several, "gram", grams))
+    mixed = spark.sparkContext.broadcast(_bitmap_of(several, "gram", 8 * grams))  # sparse: others' contexts would be shuffled
     crowded = spark.sparkContext.broadcast(_bitmap_of(several.where(many), "gram", frequent))
 
     def speaking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
